@@ -192,14 +192,25 @@ def _chi_square(a, b):
 
 # ---------------------------------------------------------------- counts
 
-def bin_counts(df: DataFrame, edges, label, by=(), closed="right", missing="own", weight=None) -> DataFrame:
+def grouped_bin_number(value, by, edges_by_group, closed="right"):
+    """Bin of ``value`` among the edges of the row's own group; one scan serves all groups."""
+    number = F.lit(None).cast("int")
+    for group, edges in edges_by_group.items():
+        if len(edges) >= 2:
+            number = F.when(F.col(by).eqNullSafe(F.lit(group)), bin_number(value, edges, closed)).otherwise(number)
+    return number
+
+
+def bin_counts(df: DataFrame, edges, label, by=(), closed="right", missing="own", number=None) -> DataFrame:
     """(feature, *by, bin, good, bad, labelled, total) for every feature in ``edges``.
 
     Bins are computed on the wide row and only the small bin numbers are unpivoted, so the shuffle
     carries one row per feature, group and bin. ``missing='own'`` numbers missing values after the
-    last bin; None leaves them and values outside the edges out.
+    last bin; None leaves them and values outside the edges out. ``number(feature)`` may give another
+    bin Column.
     """
     by = list(by)
+    number = number or (lambda c: bin_number(F.col(f"`{c}`"), edges[c], closed, len(edges[c]) if missing else None))
     names = [c for c, e in edges.items() if len(e) >= 2]
     if not names:
         schema = T.StructType([T.StructField("feature", T.StringType())] + [df.schema[k] for k in by])
@@ -211,8 +222,7 @@ def bin_counts(df: DataFrame, edges, label, by=(), closed="right", missing="own"
     parts = []
     for start in range(0, len(names), CHUNK):
         chunk = names[start:start + CHUNK]
-        wide = df.select(*groups, *flags, *[
-            bin_number(F.col(f"`{c}`"), edges[c], closed, len(edges[c]) if missing else None).alias(c) for c in chunk])
+        wide = df.select(*groups, *flags, *[number(c).alias(c) for c in chunk])
         long = wide.unpivot([f"_g{i}" for i in range(len(by))] + ["_y"], chunk, "feature", "bin")
         parts.append(long.where(F.col("bin").isNotNull()).groupBy(
             "feature", *[f"_g{i}" for i in range(len(by))], "bin").agg(

@@ -155,8 +155,11 @@ def _pair_sums_batched(df, columns, centres):
 
 def correlation_prune(pairs: DataFrame, iv: DataFrame, limit=0.9) -> DataFrame:
     """(feature) to drop: of every pair at or above the limit the one with the lower IV, on ties the
-    second. Features dropped by one pair still count in others."""
-    table = F.broadcast(iv.select(F.col("feature"), F.col("iv")))
+    second. Features dropped by one pair still count in others.
+
+    IVs are compared to ten digits, so that equal ones tie whatever order they were summed in.
+    """
+    table = F.broadcast(iv.select(F.col("feature"), F.round("iv", 10).alias("iv")))
     a = table.select(F.col("feature").alias("feature_a"), F.col("iv").alias("_iv_a"))
     b = table.select(F.col("feature").alias("feature_b"), F.col("iv").alias("_iv_b"))
     close = pairs.where(F.abs("corr") >= limit).join(a, "feature_a", "left").join(b, "feature_b", "left")

@@ -1,12 +1,12 @@
 """Weight of evidence, information value, lift and KS per bin."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.bins import bin_number
 from ..functions.guards import SIMPLE_IV_EPSILON, WOE_EPSILON, finite_or_zero, is_numeric, psi_term, ratio, smooth
-from .binning import bin_counts, edge_frame, equal_frequency_cuts, equal_frequency_edges, tree_edges
+from .binning import (bin_counts, edge_frame, equal_frequency_cuts, equal_frequency_edges, grouped_bin_number,
+                      tree_edges)
 from .profile import distinct_profile, missing_profile
 from .ranks import SMALL_GROUP
 
@@ -105,20 +105,22 @@ def simple_iv(df: DataFrame, columns, label="label", by=None, bins=10, small_gro
     keys = [by] if by else []
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
     edges = equal_frequency_edges(df, numeric, bins, keys, small_group) if numeric else {}
-    parts, listed = [], []
-    for group, per_column in edges.items():
-        subset = df.where(F.col(by).eqNullSafe(F.lit(group[0]))) if by else df
-        usable = {c: e for c, e in per_column.items() if len(e) >= 2}
-        if usable:
-            counted = bin_counts(subset, usable, label, keys, "right_lowest", None)
-            parts.append(counted)
     groups = list(edges) or ([(r[by],) for r in df.select(by).distinct().collect()] if by else [()])
     listed = [(c, *g) for g in groups for c in columns]
     schema = "feature string" + (f", {by} {df.schema[by].dataType.simpleString()}" if by else "")
     listing = df.sparkSession.createDataFrame(listed, schema)
-    if not parts:
+    # A feature without two edges in any group has no bins at all.
+    usable = {c: max((per[c] for per in edges.values()), key=len) for c in numeric if edges}
+    usable = {c: e for c, e in usable.items() if len(e) >= 2}
+    if not usable:
         return listing.withColumn("iv", F.lit(0.0))
-    counted = reduce(DataFrame.unionByName, parts)
+
+    def own_bin(c):
+        if not by:
+            return bin_number(F.col(f"`{c}`"), usable[c], "right_lowest")
+        return grouped_bin_number(F.col(f"`{c}`"), by, {g[0]: per[c] for g, per in edges.items()}, "right_lowest")
+
+    counted = bin_counts(df, usable, label, keys, number=own_bin)
     group = Window.partitionBy("feature", *keys)
     t = counted.withColumn("_b", F.col("bad").cast("double")).withColumn(
         "_g", (F.col("labelled") - F.col("bad")).cast("double"))
