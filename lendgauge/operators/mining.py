@@ -113,35 +113,34 @@ def mine_rules(df: DataFrame, key, label="label", time_col=None, kind="exrf", fe
 
 # ---------------------------------------------------------------- greedy sets
 
-def hit_patterns(df: DataFrame, rules, label="label", group=None) -> DataFrame:
-    """([group,] hits, n, bad): rows with the same met rules, as sorted rule positions, counted together."""
+def first_hit_counts(df: DataFrame, rules, kept, label="label", group="target_group"):
+    """[(group, first kept rule met or None, rows, bads)]: one aggregation with one row per rule and group."""
+    conditions = _conditions(df, [rules[k] for k in kept])
+    steps = [F.when(c, F.lit(k)) for c, k in zip(conditions, kept)]
+    first = F.coalesce(*steps) if steps else F.lit(None).cast("int")
+    counted = df.select(F.col(group).alias("g"), first.alias("r"), F.col(label).cast("double").alias("_y")).groupBy(
+        "g", "r").agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("bad"))
+    return counted.collect()
+
+
+def hit_patterns(df: DataFrame, rules, label="label") -> DataFrame:
+    """(hits, n, bad): rows that meet the same rules, as sorted rule positions, counted together."""
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in enumerate(_conditions(df, rules))]))
-    keys = [F.col(group).alias("_g")] if group else []
-    return df.select(*keys, hits.alias("hits"), F.col(label).cast("double").alias("_y")).groupBy(
-        *(["_g"] if group else []), "hits").agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("bad"))
+    return df.select(hits.alias("hits"), F.col(label).cast("double").alias("_y")).groupBy("hits").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0.0)).alias("bad"))
 
 
-def choose_rules(patterns: DataFrame, n_rules, policy=1, driver_patterns=DRIVER_PATTERNS):
-    """Positions kept when walking the rules in order, each judged on the rows no kept rule has met.
+def choose_by_rate(patterns: DataFrame, n_rules, driver_patterns=DRIVER_PATTERNS):
+    """Positions kept when every rule, in order, must meet rows not met by a kept one before whose bad
+    rate is not below that of all rows.
 
-    policy 0 keeps all, 1 asks for new rows, 2 for new bads, 3 for a bad rate of the new rows not
-    below that of all rows.
+    Few patterns are walked on the driver; many stay in Spark, with one aggregation per dropped rule.
     """
-    if policy not in (0, 1, 2, 3):
-        raise ValueError("policy must be 0, 1, 2 or 3")
-    every = list(range(n_rules))
-    if policy == 0:
-        return every
-    if policy in (1, 2):
-        # What a rejected rule would have met holds no new rows (1) or no bads (2), so the
-        # judgement of later rules does not change: one pass decides all.
-        met = _first_hits(patterns, every)
-        return [r for r in every if (met.get(r, (0, 0.0))[0 if policy == 1 else 1]) > 0]
-    whole = patterns.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    whole = patterns.agg(F.count("*").alias("p"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = whole["bad"] / whole["n"] if whole["n"] else 0.0
-    if patterns.count() <= driver_patterns:
-        return _walk(patterns.select("hits", "n", "bad").collect(), every, base)
-    kept, at = list(every), 0
+    if whole["p"] <= driver_patterns:
+        return _walk(patterns.collect(), list(range(n_rules)), base)
+    kept, at = list(range(n_rules)), 0
     while at < len(kept):
         # Rules before ``at`` are settled; the first one that fails now is dropped for good.
         met = _first_hits(patterns, kept)
@@ -154,6 +153,32 @@ def choose_rules(patterns: DataFrame, n_rules, policy=1, driver_patterns=DRIVER_
     return kept
 
 
+def choose_rules(df: DataFrame, rules, policy=1, label="label", group="target_group", driver_patterns=DRIVER_PATTERNS):
+    """(kept positions, their first-hit counts) when walking the rules in order.
+
+    policy 0 keeps all; 1 asks for new rows; 2 for new bads; 3 for a bad rate of the new rows not
+    below that of all rows. Under 1 and 2 a dropped rule frees no rows (1) or no bads (2), so later
+    rules are judged alike and one pass decides all.
+    """
+    every = list(range(len(rules)))
+    if policy == 3:
+        patterns = hit_patterns(df, rules, label).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            kept = choose_by_rate(patterns, len(rules), driver_patterns)
+        finally:
+            patterns.unpersist()
+        return kept, first_hit_counts(df, rules, kept, label, group)
+    if policy not in (0, 1, 2):
+        raise ValueError("policy must be 0, 1, 2 or 3")
+    counted = first_hit_counts(df, rules, every, label, group)
+    if policy == 0:
+        return every, counted
+    measure = "n" if policy == 1 else "bad"
+    new = {k: sum(r[measure] for r in counted if r["r"] == k) for k in every}
+    kept = [k for k in every if new[k] > 0]
+    return kept, counted if policy == 1 else first_hit_counts(df, rules, kept, label, group)
+
+
 def _first_hits(patterns, kept):
     """{rule: (rows, bads)} by the first kept rule each row meets."""
     first = F.array_min(F.array_intersect("hits", F.array(*[F.lit(k) for k in kept])))
@@ -196,17 +221,10 @@ def rule_set(df: DataFrame, performance: DataFrame, policy=1, sort_by="test", ma
               "rest_lift double, train_cum_hit_rate double, test_cum_hit_rate double, psi double")
     if not rules:
         return df.sparkSession.createDataFrame([], schema)
-    patterns = hit_patterns(df, rules, label, group).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        merged = patterns.groupBy("hits").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        kept = choose_rules(merged, len(rules), policy, driver_patterns)
-        first = F.array_min(F.array_intersect("hits", F.array(*[F.lit(k) for k in kept]))) if kept else F.lit(None).cast("int")
-        counted = patterns.groupBy("_g", first.alias("r")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()
-    finally:
-        patterns.unpersist()
+    kept, counted = choose_rules(df, rules, policy, label, group, driver_patterns)
     # From here on one number per kept rule and group.
     def figures(part):
-        chosen = [r for r in counted if part is None or r["_g"] == part]
+        chosen = [r for r in counted if part is None or r["g"] == part]
         met = {}
         for r in chosen:
             n, bad = met.get(r["r"], (0, 0.0))
@@ -240,5 +258,5 @@ def captured(df: DataFrame, rules, keep=()) -> DataFrame:
         *[c for c in keep if c not in used], *used, "hit_rule")
 
 
-__all__ = ["captured", "choose_rules", "extract_rules", "fit_trees", "hit_patterns", "mine_rules", "mining_summary",
+__all__ = ["captured", "choose_by_rate", "choose_rules", "extract_rules", "fit_trees", "hit_patterns", "mine_rules", "mining_summary",
            "rule_performance", "rule_set"]
