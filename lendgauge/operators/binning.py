@@ -155,7 +155,7 @@ def _midpoints(spark, totals, splits):
     return result
 
 
-def chi_merge_edges(df: DataFrame, columns, label, bins=10, start_bins=256, small_group=SMALL_GROUP):
+def chi_merge_edges(df: DataFrame, columns, label, bins=10, start_bins=64, small_group=SMALL_GROUP):
     """ChiMerge edges: fine equal-frequency intervals, the neighbours most alike merged until ``bins``.
 
     Only the interval counts (features x ``start_bins``) reach the driver.

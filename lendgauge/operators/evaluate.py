@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,8 @@ def ks_auc(df: DataFrame, by=(), score="proba", label="label", weight=None, smal
 
     Rows with equal scores are summed first, so ties count half in the AUC. A group with one label
     class has KS 0 and AUC 0.5. ``digits`` rounds the score before grouping to bound the number of
-    distinct scores; without it the result is exact.
+    distinct scores; without it the result is exact. Scores are computed once: the sums per distinct
+    score are kept while the figures, two numbers per group, are read.
     """
     keys = list(by)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -33,30 +35,46 @@ def ks_auc(df: DataFrame, by=(), score="proba", label="label", weight=None, smal
         F.when(F.col(label) == 0, w).otherwise(0.0).alias("_g"), F.when(F.col(label) == 1, w).otherwise(0.0).alias("_b"))
     keyed = keys + ["_all"]
     per_score = rows.groupBy(*keyed, "_s").agg(F.sum("_g").alias("g"), F.sum("_b").alias("b"))
-    running = running_totals(per_score, keyed, "_s", ["g", "b"], small_group)
-    totals = per_score.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keyed)]).agg(
-        F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
-    same = [running[k].eqNullSafe(totals[f"_t{i}"]) for i, k in enumerate(keyed)]
-    joined = running.join(F.broadcast(totals), same)
-    gap = F.abs(F.try_divide("cum_g", "all_g") - F.try_divide("cum_b", "all_b"))
-    area = F.sum(F.col("b") * (F.col("cum_g") - F.col("g") + F.col("g") / 2))
-    pairs = F.first("all_g") * F.first("all_b")
-    return joined.groupBy(*keyed).agg(
-        F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
-        F.coalesce(F.try_divide(area, pairs), F.lit(0.5)).alias("auc")).drop("_all")
+    per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        totals = per_score.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keyed)]).agg(
+            F.sum("g").alias("all_g"), F.sum("b").alias("all_b"), F.count("*").alias("_n"))
+        found = totals.collect()
+        known = df.sparkSession.createDataFrame(found, totals.schema).drop("_n")
+        running = running_totals(per_score, keyed, "_s", ["g", "b"], small_group, max((r["_n"] for r in found), default=0))
+        same = [running[k].eqNullSafe(known[f"_t{i}"]) for i, k in enumerate(keyed)]
+        joined = running.join(F.broadcast(known), same)
+        gap = F.abs(F.try_divide("cum_g", "all_g") - F.try_divide("cum_b", "all_b"))
+        area = F.sum(F.col("b") * (F.col("cum_g") - F.col("g") + F.col("g") / 2))
+        measured = joined.groupBy(*keyed).agg(
+            F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
+            F.coalesce(F.try_divide(area, F.first("all_g") * F.first("all_b")), F.lit(0.5)).alias("auc")).drop("_all")
+        return df.sparkSession.createDataFrame(measured.collect(), measured.schema)
+    finally:
+        per_score.unpersist()
+
+
+def _by_split_and_month(df, score, label, target, month, sets):
+    """(section, datasets, score, label): every row once for its split and once for its month."""
+    keys = [F.struct(F.lit("split").alias("section"), F.when(F.col(target).isin(*sets), F.col(target)).alias("datasets"))]
+    if month in df.columns:
+        keys.append(F.struct(F.lit("month").alias("section"), F.col(month).alias("datasets")))
+    rows = df.select(F.explode(F.array(*keys)).alias("k"), F.col(score).alias("proba"), F.col(label).alias("label"))
+    return rows.select("k.section", "k.datasets", "proba", "label").where(F.col("datasets").isNotNull())
+
+
+def _with_several_months(result):
+    """Drop the month rows when there is only one month."""
+    months = F.count_if(F.col("section") == "month").over(Window.partitionBy(F.lit(1)))
+    return result.withColumn("_n", months).where((F.col("section") != "month") | (F.col("_n") > 1)).drop("_n", "section")
 
 
 def performance(df: DataFrame, score="proba", label="label", target="target", month="month_time",
                 sets=("train", "valid", "oot"), small_group=SMALL_GROUP) -> DataFrame:
-    """(datasets, auc, ks) per split, then per month when there are at least two months."""
-    per_set = ks_auc(df.where(F.col(target).isin(*sets)), [target], score, label, None, small_group)
-    result = per_set.select(F.col(target).alias("datasets"), "auc", "ks")
-    if month in df.columns:
-        per_month = ks_auc(df.where(F.col(month).isNotNull()), [month], score, label, None, small_group)
-        several = Window.partitionBy(F.lit(1))
-        per_month = per_month.withColumn("_n", F.count("*").over(several)).where(F.col("_n") > 1)
-        result = result.unionByName(per_month.select(F.col(month).alias("datasets"), "auc", "ks"))
-    return result
+    """(datasets, auc, ks) per split, and per month when there are at least two months, from one pass."""
+    rows = _by_split_and_month(df, score, label, target, month, sets)
+    found = ks_auc(rows, ["section", "datasets"], "proba", "label", None, small_group)
+    return _with_several_months(found.select("section", "datasets", "auc", "ks"))
 
 
 def top_lift(df: DataFrame, by, score="proba", label="label", percents=TOP_PERCENTS, small_group=SMALL_GROUP):
@@ -79,10 +97,10 @@ def top_lift(df: DataFrame, by, score="proba", label="label", percents=TOP_PERCE
 def performance_table(df: DataFrame, score="proba", label="label", target="target", month="month_time",
                       sets=("train", "valid", "oot"), small_group=SMALL_GROUP) -> DataFrame:
     """KS and AUC beside the top-share lifts, per split and month."""
-    lifts = top_lift(df, target, score, label, small_group=small_group)
-    if month in df.columns:
-        lifts = lifts.unionByName(top_lift(df, month, score, label, small_group=small_group))
-    return performance(df, score, label, target, month, sets, small_group).join(F.broadcast(lifts), "datasets", "left")
+    rows = _by_split_and_month(df, score, label, target, month, sets)
+    found = ks_auc(rows, ["section", "datasets"], "proba", "label", None, small_group)
+    lifts = top_lift(rows, "datasets", "proba", "label", small_group=small_group)
+    return _with_several_months(found.select("section", "datasets", "auc", "ks")).join(F.broadcast(lifts), "datasets", "left")
 
 
 def score_ks_table(df: DataFrame, score="score", label="label", buckets=10, by=None, small_group=SMALL_GROUP):

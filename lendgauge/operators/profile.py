@@ -164,16 +164,28 @@ def dataset_summary(df: DataFrame, label="label", freq_limit=0.95, missing_limit
 
     system = SYSTEM_COLUMNS | {label.lower()}
     features = [c for c in df.columns if c.lower() not in system]
-    kinds = df.sparkSession.createDataFrame(
-        [(i, n, k) for i, (n, k) in enumerate(df.dtypes)], "position int, column_name string, data_type string")
+    places = {n: (i, k) for i, (n, k) in enumerate(df.dtypes)}
     screened = screen_basic(df, features, freq_limit, missing_limit, impute_value).select(
         "column_name", "kept", "reason")
     numeric = numeric_columns(df)
-    result = kinds.join(missing_profile(df, impute_value=impute_value), "column_name")
-    result = result.join(describe_numeric(df, numeric), "column_name", "left")
-    # The quartiles of describe repeat the grid's median under its own name.
-    result = result.join(quantile_grid(df, numeric).drop("q50"), "column_name", "left")
-    return result.join(screened, "column_name", "left").orderBy("position")
+
+    def measures(name):
+        c, number = F.col(f"`{name}`"), name in numeric
+        nothing = F.max(F.lit(None))
+        return {
+            "position": (F.max(F.lit(places[name][0])), "int"), "data_type": (F.max(F.lit(places[name][1])), "string"),
+            "n_missing": (F.count_if(_missing(df, name, impute_value)), "bigint"), "n_rows": (F.count("*"), "bigint"),
+            "count": (F.count(c) if number else nothing, "bigint"), "mean": (F.avg(c) if number else nothing, "double"),
+            "std": (F.stddev_samp(c) if number else nothing, "double"), "min": (F.min(c) if number else nothing, "double"),
+            "max": (F.max(c) if number else nothing, "double")}
+
+    shares = sorted({0.25, 0.75, *QUANTILE_GRID})
+    names = [f"q{round(p * 100)}" for p in shares]
+    grid = quantile_frame(df, numeric, shares, names)
+    stats = per_column(df, df.columns, measures).join(F.broadcast(grid), "column_name", "left")
+    return stats.join(F.broadcast(screened), "column_name", "left").select(
+        "position", "column_name", "data_type", "n_missing", ratio("n_missing", "n_rows").alias("missing_rate"), "count",
+        "mean", "std", "min", *names, "max", "kept", "reason").orderBy("position")
 
 
 def overview(df: DataFrame) -> DataFrame:

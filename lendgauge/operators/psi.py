@@ -180,10 +180,10 @@ def _pair_quantiles(present, ends, base_month, bins, small_group):
     return edges
 
 
-def pairwise_psi(df: DataFrame, columns, target="target", bins=10) -> DataFrame:
+def pairwise_psi(df: DataFrame, columns, target="target", bins=10, cuts=None) -> DataFrame:
     """psi_tv, psi_to and psi_vo per numeric feature on the deciles of train, from one counting pass."""
     columns = list(columns)
-    cuts = equal_frequency_cuts(df.where(F.col(target) == "train"), columns, bins)
+    cuts = cuts or equal_frequency_cuts(df.where(F.col(target) == "train"), columns, bins)
     parts = {"t": "train", "v": "valid", "o": "oot"}
     wide = df.where(F.col(target).isin(*parts.values())).select(
         F.col(target).alias("_t"), *[bin_number(F.col(f"`{c}`"), cuts[c], "right").alias(c) for c in columns])

@@ -199,13 +199,16 @@ def _count_cells(spark, rows, names, key_fields, kind, proposals):
 
 # ---------------------------------------------------------------- running totals
 
-def running_totals(df: DataFrame, keys, order, measures, small_group=SMALL_GROUP):
+def running_totals(df: DataFrame, keys, order, measures, small_group=SMALL_GROUP, largest=None):
     """Add ``cum_<measure>``: inclusive running sums in ``order`` within ``keys``.
 
     ``df`` must hold one row per (keys, order), that is, be aggregated already. ``order`` is numeric.
+    ``largest`` is the row count of the largest group if the caller knows it.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    sizes = largest
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     if sizes <= small_group:
         upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[F.sum(m).over(upto).alias(f"cum_{m}") for m in measures])

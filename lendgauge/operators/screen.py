@@ -11,7 +11,7 @@ from .ranks import SKETCH_ACCURACY
 from .woe import multi_set_metrics
 
 # Pairs up to this many use built-in aggregates; more go through batch matrix products.
-NATIVE_PAIRS = 60
+NATIVE_PAIRS = 15
 
 VERDICT = ("column_name string, missing_rate double, std double, kept boolean, reason string")
 

@@ -4,7 +4,7 @@ No split sorts the table: the boundary row is found by exact rank selection, the
 compared with it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import parse_time
@@ -24,28 +24,27 @@ def default_oot_share(ratios=None):
     return ratios[-1] / sum(ratios) if ratios and len(ratios) >= 3 else DEFAULT_OOT_SHARE
 
 
-def _rank_cut(df: DataFrame, order, tie, rank, small_group):
-    """(order, tie) of the row at ``rank`` when sorted by both; None when the rank is outside."""
-    present = df.where(F.col(order).isNotNull())
-    n = present.count()
+def _rank_cut(df: DataFrame, order, tie, rank, n, small_group):
+    """(order, tie) of the row at ``rank`` of the ``n`` timed rows sorted by both; None outside of them."""
     if rank >= n or rank < 0:
         return None
+    present = df.where(F.col(order).isNotNull()).select(order, tie)
+    if n <= small_group:
+        sorted_rows = Window.partitionBy(F.lit(0)).orderBy(order, tie)
+        row = present.withColumn("_r", F.row_number().over(sorted_rows)).where(F.col("_r") == rank + 1).first()
+        return row[order], row[tie]
     at = order_statistics(present, order, {(): [rank]}, (), small_group, sizes={(): n})[()][rank]
     below, equal = present.agg(
         F.count_if(F.col(order) < F.lit(at)), F.count_if(F.col(order) == F.lit(at))).first()
     inner = rank - below
-    if inner == 0:
-        return at, None
     ties = present.where(F.col(order) == F.lit(at))
-    found = order_statistics(ties, tie, {(): [inner]}, (), small_group, sizes={(): equal})
-    return at, found[()][inner]
+    return at, order_statistics(ties, tie, {(): [inner]}, (), small_group, sizes={(): equal})[()][inner]
 
 
 def _at_or_after(order, tie, cut):
     at, tie_value = cut
     later = F.col(order) > F.lit(at)
-    same = F.col(order) == F.lit(at)
-    return later | (same if tie_value is None else same & (F.col(tie) >= F.lit(tie_value)))
+    return later | ((F.col(order) == F.lit(at)) & (F.col(tie) >= F.lit(tie_value)))
 
 
 def tag_oot_by_share(df: DataFrame, time_col, key, share, tag="split", null_times="rest", small_group=SMALL_GROUP):
@@ -59,7 +58,7 @@ def tag_oot_by_share(df: DataFrame, time_col, key, share, tag="split", null_time
     boundary = int(n * (1 - share))
     absent = F.col("_time").isNull()
     if null_times == "oot":
-        cut = _rank_cut(timed, "_time", key, boundary, small_group) if boundary < present else None
+        cut = _rank_cut(timed, "_time", key, boundary, present, small_group) if boundary < present else None
         if cut is None:
             nulls = timed.where(absent)
             inner = boundary - present
@@ -70,7 +69,7 @@ def tag_oot_by_share(df: DataFrame, time_col, key, share, tag="split", null_time
         else:
             oot = F.coalesce(_at_or_after("_time", key, cut), F.lit(True))
     else:
-        cut = _rank_cut(timed, "_time", key, max(boundary - (n - present), 0), small_group)
+        cut = _rank_cut(timed, "_time", key, max(boundary - (n - present), 0), present, small_group)
         oot = F.lit(False) if cut is None else F.coalesce(_at_or_after("_time", key, cut), F.lit(False))
     return timed.withColumn(tag, F.when(oot, "oot")).drop("_time")
 
@@ -165,8 +164,8 @@ def mining_split(df: DataFrame, key, time_col=None, share=0.7, seed=42, tag="tar
         limit = int(share * 2 ** 52)
         return df.withColumn(tag, F.when(stable_draw(key, seed) < F.lit(limit), "train").otherwise("test"))
     timed = df.withColumn("_time", parse_time(df, time_col))
-    boundary = int(timed.count() * share) + 1
-    cut = _rank_cut(timed, "_time", key, boundary, small_group)
+    n, present = timed.agg(F.count("*"), F.count("_time")).first()
+    cut = _rank_cut(timed, "_time", key, int(n * share) + 1, present, small_group)
     # Rows without a time sort last, so they belong to the test part.
     later = F.lit(False) if cut is None else F.coalesce(_at_or_after("_time", key, cut), F.lit(True))
     return timed.withColumn(tag, F.when(later, "test").otherwise("train")).drop("_time")

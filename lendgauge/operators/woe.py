@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import bin_number
+from ..functions.bins import bin_number, with_infinite_ends
 from ..functions.guards import SIMPLE_IV_EPSILON, WOE_EPSILON, finite_or_zero, is_numeric, psi_term, ratio, smooth
 from .binning import (bin_counts, edge_frame, equal_frequency_cuts, equal_frequency_edges, grouped_bin_number,
                       tree_edges)
 from .profile import distinct_profile, missing_profile
-from .ranks import SMALL_GROUP
+from .ranks import SMALL_GROUP, quantiles
 
 
 def woe_from_counts(counts: DataFrame, edges, by=(), closed="right") -> DataFrame:
@@ -97,14 +97,15 @@ def woe_detail(df: DataFrame, edges, label="label", quantile_bins=None, small_gr
         "good_distr", "bad_distr")
 
 
-def simple_iv(df: DataFrame, columns, label="label", by=None, bins=10, small_group=SMALL_GROUP) -> DataFrame:
+def simple_iv(df: DataFrame, columns, label="label", by=None, bins=10, small_group=SMALL_GROUP, edges=None) -> DataFrame:
     """(feature, [by,] iv) over own equal-frequency bins of every group.
 
     Text features and groups with one label class get 0.
     """
     keys = [by] if by else []
     numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    edges = equal_frequency_edges(df, numeric, bins, keys, small_group) if numeric else {}
+    if edges is None:
+        edges = equal_frequency_edges(df, numeric, bins, keys, small_group) if numeric else {}
     groups = list(edges) or ([(r[by],) for r in df.select(by).distinct().collect()] if by else [()])
     listed = [(c, *g) for g in groups for c in columns]
     schema = "feature string" + (f", {by} {df.schema[by].dataType.simpleString()}" if by else "")
@@ -216,18 +217,25 @@ def multi_set_metrics(df: DataFrame, columns, label="label", target="target", se
     from .psi import pairwise_psi
 
     columns = [c for c in columns if c in df.columns]
+    numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    cuts = None
     if iv_method == "tree":
-        numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
         wide = iv_by_set(df, learn_edges(df, numeric, label, target), sets, label, target)
         wide = wide.withColumnsRenamed({f"{s}_iv": f"iv_{s}" for s in sets})
     else:
-        own = simple_iv(df.where(F.col(target).isin(*sets)), columns, label, target, bins)
+        scope = df.where(F.col(target).isin(*sets))
+        # One set of quantiles serves both: all of them bin a split for its IV, the inner ones of train
+        # carry the PSI.
+        found = quantiles(scope, numeric, [i / bins for i in range(bins + 1)], [target]) if numeric else {}
+        edges = {g: {c: sorted(set(v)) if v else [] for c, v in per.items()} for g, per in found.items()}
+        if ("train",) in found:
+            cuts = {c: with_infinite_ends((v or [])[1:-1]) for c, v in found[("train",)].items()}
+        own = simple_iv(scope, columns, label, target, bins, edges=edges)
         wide = own.groupBy("feature").agg(*[
             F.max(F.when(F.col(target) == s, F.col("iv"))).alias(f"iv_{s}") for s in sets])
-    numeric = [c for c in columns if is_numeric(df.schema[c].dataType)]
     listed = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
     joined = listed.join(wide, "feature", "left").join(
-        pairwise_psi(df, numeric, target, bins), "feature", "left")
+        pairwise_psi(df, numeric, target, bins, cuts), "feature", "left")
     return joined.select("feature", *[finite_or_zero(c).alias(c) for c in joined.columns if c != "feature"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ...operators import binning, psi, woe
-from ..loanbook import NUMERIC_FEATURES, applications
+from ..loanbook import NUMERIC_FEATURES, kept_applications
 from .registry import (binned_part, cuts_part, long_part, on_app, query, r6, rounded, woe_columns, woe_part, woe_select)
 
 FEATURES = NUMERIC_FEATURES
@@ -14,7 +14,7 @@ SETS = ("train", "valid", "oot")
 
 
 def train(spark, folder, columns):
-    return applications(spark, folder, [*columns, "target"]).where(F.col("target") == "train")
+    return kept_applications(spark, folder, [*columns, "target"]).where(F.col("target") == "train")
 
 
 def edges_frame(spark, edges) -> DataFrame:
@@ -31,14 +31,14 @@ def edges_frame(spark, edges) -> DataFrame:
     "FROM (SELECT DISTINCT feature, unnest(quantile_cont(value, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1])) AS edge "
     "FROM long GROUP BY feature)", long_part()))
 def equal_frequency_edges(spark, folder):
-    return edges_frame(spark, binning.equal_frequency_edges(applications(spark, folder, FEATURES), FEATURES)[()])
+    return edges_frame(spark, binning.equal_frequency_edges(kept_applications(spark, folder, FEATURES), FEATURES)[()])
 
 
 @query("equal_width_edges", on_app(
     "SELECT feature, CAST(i AS INT) AS position, round(CASE WHEN i = 10 THEN hi ELSE i * ((hi - lo) / 10) + lo END, 6) AS edge "
     "FROM (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature), range(11) t(i)", long_part()))
 def equal_width_edges(spark, folder):
-    return edges_frame(spark, binning.equal_width_edges(applications(spark, folder, FEATURES), FEATURES, 10))
+    return edges_frame(spark, binning.equal_width_edges(kept_applications(spark, folder, FEATURES), FEATURES, 10))
 
 
 def stump(minimum):
@@ -57,7 +57,7 @@ s AS (SELECT *, (lg * lg + lb * lb) / (lg + lb) + ((tg - lg) * (tg - lg) + (tb -
     "SELECT feature, 0 AS position, round((value + following) / 2, 6) AS edge FROM s "
     "QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1", long_part(), stump(0.05)))
 def tree_stump_edges(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label"])
+    app = kept_applications(spark, folder, [*FEATURES, "label"])
     return edges_frame(spark, binning.tree_edges(app, FEATURES, "label", max_leaf_nodes=2, min_samples_leaf=0.05))
 
 
@@ -77,7 +77,7 @@ def chi_merge_edges(spark, folder):
     "SELECT feature, CAST(bin AS INT) AS bin, COUNT(*) AS n FROM binned GROUP BY feature, bin",
     long_part(), cuts_part(), binned_part()))
 def bins_right_closed(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "target"])
     cuts = binning.equal_frequency_cuts(app.where(F.col("target") == "train"), FEATURES)
     counted = binning.bin_counts(app, cuts, None)
     return counted.select("feature", "bin", F.col("total").alias("n"))
@@ -87,7 +87,7 @@ def bins_right_closed(spark, folder):
     "SELECT app_id, " + ", ".join(f"max(CASE WHEN feature = '{f}' THEN CAST(bin AS INT) END) AS {f}_bin" for f in FEATURES)
     + " FROM binned GROUP BY app_id", long_part(), cuts_part(), binned_part()))
 def bins_assigned(spark, folder):
-    app = applications(spark, folder, ["app_id", *FEATURES, "target"])
+    app = kept_applications(spark, folder, ["app_id", *FEATURES, "target"])
     cuts = binning.equal_frequency_cuts(app.where(F.col("target") == "train"), FEATURES)
     return binning.assign_bins(app, cuts).select("app_id", *[f"{f}_bin" for f in FEATURES])
 
@@ -103,7 +103,7 @@ WIDTH_PARTS = (
     "SELECT feature, CAST(least(len(list_filter(e, lambda c: c <= value)), 10) AS INT) AS bin, COUNT(*) AS n "
     "FROM long JOIN edges USING (feature) WHERE value IS NOT NULL GROUP BY ALL", *WIDTH_PARTS))
 def bins_left_closed(spark, folder):
-    app = applications(spark, folder, FEATURES)
+    app = kept_applications(spark, folder, FEATURES)
     edges = binning.equal_width_edges(app, FEATURES, 10)
     counted = binning.bin_counts(app, edges, None, closed="left_highest", missing=None)
     return counted.select("feature", "bin", F.col("total").alias("n"))
@@ -113,7 +113,7 @@ def bins_left_closed(spark, folder):
     "SELECT feature, CAST(greatest(len(list_filter(e, lambda c: c < value)), 1) AS INT) AS bin, COUNT(*) AS n "
     "FROM long JOIN edges USING (feature) WHERE value IS NOT NULL GROUP BY ALL", *WIDTH_PARTS))
 def bins_lowest_included(spark, folder):
-    app = applications(spark, folder, FEATURES)
+    app = kept_applications(spark, folder, FEATURES)
     edges = binning.equal_width_edges(app, FEATURES, 10)
     counted = binning.bin_counts(app, edges, None, closed="right_lowest", missing=None)
     return counted.select("feature", "bin", F.col("total").alias("n"))
@@ -124,7 +124,7 @@ def bins_lowest_included(spark, folder):
     "THEN list_sort(cuts)[bin - 1] END, 4) AS low, COUNT(*) AS n FROM binned JOIN cuts USING (feature) GROUP BY ALL",
     long_part(), cuts_part(), binned_part()))
 def bin_labels_ordered(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "target"])
     cuts = binning.equal_frequency_cuts(app.where(F.col("target") == "train"), FEATURES)
     counted = binning.bin_counts(app, cuts, None).join(binning.edge_frame(spark, cuts), ["feature", "bin"])
     return counted.select(
@@ -139,7 +139,7 @@ def bin_labels_ordered(spark, folder):
     cuts_part("true", source="pair", probabilities="[0.125,0.25,0.375,0.5,0.625,0.75,0.875]"),
     binned_part(source="pair"), woe_part(["feature"])))
 def explore_quantile_bins(spark, folder):
-    app = applications(spark, folder, ["amount", "label"])
+    app = kept_applications(spark, folder, ["amount", "label"])
     return woe_columns(binning.binning_explorer(app, "amount", method="quantile", n_bins=8), ["feature"])
 
 
@@ -149,21 +149,21 @@ def explore_quantile_bins(spark, folder):
     "QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1)",
     "pair AS (SELECT * FROM long WHERE value IS NOT NULL)", binned_part(source="pair"), woe_part(["feature"])))
 def explore_tree_bins(spark, folder):
-    app = applications(spark, folder, ["qty", "label"])
+    app = kept_applications(spark, folder, ["qty", "label"])
     return woe_columns(binning.binning_explorer(app, "qty", method="decision_tree", min_samples_leaf=0.1,
                                                 max_leaf_nodes=2), ["feature"])
 
 
 @query("explore_chi_bins")
 def explore_chi_bins(spark, folder):
-    app = applications(spark, folder, ["amount", "label"])
+    app = kept_applications(spark, folder, ["amount", "label"])
     return woe_columns(binning.binning_explorer(app, "amount", method="chi", n_bins=6), ["feature"])
 
 
 # ---------------------------------------------------------------- WOE and IV
 
 def app_and_cuts(spark, folder, features=FEATURES, extra=()):
-    app = applications(spark, folder, [*features, "label", "target", *extra])
+    app = kept_applications(spark, folder, [*features, "label", "target", *extra])
     return app, binning.equal_frequency_cuts(app.where(F.col("target") == "train"), features)
 
 
@@ -189,7 +189,7 @@ def woe_table_by_set(spark, folder):
     "pair AS (SELECT * FROM long WHERE value IS NOT NULL)", binned_part(source="pair", cuts="picked"),
     woe_part(["feature"])))
 def woe_detail(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label"])
+    app = kept_applications(spark, folder, [*FEATURES, "label"])
     edges = binning.equal_frequency_cuts(app, FEATURES)
     open_ended = [float("-inf"), float("inf")]
     table = woe.woe_detail(app, {**edges, "amount": open_ended, "qty": open_ended})
@@ -213,7 +213,7 @@ SIMPLE_IV_PARTS = (
     "SELECT feature, target, round(iv, 6) AS iv FROM siv UNION ALL SELECT DISTINCT 'segment', target, 0.0 FROM app",
     *SIMPLE_IV_PARTS))
 def simple_iv_by_set(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "segment", "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "segment", "label", "target"])
     return rounded(woe.simple_iv(app, [*FEATURES, "segment"], by="target"))
 
 
@@ -230,7 +230,7 @@ def iv_by_set(spark, folder):
 
 @query("iv_by_set_tree")
 def iv_by_set_tree(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "label", "target"])
     return rounded(woe.iv_by_set(app, woe.learn_edges(app, FEATURES)))
 
 
@@ -273,7 +273,7 @@ def compare_sets(spark, folder):
     *[p.replace("long AS (", "alls AS (") if p.startswith("long AS") else p for p in SIMPLE_IV_PARTS[:1]],
     "long AS (SELECT feature, app_id, 'all' AS target, month_time, label, value FROM alls)", *SIMPLE_IV_PARTS[1:]))
 def feature_report(spark, folder):
-    return woe.feature_report(applications(spark, folder, [*FEATURES, "segment", "label"]), [*FEATURES, "segment"])
+    return woe.feature_report(kept_applications(spark, folder, [*FEATURES, "segment", "label"]), [*FEATURES, "segment"])
 
 
 PAIRWISE_PARTS = (
@@ -293,7 +293,7 @@ PAIRWISE_PARTS = (
     + " FROM siv JOIN pp USING (feature) GROUP BY feature UNION ALL SELECT 'segment', 0.0, 0.0, 0.0, 0.0, 0.0, 0.0",
     *SIMPLE_IV_PARTS, *PAIRWISE_PARTS))
 def feature_metrics(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "segment", "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "segment", "label", "target"])
     return rounded(woe.multi_set_metrics(app, [*FEATURES, "segment"]))
 
 
@@ -343,7 +343,7 @@ LEFT_HIGHEST = "least(len(list_filter(e, lambda c: c <= value)), len(e) - 1)"
       round(SUM((ap - xp) * ln(ap / xp)), 6), false FROM terms""",
     long_part(["amount"]), *SCOPED_ENDS, *side_parts(RIGHT_LOWEST)))
 def psi_detail(spark, folder):
-    app = applications(spark, folder, ["amount", "target"])
+    app = kept_applications(spark, folder, ["amount", "target"])
     detail = psi.psi_detail(app, "amount", F.col("target") == "train", F.col("target") == "oot")
     return rounded(detail.drop("score_range"))
 
@@ -354,7 +354,7 @@ def psi_detail(spark, folder):
     "edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1]))) AS e "
     "FROM long WHERE target IN ('train', 'oot') GROUP BY feature)", *side_parts(LEFT_HIGHEST)))
 def psi_compact(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "target"])
     return rounded(psi.psi_between(app, FEATURES, F.col("target") == "train", F.col("target") == "oot",
                                    method="equal_frequency"))
 
@@ -364,7 +364,7 @@ def psi_compact(spark, folder):
     "(SELECT feature, SUM((ap - xp) * ln(ap / xp)) AS psi FROM terms GROUP BY feature)",
     long_part(), *SCOPED_ENDS, *side_parts(LEFT_HIGHEST)))
 def psi_filter(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "target"])
     return rounded(psi.psi_filter(app, FEATURES, threshold=0.003))
 
 
@@ -385,13 +385,13 @@ def psi_filter(spark, folder):
     "(SELECT month_time, unnest(range(1, 11)) AS bin FROM edges) d LEFT JOIN mx ON mx.month_time = d.month_time AND mx.bin = d.bin "
     "LEFT JOIN ma ON ma.month_time = d.month_time AND ma.bin = d.bin)"))
 def psi_by_month(spark, folder):
-    return rounded(psi.month_psi(applications(spark, folder, ["amount", "month_time"]), "amount"))
+    return rounded(psi.month_psi(kept_applications(spark, folder, ["amount", "month_time"]), "amount"))
 
 
 @query("psi_between_sets", on_app("SELECT feature, " + r6("psi_tv", "psi_to", "psi_vo") + " FROM pp",
                                   long_part(), *PAIRWISE_PARTS))
 def psi_between_sets(spark, folder):
-    return rounded(psi.pairwise_psi(applications(spark, folder, [*FEATURES, "target"]), FEATURES))
+    return rounded(psi.pairwise_psi(kept_applications(spark, folder, [*FEATURES, "target"]), FEATURES))
 
 
 REPORT_CUTS = "rc AS (SELECT quantile_cont(proba, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS cuts FROM app WHERE target = 'train')"
@@ -405,7 +405,7 @@ REPORT_BIN = "1 + len(list_filter(rc.cuts, lambda c: c < proba))"
       FROM rb GROUP BY bin)""",
     REPORT_CUTS, f"rb AS (SELECT target, month_time, {REPORT_BIN} AS bin FROM app, rc)"))
 def report_psi(spark, folder):
-    return rounded(psi.report_psi(applications(spark, folder, ["proba", "target"])))
+    return rounded(psi.report_psi(kept_applications(spark, folder, ["proba", "target"])))
 
 
 @query("report_month_psi", on_app(
@@ -418,7 +418,7 @@ def report_psi(spark, folder):
     "(SELECT month_time, unnest(range(1, 11)) AS bin FROM (SELECT DISTINCT month_time FROM app)) g "
     "LEFT JOIN rb ON rb.month_time = g.month_time AND rb.bin = g.bin)"))
 def report_month_psi(spark, folder):
-    return rounded(psi.report_month_psi(applications(spark, folder, ["proba", "target", "month_time"])))
+    return rounded(psi.report_month_psi(kept_applications(spark, folder, ["proba", "target", "month_time"])))
 
 
 @query("psi_of_event_values", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ...functions.predicates import Rule, Strategy, compile_rule, compile_rules, parse_rules
 from ...operators import strategy, swap
-from ..loanbook import applications
+from ..loanbook import applications, kept_applications
 from .models import SCORED, scored
 from .registry import on_app, query
 

@@ -8,7 +8,7 @@ from ...operators import binning, evaluate, mining, monitor, psi, scoring, train
 from ...sources.models import ScorecardModel
 from ...streaming import drift
 from .. import report
-from ..loanbook import NUMERIC_FEATURES, applications
+from ..loanbook import NUMERIC_FEATURES, applications, kept_applications
 from .bins import BINNED, SETS, app_and_cuts
 from .models import LIFT_NAMES, SCORED, scored
 from .registry import on_app, query, rounded, woe_part
@@ -21,7 +21,7 @@ FITTED = [*FEATURES, "segment"]
 # ---------------------------------------------------------------- models
 
 def fitted_model(spark, folder, kind="lr", **params):
-    app = applications(spark, folder, MODEL_COLUMNS)
+    app = kept_applications(spark, folder, MODEL_COLUMNS)
     return train.fit_model(app.where(F.col("target") == "train"), FITTED, model_type=kind, params=params), app
 
 
@@ -60,7 +60,7 @@ def class_weights(spark, folder):
 
 @query("parameter_search")
 def parameter_search(spark, folder):
-    _, trials = train.search(applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=2, seed=7,
+    _, trials = train.search(kept_applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=2, seed=7,
                              space={"C": ("log", 0.01, 1.0), "maxIter": ("log_int", 20, 50)})
     return trials.select("trial", F.to_json("params").alias("params"), F.round("value", 6).alias("value"),
                          *[F.round(F.col("metrics")[f"{s}_{m}"], 6).alias(f"{s}_{m}") for s in SETS for m in ("ks", "auc")])
@@ -113,7 +113,7 @@ def feature_importance(spark, folder):
 @query("batch_scoring")
 def batch_scoring(spark, folder):
     model, app = fitted_model(spark, folder, "lr", C=0.5, maxIter=50)
-    with_ids = applications(spark, folder, ["app_id", *MODEL_COLUMNS])
+    with_ids = kept_applications(spark, folder, ["app_id", *MODEL_COLUMNS])
     from ...functions.predicates import Rule
 
     scored_app = scoring.with_model_scores(with_ids, [Rule("_model_result_7", "<", 600)], {7: model})
@@ -186,7 +186,7 @@ RULE_PSI = ("(r_test - r_train) * ln(CASE WHEN r_test > 0 THEN r_test ELSE 1e-6
 
 
 def tagged(spark, folder):
-    return mining.mining_split(applications(spark, folder, RULE_COLUMNS), "app_id", "apply_time")
+    return mining.mining_split(kept_applications(spark, folder, RULE_COLUMNS), "app_id", "apply_time")
 
 
 @query("rule_performance", on_app(
@@ -268,13 +268,13 @@ def captured_rows(spark, folder):
 
 @query("mined_tree_rules")
 def mined_tree_rules(spark, folder):
-    app = applications(spark, folder, RULE_COLUMNS)
+    app = kept_applications(spark, folder, RULE_COLUMNS)
     return rounded(mining.mining_summary(mining.mine_rules(app, "app_id", time_col="apply_time", kind="dt", features=FEATURES)))
 
 
 @query("mined_forest_rules")
 def mined_forest_rules(spark, folder):
-    app = applications(spark, folder, RULE_COLUMNS)
+    app = kept_applications(spark, folder, RULE_COLUMNS)
     return rounded(mining.mining_summary(mining.mine_rules(
         app, "app_id", time_col="apply_time", kind="exrf", features=FEATURES, n_trees=10)))
 
@@ -292,7 +292,7 @@ def monitor_batch(spark, folder):
 
 @query("monitor_model")
 def monitor_model(spark, folder):
-    app = applications(spark, folder, MODEL_COLUMNS)
+    app = kept_applications(spark, folder, MODEL_COLUMNS)
     model, _ = train.train_scorecard(app, FITTED, n_trials=1, space={"C": ("log", 0.4, 0.5), "maxIter": ("int", 20, 20)})
     return rounded(monitor.monitor_model(model, app.where(F.col("target") == "oot"), "oot").drop("bins", "counts"))
 
@@ -318,7 +318,7 @@ MONTH_LOGS = (
     "SELECT month_time AS batch_name, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi > 0.25 THEN 'unstable' ELSE 'attention' END "
     "AS band FROM ml ORDER BY month_time DESC LIMIT 20", *MONTH_LOGS))
 def recent_logs(spark, folder):
-    months = psi.report_month_psi(applications(spark, folder, ["proba", "target", "month_time"]))
+    months = psi.report_month_psi(kept_applications(spark, folder, ["proba", "target", "month_time"]))
     logs = months.select(F.col("month").alias("batch_name"), "psi", F.to_timestamp("month", "yyyy-MM").alias("created_at"))
     return rounded(monitor.recent_logs(logs, 20).select("batch_name", "psi", "band"))
 
@@ -327,7 +327,7 @@ def recent_logs(spark, folder):
     "SELECT month_time AS batch_name, round(psi, 6) AS psi, round(psi - lag(psi) OVER (ORDER BY month_time), 6) AS psi_change "
     "FROM (SELECT * FROM ml ORDER BY month_time DESC LIMIT 10)", *MONTH_LOGS))
 def psi_trend(spark, folder):
-    months = psi.report_month_psi(applications(spark, folder, ["proba", "target", "month_time"]))
+    months = psi.report_month_psi(kept_applications(spark, folder, ["proba", "target", "month_time"]))
     logs = months.select(F.col("month").alias("batch_name"), "psi", F.to_timestamp("month", "yyyy-MM").alias("created_at"))
     return rounded(monitor.psi_trend(logs, 10).select("batch_name", "psi", "psi_change"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...functions.guards import numeric_columns
 from ...functions.scores import probability_to_score
 from ...operators import evaluate, psi, scoring, screen, woe
-from ..loanbook import NUMERIC_FEATURES, applications
+from ..loanbook import NUMERIC_FEATURES, applications, kept_applications
 from .registry import long_part, on_app, query, r6, rounded
 from .bins import PAIRWISE_PARTS, SIMPLE_IV_PARTS
 
@@ -16,7 +16,7 @@ FEATURES = NUMERIC_FEATURES
 
 def widened(spark, folder, columns):
     """The application table with a near-constant, a constant, an empty and two duplicate columns."""
-    app = applications(spark, folder, sorted({*columns, "app_id", "amount", "qty"}))
+    app = kept_applications(spark, folder, sorted({*columns, "app_id", "amount", "qty"}))
     return app.withColumns({
         "rare": F.when(F.col("app_id") % 50 == 0, 1.0).otherwise(0.0), "always": F.lit(1.0),
         "never": F.lit(None).cast("double"), "mostly_a": F.when(F.col("app_id") % 50 == 0, "b").otherwise("a"),
@@ -48,7 +48,7 @@ TRAIN_IV = "SELECT feature, iv AS iv_train FROM siv WHERE target = 'train'"
 @query("screen_by_iv", on_app(
     "SELECT feature, round(iv, 6) AS iv FROM siv WHERE target = 'train' AND iv < 0.02", *SIMPLE_IV_PARTS))
 def screen_by_iv(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "label", "target"])
     return rounded(screen.iv_screen(woe.multi_set_metrics(app, FEATURES), 0.02))
 
 
@@ -56,7 +56,7 @@ def screen_by_iv(spark, folder):
     "SELECT feature, " + r6("psi_tv", "psi_to") + " FROM pp WHERE psi_tv > 0.004 OR psi_to > 0.004",
     long_part(), *PAIRWISE_PARTS))
 def screen_by_psi(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "label", "target"])
     return rounded(screen.psi_screen(woe.multi_set_metrics(app, FEATURES), 0.004))
 
 
@@ -124,7 +124,7 @@ def filter_summary(spark, folder):
     "SELECT feature, round(iv, 4) AS iv_train, round(psi_tv, 4) AS psi_tv, round(psi_to, 4) AS psi_to FROM siv "
     "JOIN pp USING (feature) WHERE target = 'train' AND iv >= 0.01 ORDER BY iv DESC, feature LIMIT 10", *METRIC_PARTS))
 def top_features(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "label", "target"])
+    app = kept_applications(spark, folder, [*FEATURES, "label", "target"])
     return screen.top_features(woe.multi_set_metrics(app, FEATURES))
 
 
@@ -136,7 +136,7 @@ SCORED = f"scored AS (SELECT *, {SCORE} AS score FROM app)"
 
 
 def scored(spark, folder, columns):
-    return scoring.with_score(applications(spark, folder, sorted({*columns, "proba"})))
+    return scoring.with_score(kept_applications(spark, folder, sorted({*columns, "proba"})))
 
 
 @query("probability_to_score", on_app(
@@ -217,7 +217,7 @@ def ranking_parts(keys, score, source, weight="1.0::DOUBLE", label="label"):
 @query("ks_auc_weighted", on_app("SELECT target, round(ks, 6) AS ks, round(auc, 6) AS auc FROM ranked",
                                  *ranking_parts("target", "proba", "app", "weight")))
 def ks_auc_weighted(spark, folder):
-    app = applications(spark, folder, ["proba", "label", "target", "weight"])
+    app = kept_applications(spark, folder, ["proba", "label", "target", "weight"])
     return rounded(evaluate.ks_auc(app, ["target"], weight="weight"))
 
 
@@ -236,7 +236,7 @@ PERFORMANCE_PARTS = (
 
 @query("performance", on_app("SELECT datasets, round(auc, 6) AS auc, round(ks, 6) AS ks FROM ranked", *PERFORMANCE_PARTS))
 def performance(spark, folder):
-    return rounded(evaluate.performance(applications(spark, folder, ["proba", "label", "target", "month_time"])))
+    return rounded(evaluate.performance(kept_applications(spark, folder, ["proba", "label", "target", "month_time"])))
 
 
 @query("score_ks_table", on_app(
@@ -281,14 +281,14 @@ LIFT_NAMES = [f"top_{n}_lift" for n in evaluate.TOP_PERCENTS]
 
 @query("top_lift", on_app("SELECT datasets, " + r6(*LIFT_NAMES) + " FROM lifts WHERE datasets IN ('train', 'valid', 'oot')", LIFTS))
 def top_lift(spark, folder):
-    return rounded(evaluate.top_lift(applications(spark, folder, ["proba", "label", "target"]), "target"))
+    return rounded(evaluate.top_lift(kept_applications(spark, folder, ["proba", "label", "target"]), "target"))
 
 
 @query("performance_table", on_app(
     "SELECT datasets, round(auc, 6) AS auc, round(ks, 6) AS ks, " + r6(*LIFT_NAMES) + " FROM ranked LEFT JOIN lifts USING (datasets)",
     *PERFORMANCE_PARTS, LIFTS))
 def performance_table(spark, folder):
-    return rounded(evaluate.performance_table(applications(spark, folder, ["proba", "label", "target", "month_time"])))
+    return rounded(evaluate.performance_table(kept_applications(spark, folder, ["proba", "label", "target", "month_time"])))
 
 
 @query("data_summary", on_app(" UNION ALL ".join(
@@ -306,7 +306,7 @@ def data_summary(spark, folder):
     "SELECT feature, CASE WHEN psi_to < 0.1 THEN 'stable' WHEN psi_to > 0.25 THEN 'unstable' ELSE 'attention' END AS band FROM pp",
     long_part(), *PAIRWISE_PARTS))
 def stability_bands(spark, folder):
-    metrics = psi.pairwise_psi(applications(spark, folder, [*FEATURES, "target"]), FEATURES)
+    metrics = psi.pairwise_psi(kept_applications(spark, folder, [*FEATURES, "target"]), FEATURES)
     return metrics.select("feature", psi.stability_band("psi_to").alias("band"))
 
 

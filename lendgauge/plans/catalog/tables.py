@@ -6,7 +6,7 @@ from ...functions.guards import clip, finite, finite_or_zero, numeric, ratio, sm
 from ...functions.periods import month_of, parse_time
 from ...operators import clean, profile, split
 from ...sources.tables import preview, read_table, table_shape
-from ..loanbook import NUMERIC_FEATURES, applications
+from ..loanbook import NUMERIC_FEATURES, applications, kept_applications
 from .registry import long_part, on_app, query, r6, rounded
 
 FEATURES = NUMERIC_FEATURES
@@ -72,7 +72,7 @@ def describe_lineitem(spark, folder):
         f"round(quantile_cont(value, {p}), 6) AS q{round(p * 100)}" for p in profile.QUANTILE_GRID)
     + " FROM long GROUP BY feature", long_part()))
 def quantile_grid(spark, folder):
-    return rounded(profile.quantile_grid(applications(spark, folder, FEATURES)))
+    return rounded(profile.quantile_grid(kept_applications(spark, folder, FEATURES)))
 
 
 @query("label_distribution", on_app("SELECT label, COUNT(*) AS n FROM app GROUP BY label"))
@@ -114,7 +114,7 @@ def distinct_profile(spark, folder):
     for i, c in enumerate([*FEATURES, "segment", "label", "mostly_a", "always"])),
     "ext AS (SELECT *, CASE WHEN app_id % 50 = 0 THEN 'b' ELSE 'a' END AS mostly_a, 1.0::DOUBLE AS always FROM app)"))
 def dataset_summary(spark, folder):
-    app = applications(spark, folder, [*FEATURES, "segment", "label", "app_id"]).withColumns({
+    app = kept_applications(spark, folder, [*FEATURES, "segment", "label", "app_id"]).withColumns({
         "mostly_a": F.when(F.col("app_id") % 50 == 0, "b").otherwise("a"), "always": F.lit(1.0)}).drop("app_id")
     return rounded(profile.dataset_summary(app).select(
         "position", "column_name", "n_missing", "missing_rate", "count", "mean", "std", "q1", "q50", "q99", "kept", "reason"))
@@ -249,13 +249,13 @@ def timed_oot(share):
 
 @query("split_time_share", on_app(timed_oot(0.15)))
 def split_time_share(spark, folder):
-    app = applications(spark, folder, ["app_id", "apply_time"])
+    app = kept_applications(spark, folder, ["app_id", "apply_time"])
     return split.tag_oot_by_share(app, "apply_time", "app_id", 0.15).select("app_id", "split")
 
 
 @query("split_time_default_share", on_app(timed_oot(0.2).replace("apply_time", "apply_month")))
 def split_time_default_share(spark, folder):
-    app = applications(spark, folder, ["app_id", "apply_month"])
+    app = kept_applications(spark, folder, ["app_id", "apply_month"])
     share = split.default_oot_share([0.6, 0.2, 0.2])
     return split.tag_oot_by_share(app, "apply_month", "app_id", share).select("app_id", "split")
 
@@ -271,7 +271,7 @@ def split_time_start(spark, folder):
     "SELECT app_id, CASE WHEN apply_time >= TIMESTAMP '2000-01-01' THEN 'oot' WHEN target <> 'oot' THEN target END AS split "
     "FROM app"))
 def split_preset(spark, folder):
-    app = applications(spark, folder, ["app_id", "apply_time", "target"]).withColumn("target", F.upper("target"))
+    app = kept_applications(spark, folder, ["app_id", "apply_time", "target"]).withColumn("target", F.upper("target"))
     return split.split_dataset(app, "app_id", oot_col="apply_time", oot_start="2000-01-01").select("app_id", "split")
 
 
@@ -285,7 +285,7 @@ def drawn(where="true"):
     "SELECT app_id, CASE WHEN rank < floor(n * (0.7::DOUBLE / (0.7::DOUBLE + 0.3::DOUBLE))) THEN 'train' ELSE 'valid' END AS split "
     "FROM drawn", drawn()))
 def split_stratified_two(spark, folder):
-    app = applications(spark, folder, ["app_id", "label"])
+    app = kept_applications(spark, folder, ["app_id", "label"])
     return split.split_dataset(app, "app_id", ratios=[0.7, 0.3]).select("app_id", "split")
 
 
@@ -293,7 +293,7 @@ def split_stratified_two(spark, folder):
     "SELECT app_id, CASE WHEN rank < floor(n * 0.5::DOUBLE) THEN 'train' WHEN rank < floor(n * 0.75::DOUBLE) THEN 'valid' "
     "ELSE 'oot' END AS split FROM drawn", drawn()))
 def split_stratified_three(spark, folder):
-    app = applications(spark, folder, ["app_id", "label"])
+    app = kept_applications(spark, folder, ["app_id", "label"])
     return split.split_dataset(app, "app_id", ratios=[0.5, 0.25, 0.25]).select("app_id", "split")
 
 
@@ -301,7 +301,7 @@ def split_stratified_three(spark, folder):
     "SELECT app_id, CASE WHEN d.rank < floor(d.n * (0.6::DOUBLE / (0.6::DOUBLE + 0.2::DOUBLE))) THEN 'train' WHEN d.rank IS NOT NULL THEN 'valid' "
     "ELSE 'oot' END AS split FROM app LEFT JOIN drawn d USING (app_id)", drawn("apply_time < TIMESTAMP '2000-04-01'")))
 def split_rest_of_time(spark, folder):
-    app = applications(spark, folder, ["app_id", "apply_time", "label"])
+    app = kept_applications(spark, folder, ["app_id", "apply_time", "label"])
     return split.split_dataset(app, "app_id", ratios=[0.6, 0.2, 0.2], oot_col="apply_time",
                                oot_start="2000-04-01").select("app_id", "split")
 
@@ -310,7 +310,7 @@ def split_rest_of_time(spark, folder):
     "SELECT app_id, CASE WHEN row_number() OVER (ORDER BY apply_time, app_id) <= floor(COUNT(*) OVER () * 0.7::DOUBLE) + 1 "
     "THEN 'train' ELSE 'test' END AS target_group FROM app"))
 def split_mining(spark, folder):
-    app = applications(spark, folder, ["app_id", "apply_time"])
+    app = kept_applications(spark, folder, ["app_id", "apply_time"])
     return split.mining_split(app, "app_id", "apply_time").select("app_id", "target_group")
 
 

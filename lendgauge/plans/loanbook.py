@@ -1,5 +1,6 @@
 """The application table used throughout: one row per order, with a label and a split tag."""
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 ITEM_COLUMNS = ("n_items", "qty", "avg_disc", "max_tax", "n_ret")
@@ -82,3 +83,19 @@ def applications(spark, folder, columns=None):
     order = ["app_id", "apply_time", "apply_month", "month_time", "amount", "balance", "segment", "priority",
              *ITEM_COLUMNS, "label", "target", "weight", "proba"]
     return base.select(*[parts[c].alias(c) for c in (wanted or order)])
+
+
+_KEPT = []
+
+
+def kept_applications(spark, folder, columns=None):
+    """The wanted columns of the application table, kept for operators that pass over them several times.
+
+    The table is a join of three tables; its few wanted columns are held in memory or on local disk
+    and recomputed where an executor is lost. The one kept before is released, so at most one is held.
+    """
+    while _KEPT:
+        _KEPT.pop().unpersist()
+    table = applications(spark, folder, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(table)
+    return table
