@@ -104,8 +104,9 @@ def order_statistics(df: DataFrame, value, wanted, keys=(), small_group=SMALL_GR
     key_fields = [rows.schema[k] for k in names]
 
     found = {key: {} for key in wanted}
-    # An interval is (key, low, high, rows inside, [(rank in the group, rank inside)]); ends are open.
-    pending = [(key, None, None, sizes.get(key, 0), [(r, r) for r in ranks]) for key, ranks in wanted.items() if ranks]
+    # An interval is (key, low, high, rows inside, [(rank in the group, rank inside)], halve); ends are open.
+    pending = [(key, None, None, sizes.get(key, 0), [(r, r) for r in ranks], False)
+               for key, ranks in wanted.items() if ranks]
     while pending:
         small = [i for i in pending if i[3] <= small_group]
         large = [i for i in pending if i[3] > small_group]
@@ -149,15 +150,20 @@ def _narrow(spark, rows, names, key_fields, kind, intervals, found):
     shares = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
     sketched = _inside(spark, rows, names, key_fields, kind, intervals)
     grids = {
-        r["_i"]: r["cuts"]
-        for r in sketched.groupBy("_i").agg(
-            F.percentile_approx("_x", shares, F.lit(SKETCH_ACCURACY)).alias("cuts")).collect()
+        r["_i"]: r for r in sketched.groupBy("_i").agg(
+            F.percentile_approx("_x", shares, F.lit(SKETCH_ACCURACY)).alias("cuts"),
+            F.min("_x").alias("least"), F.max("_x").alias("most")).collect()
     }
     proposals = []
-    for n, (key, low, high, size, ranks) in enumerate(intervals):
+    for n, (key, low, high, size, ranks, halve) in enumerate(intervals):
+        least, most, cuts = grids[n]["least"], grids[n]["most"], grids[n]["cuts"]
         for rank, local in ranks:
             cell = local * GRID // size
-            cut_low, cut_high = grids[n][max(cell - 1, 0)], grids[n][min(cell + 2, GRID)]
+            # A cut outside the interval would reopen it.
+            cut_low, cut_high = (min(max(c, least), most) for c in (cuts[max(cell - 1, 0)], cuts[min(cell + 2, GRID)]))
+            if halve:
+                # The sketch works on doubles; where it cannot separate the values, halve their range.
+                cut_low = cut_high = least + (most - least) // 2 if isinstance(least, int) else least + (most - least) / 2
             proposals.append((key, low, high, size, [(rank, local)], cut_low, cut_high))
     counts = _count_cells(spark, rows, names, key_fields, kind, proposals)
     merged = {}
@@ -176,9 +182,9 @@ def _narrow(spark, rows, names, key_fields, kind, intervals, found):
         else:
             start = below + at_low + middle + at_high
             next_interval, inside = (cut_high, high), size - start
-        slot = merged.setdefault((key,) + next_interval, (inside, []))
+        slot = merged.setdefault((key,) + next_interval, (inside, [], inside == size))
         slot[1].append((rank, local - start))
-    return [(k[0], k[1], k[2], inside, ranks) for k, (inside, ranks) in merged.items()]
+    return [(*interval, inside, ranks, stuck) for interval, (inside, ranks, stuck) in merged.items()]
 
 
 def _count_cells(spark, rows, names, key_fields, kind, proposals):
