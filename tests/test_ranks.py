@@ -17,7 +17,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, x double").cache(), rows
 
 
-@pytest.mark.parametrize("small_group", [1_000_000, 500, 20])
+@pytest.mark.parametrize("small_group", [1_000_000, 200])
 def test_quantiles_match_numpy(skewed, small_group):
     df, rows = skewed
     found = quantiles(df, ["x"], SHARES, ["g"], small_group)
@@ -41,7 +41,7 @@ def test_ranks_of_large_integers_stay_exact(spark, small_group):
     assert [found[r] for r in ranks] == [expected[r] for r in ranks]
 
 
-@pytest.mark.parametrize("small_group", [1_000_000, 50, 5])
+@pytest.mark.parametrize("small_group", [1_000_000, 20])
 def test_running_totals(spark, small_group):
     generator = np.random.default_rng(5)
     data = {("a", float(v)): int(generator.integers(1, 9)) for v in generator.normal(0, 1, 700)}
