@@ -34,21 +34,21 @@ def ks_auc(df: DataFrame, by=(), score="proba", label="label", weight=None, smal
         *[F.col(k) for k in keys], F.lit(0).alias("_all"), s.alias("_s"),
         F.when(F.col(label) == 0, w).otherwise(0.0).alias("_g"), F.when(F.col(label) == 1, w).otherwise(0.0).alias("_b"))
     keyed = keys + ["_all"]
-    per_score = rows.groupBy(*keyed, "_s").agg(F.sum("_g").alias("g"), F.sum("_b").alias("b"))
+    per_score = rows.groupBy(*keyed, "_s").agg(F.sum("_g").alias("_gs"), F.sum("_b").alias("_bs"))
     per_score = per_score.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         totals = per_score.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keyed)]).agg(
-            F.sum("g").alias("all_g"), F.sum("b").alias("all_b"), F.count("*").alias("_n"))
+            F.sum("_gs").alias("_ga"), F.sum("_bs").alias("_ba"), F.count("*").alias("_n"))
         found = totals.collect()
         known = df.sparkSession.createDataFrame(found, totals.schema).drop("_n")
-        running = running_totals(per_score, keyed, "_s", ["g", "b"], small_group, max((r["_n"] for r in found), default=0))
+        running = running_totals(per_score, keyed, "_s", ["_gs", "_bs"], small_group, max((r["_n"] for r in found), default=0))
         same = [running[k].eqNullSafe(known[f"_t{i}"]) for i, k in enumerate(keyed)]
         joined = running.join(F.broadcast(known), same)
-        gap = F.abs(F.try_divide("cum_g", "all_g") - F.try_divide("cum_b", "all_b"))
-        area = F.sum(F.col("b") * (F.col("cum_g") - F.col("g") + F.col("g") / 2))
+        gap = F.abs(F.try_divide("cum__gs", "_ga") - F.try_divide("cum__bs", "_ba"))
+        area = F.sum(F.col("_bs") * (F.col("cum__gs") - F.col("_gs") + F.col("_gs") / 2))
         measured = joined.groupBy(*keyed).agg(
             F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
-            F.coalesce(F.try_divide(area, F.first("all_g") * F.first("all_b")), F.lit(0.5)).alias("auc")).drop("_all")
+            F.coalesce(F.try_divide(area, F.first("_ga") * F.first("_ba")), F.lit(0.5)).alias("auc")).drop("_all")
         return df.sparkSession.createDataFrame(measured.collect(), measured.schema)
     finally:
         per_score.unpersist()
