@@ -215,7 +215,7 @@ def swap_inference(spark, folder):
 
 @query("swap_summary", on_app("""
 SELECT total, both_pass, swap_out_count, old_reject_new_pass, both_reject, swap_in_count, round(est, 1) AS swap_in_est_bad,
-  round(est / swap_in_count, 4) AS swap_in_est_badrate, swap_out_bad, round(swap_out_bad / so, 4) AS swap_out_badrate,
+  CASE WHEN swap_in_count > 0 THEN round(est / swap_in_count, 4) ELSE 0 END AS swap_in_est_badrate, swap_out_bad, round(swap_out_bad / so, 4) AS swap_out_badrate,
   round(bpb / both_pass, 4) AS both_pass_cell_badrate, round(swap_out_bad / swap_out_count, 4) AS swap_out_cell_badrate,
   both_pass + swap_out_count AS old_pass_count, both_pass + old_reject_new_pass AS new_pass_count,
   round((both_pass + swap_out_count) / total, 4) AS old_pass_rate, round((both_pass + old_reject_new_pass) / total, 4) AS new_pass_rate,
