@@ -1,5 +1,6 @@
 """Small helpers that the operators of this subpackage share."""
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch. Rows hold whole texts, so a batch of the default 10,000 rows would not be bounded in bytes.
@@ -14,3 +15,19 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df`` unchanged; its session sends Python tasks at most ``BATCH_ROWS`` rows at a time."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
+
+
+def pieces(batches, column, limit=1 << 21):
+    """The rows of Arrow ``batches`` again, in batches of at most ``limit`` bytes of text (or one row).
+
+    Work on whole batches of texts takes memory in proportion to their bytes; this bounds it.
+    """
+    for batch in batches:
+        start, held = 0, 0
+        for i, size in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+            if held and held + (size or 0) > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size or 0
+        if start < batch.num_rows:
+            yield batch.slice(start)

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import byte_bpe, chat, language, mixing, tag_paths
+from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, tag_paths
 from .common import table
 
 QUERIES = {}
@@ -113,3 +113,25 @@ def op6(spark, folder):
 def op8(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return tag_paths.extract(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+TOP_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op5_bit_sliced_top", TOP_SQL)
+def op5(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), bit_sliced.quantised(F.col("embedding")).alias("vector"))
+    return bit_sliced.search(vectors.where(F.col("id") % 50 == 0), vectors, 5)
+
+
+@query("op10_dart_minhash")
+def op10(spark, folder):
+    return dart_minhash.group(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id")
