@@ -43,7 +43,7 @@ class Slices:
         bits = np.zeros((self.words * 64, components, self.digits), np.uint8)
         bits[:self.n] = (shifted[:, :, None] >> np.arange(self.digits)) & 1
         packed = np.packbits(bits.transpose(1, 2, 0).reshape(components * self.digits, -1), axis=1, bitorder="little")
-        self.slices = packed.view(np.uint64).reshape(components, self.digits, self.words)
+        self.slices = np.ascontiguousarray(packed).view(np.uint64).reshape(components, self.digits, self.words)
 
     def _sums(self, terms, n_digits):
         """Slices of the sum over rows of ``terms``, bitmaps by weight 2**i: full adders until one bitmap a digit is left."""
