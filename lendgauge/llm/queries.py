@@ -4,8 +4,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, tag_paths
+from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, super_kmers, tag_paths
 from .common import table
+from .repeats import text_key
 
 QUERIES = {}
 STATEMENTS = {}
@@ -135,3 +136,33 @@ def op5(spark, folder):
 @query("op10_dart_minhash")
 def op10(spark, folder):
     return dart_minhash.group(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+def one_spaced(text):
+    """Column: the words of a text, joined by one space."""
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+REPEATED_WORDS_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM windows) WHERE n > 1),
+cut AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM again),
+cuts AS (SELECT r, list(i) AS gone FROM cut GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM words LEFT JOIN cuts USING (r)"""
+
+
+@query("op9_super_kmer_dedup", REPEATED_WORDS_SQL)
+def op9(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = super_kmers.verdicts(docs).select("key", "n_removed", sha(one_spaced(F.col("kept"))).alias("cut_sha256"))
+    # Texts stay where they are: only digests meet the verdicts.
+    slim = docs.select("doc_id", text_key(F.col("text")).alias("key"), mixing.word_count(F.col("text")).alias("n_words"), sha(one_spaced(text)).alias("sha256"))
+    return slim.join(found, "key", "left").select(
+        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
