@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, super_kmers, tag_paths
+from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, super_kmers, tag_paths, winnowing
 from .common import table
 from .repeats import text_key
 
@@ -166,3 +166,21 @@ def op9(spark, folder):
     return slim.join(found, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"),
         F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
+
+
+@query("op7_winnowing")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = winnowing.with_next(docs, {"grams": winnowing.selected(F.col("text"))})
+    n = F.length("text")
+    m = F.floor(n / 3).cast("int")
+    edited = paired.withColumns({
+        "n_chars": n, "__cut": n - m, "__taken": F.least(m, F.length("next_text")),
+        "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - m), F.substring(F.col("next_text"), F.lit(1), m))})
+    sets = edited.select(
+        "doc_id", "n_chars", "edited", winnowing.hashes(F.col("grams")).alias("own"), winnowing.hashes(F.col("next_grams")).alias("next"),
+        winnowing.spliced(F.col("grams"), F.col("__cut"), F.col("next_grams"), F.col("__taken"), F.col("edited")).alias("changed"))
+    return sets.select(
+        "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), sha(F.col("edited")).alias("edited_sha256"),
+        winnowing.digest(F.col("own")).alias("fingerprint"), winnowing.digest(F.col("changed")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("own"), F.col("changed")).alias("near_edited"), winnowing.likeness(F.col("own"), F.col("next")).alias("near_next"))
