@@ -1,9 +1,13 @@
 """Session helpers: a local session for tests, and lineage cuts that survive lost executors."""
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folder = None
+
 
 def local_session(cores="*", shuffle_partitions=8, app_name="lendgauge"):
     """A session for tests and the benchmark; on a cluster the caller brings its own."""
@@ -19,15 +23,32 @@ def local_session(cores="*", shuffle_partitions=8, app_name="lendgauge"):
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``, which the driver and all executors see.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when neither the
-    setting nor a context folder exists (tests) is a temporary folder used.
+    Only a local session (tests), whose tasks run in the driver, may do without the setting and gets a temporary folder.
     """
+    global _own_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="lendgauge-shared-")
+    return _own_folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back with its lineage cut."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lendgauge-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def through_parquet(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under a new name in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
