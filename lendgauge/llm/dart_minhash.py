@@ -188,23 +188,24 @@ def _shared(members):
     return members.join(sizes, "bucket")
 
 
-def group(docs: DataFrame, id="doc_id", text="text", similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS) -> DataFrame:
+def group(docs: DataFrame, id="doc_id", text="text", similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
+          into=("class_id", "is_first")) -> DataFrame:
     """``docs`` with ``class_id``, the smallest id among its near-duplicates, and ``is_first``, true for one row of each class.
 
     Equal texts are one class at once and meet others as one text. Texts without words (null, empty, white space) have nothing
     to compare: each of their rows is a class of its own, and first. A class whose ids are all null has a null class_id. Equal
-    rows stay, one of them first. Columns of ``docs`` named as the new ones are replaced.
+    rows stay, one of them first. Columns of ``docs`` that have the names in ``into`` are replaced.
     """
-    docs = docs.drop("class_id", "is_first")
+    docs = docs.drop(*into)
     keyed = docs.withColumns({
         "__key": F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text))), "__row": F.monotonically_increasing_id()})
     known = keyed.where("__key is not null")
     found = classes(links(known.select(F.col("__key").alias("key"), F.col(text).alias("text")), similarity, bands, rows))
     own = known.groupBy(F.col("__key").alias("key")).agg(F.min(F.struct(F.col(id).isNull(), F.col(id).alias("id"), F.col("__row").alias("row"))).alias("first"))
     labelled = own.join(found, own.key == found.node, "left").select("key", "first", F.coalesce("class", "key").alias("class"))
-    first = labelled.groupBy("class").agg(F.min("first").alias("f")).select("class", F.col("f.id").alias("class_id"), F.col("f.row").alias("__first"))
-    members = labelled.select("key", "class").join(first, "class").select(F.col("key").alias("__key"), "class_id", "__first")
-    grouped = known.join(members, "__key").withColumn("is_first", F.col("__row") == F.col("__first"))
-    alone = keyed.where("__key is null").withColumn("class_id", F.col(id)).withColumn("is_first", F.lit(True))
-    names = [*docs.columns, "class_id", "is_first"]
+    first = labelled.groupBy("class").agg(F.min("first").alias("f")).select("class", F.col("f.id").alias("__class"), F.col("f.row").alias("__first"))
+    members = labelled.select("key", "class").join(first, "class").select(F.col("key").alias("__key"), "__class", "__first")
+    grouped = known.join(members, "__key").withColumns({into[0]: F.col("__class"), into[1]: F.col("__row") == F.col("__first")})
+    alone = keyed.where("__key is null").withColumns({into[0]: F.col(id), into[1]: F.lit(True)})
+    names = [*docs.columns, *into]
     return grouped.select(*names).unionByName(alone.select(*names))

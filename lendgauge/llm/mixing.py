@@ -67,8 +67,9 @@ def cells(sized: DataFrame, weights=(1, 2, 3), cap=CAP, total=None) -> DataFrame
     falling = own.orderBy(F.col("grade").desc())
     before = falling.rowsBetween(Window.unboundedPreceding, -1)
     weighted = F.col("grade") * F.col("words")
-    level = (F.col("target") - cap * F.coalesce(F.sum("words").over(before), F.lit(0))) / (
-        F.sum(weighted).over(own) - F.coalesce(F.sum(weighted).over(before), F.lit(0)))
+    # No level where the grades that are left have no words.
+    level = F.try_divide(F.col("target") - cap * F.coalesce(F.sum("words").over(before), F.lit(0)),
+                         F.sum(weighted).over(own) - F.coalesce(F.sum(weighted).over(before), F.lit(0)))
     levels = joined.withColumn("__level", level).withColumn("__open", F.col("__level") * F.col("grade") <= cap)
     found = F.max(F.when(F.col("__open"), F.struct("grade", "__level"))).over(own)["__level"]
     copies = F.round(F.least(F.lit(float(cap)), F.coalesce(found * F.col("grade"), F.lit(float(cap)))), 9)
@@ -85,7 +86,7 @@ def ranked(sized: DataFrame, table: DataFrame, id="doc_id", seed=SEED) -> DataFr
     known = sized.join(table, sized.source.eqNullSafe(F.col("__source")) & (sized.grade == F.col("__grade"))).drop("__source", "__grade")
     text = F.concat_ws("|", F.lit(str(seed)), F.col(id).cast("string"), F.col("source"), F.col("size").cast("string"))
     u = (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    odds = (u / (1 - u)) / (F.col("share") / (1 - F.col("share")))
+    odds = F.try_divide(u / (1 - u), F.col("share") / (1 - F.col("share")))
     return known.withColumn("__rank", F.when((F.col("share") > 0) & (F.col("size") > 0), odds / (1 + odds)))
 
 
@@ -124,7 +125,7 @@ def mix(sized: DataFrame, plan_of=None, weights=(1, 2, 3), cap=CAP, total=None,
 
     ``plan_of`` may be a slimmer table of the same rows to plan from (default: ``sized``). Decisions depend on id, source,
     size and seed alone, so reruns agree and rows equal in those are treated alike. A null source is a source; a null id is
-    a value. Documents without words have no certain copies of any use and get those of their grade; they count nothing.
+    a value. Documents without words are not taken.
     """
     plan_of = sized if plan_of is None else plan_of
     table = cells(plan_of, weights, cap, total)
@@ -132,5 +133,5 @@ def mix(sized: DataFrame, plan_of=None, weights=(1, 2, 3), cap=CAP, total=None,
     placed = ranked(sized, table, id, seed)
     picked = F.coalesce(F.col("__rank") <= F.col("cut"), F.lit(False)).cast("bigint")
     return (placed.join(limits, placed.source.eqNullSafe(F.col("__cut_source")), "left")
-            .withColumn("copies", F.col("certain") + picked)
+            .withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + picked).otherwise(F.lit(0).cast("bigint")))
             .drop("__rank", "__cut_source", "cut", "certain", "share", "rest"))

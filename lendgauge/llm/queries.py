@@ -44,7 +44,7 @@ goals AS (
   FROM levels),
 graded AS (
   SELECT c.source, c.grade, c.words, g.source_size, g.target,
-         (g.target - 3 * coalesce(sum(words) OVER b, 0)) / (sum(c.grade * words) OVER o - coalesce(sum(c.grade * words) OVER b, 0)) AS level
+         (g.target - 3 * coalesce(sum(words) OVER b, 0)) / nullif(sum(c.grade * words) OVER o - coalesce(sum(c.grade * words) OVER b, 0), 0) AS level
   FROM counts c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
   WINDOW o AS (PARTITION BY c.source), b AS (PARTITION BY c.source ORDER BY c.grade DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 copies AS (
