@@ -113,8 +113,9 @@ def _count(window):
 def repeated(texts: DataFrame, window=WINDOW, gram=GRAM) -> DataFrame:
     """Runs of windows that start anywhere else too: key, start, past (numbers of their first words, ``past`` exclusive).
 
-    ``texts`` as ``candidates`` gives them. A bucket of a minimiser that isn't hot has a bounded number of strings. The windows
-    of a hot one are counted one by one under their own text, summed before the shuffle.
+    ``texts`` as ``candidates`` gives them. A bucket of a minimiser that isn't hot has a bounded number of strings. Of a hot one,
+    equal strings are summed first; the windows of the different strings are counted under their own words, with the number of
+    places of their string, and what repeats goes back to the places string by string.
     """
     packed = super_kmers(texts, window, gram)
     cold = packed.where("NOT hot").select("minimiser", "key", "start", "n", "packed").repartition("minimiser").sortWithinPartitions("minimiser")
@@ -122,14 +123,28 @@ def repeated(texts: DataFrame, window=WINDOW, gram=GRAM) -> DataFrame:
 
     def single(batches):
         for batch in batches:
-            rows = [(k, s + i, w) for k, s, n, p in zip(*[batch.column(c).to_pylist() for c in ("key", "start", "n", "packed")])
-                    for i, w in enumerate(_windows(p, n, window))]
-            key, start, words = zip(*rows) if rows else ([],) * 3
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.binary()), "start": pa.array(start, pa.int32()), "words": pa.array(words, pa.binary())})
-
-    alone = small_batches(packed.where("hot").select("key", "start", "n", "packed")).mapInArrow(single, "key binary, start int, words binary")
-    equal = alone.groupBy("words").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("words")
-    return runs.unionByName(alone.join(equal, "words").select("key", "start", (F.col("start") + 1).alias("past")))
+            rows = []
+            for string, n, packed_words, places in zip(*[batch.column(c).to_pylist() for c in ("string", "n", "packed", "places")]):
+                at = {}
+                for i, w in enumerate(_windows(packed_words, n, window)):
+                    at.setdefault(w, []).append(i)
+                rows += [(string, w, i, len(i) * places) for w, i in at.items()]
+            string, words, at, places = zip(*rows) if rows else ([],) * 4
+            yield pa.RecordBatch.from_pydict({"string": pa.array(string, pa.binary()), "words": pa.array(words, pa.binary()),
+                                              "at": pa.array(at, pa.list_(pa.int32())), "places": pa.array(places, pa.int64())})
+
+    hot = packed.where("hot").withColumn("string", F.unhex(F.md5("packed")))
+    strings = hot.groupBy("string").agg(F.first("packed").alias("packed"), F.first("n").alias("n"), F.count(F.lit(1)).alias("places"))
+    alone = small_batches(strings.select("string", "n", "packed", "places")).mapInArrow(
+        single, "string binary, words binary, at array<int>, places bigint")
+    equal = alone.groupBy("words").agg(F.sum("places").alias("c")).where("c > 1").select("words")
+    again = alone.join(equal, "words").groupBy("string").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"))
+    # Neighbouring windows of a string make one run.
+    ends = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) != x + 1, F.lit(True)))
+    begins = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) != x - 1, F.lit(True)) | (i == 0))
+    ranges = again.select("string", F.arrays_zip(begins.alias("a"), ends.alias("b")).alias("ranges"))
+    back = hot.select("string", "key", "start").join(ranges, "string").select("key", "start", F.explode("ranges").alias("r"))
+    return runs.unionByName(back.select("key", (F.col("start") + F.col("r.a")).alias("start"), (F.col("start") + F.col("r.b") + 1).alias("past")))
 
 
 def _cut(window):
