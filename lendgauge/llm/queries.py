@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, super_kmers, tag_paths, winnowing
+from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, suffix_array, super_kmers, tag_paths, winnowing
 from .common import table
 from .repeats import text_key
 
@@ -184,3 +184,15 @@ def op7(spark, folder):
         "doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), sha(F.col("edited")).alias("edited_sha256"),
         winnowing.digest(F.col("own")).alias("fingerprint"), winnowing.digest(F.col("changed")).alias("edited_fingerprint"),
         winnowing.likeness(F.col("own"), F.col("changed")).alias("near_edited"), winnowing.likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
+@query("op2_difference_cover_dedup")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = suffix_array.verdicts(docs).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
+    slim = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.octet_length(text).cast("bigint").alias("n_bytes"), sha(text).alias("sha256"))
+    none = F.lit(0).cast("bigint")
+    return slim.join(found, "key", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))

@@ -44,13 +44,16 @@ def per_text(owner, marks, gram_owner, gram):
     return owner[first], marks[first], times
 
 
-def candidates(docs: DataFrame, marks_of, text="text", hot=HOT) -> DataFrame:
+def candidates(docs: DataFrame, marks_of, text="text", hot=HOT, id=None) -> DataFrame:
     """Different texts that share a mark with another text, or have one at two places: key, text, marks (of those, with ``hot``).
 
-    ``marks_of`` maps an Arrow text column to (text number, mark, times) arrays. The rows are kept in the shared folder.
+    ``marks_of`` maps an Arrow text column to (text number, mark, times) arrays. With ``id`` a text goes by that column (which
+    takes the place of key), not by its content. The rows are kept in the shared folder.
     """
-    keyed = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("ref", F.xxhash64("key"))
+    name = id or "key"
+    content = F.coalesce(F.col(text), F.lit("")) if id is None else F.col(text)
+    keyed = docs.select((F.col(id) if id else text_key(F.col(text))).alias(name), content.alias("text"))
+    keyed = keyed.withColumn("ref", F.xxhash64(name))
 
     def mark(batches):
         for batch in pieces(batches, "text"):
@@ -65,4 +68,23 @@ def candidates(docs: DataFrame, marks_of, text="text", hot=HOT) -> DataFrame:
                .where("a <> b OR t > 1").select("mark", (F.col("n") > hot).alias("hot")))
     found = (marked.select("ref", "mark").join(several, "mark").groupBy("ref")
              .agg(F.collect_set(F.struct("mark", "hot")).alias("marks")))
-    return checkpointed(keyed.join(found, "ref").groupBy("key").agg(F.first("text").alias("text"), F.first("marks").alias("marks")))
+    return checkpointed(keyed.join(found, "ref").groupBy(name).agg(F.first("text").alias("text"), F.first("marks").alias("marks")))
+
+
+def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
+    """Parts of ``texts`` (key, start, text, marks) that windows with their marks cover: key, start, part (binary).
+
+    ``windows_of`` maps an Arrow column and the marks of each text to (text number, first byte, past byte) arrays.
+    """
+    def cut(batches):
+        for batch in pieces(batches, "text"):
+            wanted = [[m["mark"] for m in marks] for marks in batch.column("marks").to_pylist()]
+            owner, first, past = windows_of(batch.column("text"), wanted)
+            data = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
+            own = pa.array(owner, pa.int64())
+            starts = np.array(batch.column("start").to_pylist(), np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "key": batch.column("key").take(own), "start": pa.array(starts[owner] + first if len(owner) else [], pa.int64()),
+                "part": pa.array([data[o][a:b] for o, a, b in zip(owner, first, past)], pa.binary())})
+
+    return small_batches(texts.select("key", "start", "text", "marks")).mapInArrow(cut, "key binary, start bigint, part binary")

@@ -25,8 +25,8 @@ def powers(base, n):
 
 
 def joined(column):
-    """Bytes of all texts of an Arrow string column, one after the other, and where each starts; null is empty."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+    """Bytes of all texts of an Arrow string or binary column, one after the other, and where each starts; null is empty."""
+    texts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
     starts = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=starts[1:])
     return np.frombuffer(b"".join(texts), np.uint8), starts
