@@ -77,13 +77,19 @@ def _encoded(path, pattern, digest):
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def _long_ids(docs, keep, text, path, pattern, chunk, overlap):
-    """Rows of ``keep`` and ids for texts of more than one chunk: chunks, hand-over places, pieces, ids in order."""
+def _by_length(docs, keep, text, chunk):
+    """Rows with what is kept packed in one column, whatever its names, and of those the texts within one chunk and the others."""
+    rows = docs.select(F.struct(*keep).alias("__keep"), F.col(text).alias("__text"))
+    return rows, rows.where(F.coalesce(F.length("__text"), F.lit(0)) <= chunk), rows.where(F.length("__text") > chunk)
+
+
+def _long_ids(docs, path, pattern, chunk, overlap):
+    """``__keep`` and ids for texts of more than one chunk: chunks, hand-over places, pieces, ids in order."""
     # The row's number tells equal rows apart while their pieces are apart.
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    length = F.length(text)
+    length = F.length("__text")
     parts = (rows.withColumn("__i", F.explode(F.sequence(F.lit(0), F.floor((length - 1) / chunk).cast("int"))))
-             .select(*keep, "__row", "__i", F.substring(F.col(text), F.col("__i") * chunk + 1, F.lit(chunk + overlap)).alias("part"))
+             .select("__keep", "__row", "__i", F.substring(F.col("__text"), F.col("__i") * chunk + 1, F.lit(chunk + overlap)).alias("part"))
              # Chunks of a text go to different tasks here.
              .repartition(F.col("__row"), F.col("__i")))
     schema = parts.withColumns({"head": F.array().cast("array<int>"), "tail": F.array().cast("array<int>")}).schema
@@ -100,13 +106,13 @@ def _long_ids(docs, keep, text, path, pattern, chunk, overlap):
            .withColumn("own", F.expr("substring(part, coalesce(start, 0) + 1, __end - coalesce(start, 0))")))
     # Pieces are whole again once the chunks that share one are joined; nearly always a piece is one chunk.
     whole = own.groupBy("__row", "__piece").agg(
-        *[F.first(k).alias(k) for k in keep],
+        F.first("__keep").alias("__keep"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__i", "own"))), lambda x: x["own"]), "").alias("own"))
-    encoded = small_batches(whole.select(*keep, "__row", "__piece", "own")).mapInArrow(
+    encoded = small_batches(whole.select("__keep", "__row", "__piece", "own")).mapInArrow(
         _encoded(path, pattern, False),
-        whole.select(*keep, "__row", "__piece").withColumn("ids", F.array().cast("array<int>")).schema)
+        whole.select("__keep", "__row", "__piece").withColumn("ids", F.array().cast("array<int>")).schema)
     ordered = F.array_sort(F.collect_list(F.struct("__piece", "ids")))
-    return encoded.groupBy("__row").agg(*[F.first(k).alias(k) for k in keep],
+    return encoded.groupBy("__row").agg(F.first("__keep").alias("__keep"),
                                         F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids")).drop("__row")
 
 
@@ -115,11 +121,10 @@ def encode(docs: DataFrame, path, pattern, keep=("doc_id",), text="text", chunk=
 
     A null or empty text has no ids. Equal rows stay separate rows. ``docs`` may have further columns of any name.
     """
-    docs = docs.select(*keep, F.col(text).alias("__text"))
-    small = docs.where(F.coalesce(F.length("__text"), F.lit(0)) <= chunk)
-    schema = docs.select(*keep, F.array().cast("array<int>").alias("ids")).schema
+    docs, small, large = _by_length(docs, keep, text, chunk)
+    schema = docs.select("__keep", F.array().cast("array<int>").alias("ids")).schema
     short = small_batches(small).mapInArrow(_encoded(path, pattern, False), schema)
-    return short.unionByName(_long_ids(docs.where(F.length("__text") > chunk), list(keep), "__text", path, pattern, chunk, overlap))
+    return short.unionByName(_long_ids(large, path, pattern, chunk, overlap)).select("__keep.*", "ids")
 
 
 def decode(rows: DataFrame, path, pattern, ids="ids", into="decoded") -> DataFrame:
@@ -142,13 +147,11 @@ def digests(docs: DataFrame, path, pattern, keep=("doc_id",), text="text", chunk
     The same work as ``encode`` and ``decode``; texts within one chunk are digested where they are encoded, so their ids
     need not be sent back.
     """
-    docs = docs.select(*keep, F.col(text).alias("__text"))
-    fields = docs.select(*keep, F.lit(0).cast("bigint").alias(DIGESTS[0]), F.lit("").alias(DIGESTS[1]),
+    docs, small, large = _by_length(docs, keep, text, chunk)
+    fields = docs.select("__keep", F.lit(0).cast("bigint").alias(DIGESTS[0]), F.lit("").alias(DIGESTS[1]),
                          F.lit("").alias(DIGESTS[2])).schema
-    small = docs.where(F.coalesce(F.length("__text"), F.lit(0)) <= chunk)
     short = small_batches(small).mapInArrow(_encoded(path, pattern, True), fields)
-    ids = _long_ids(docs.where(F.length("__text") > chunk), list(keep), "__text", path, pattern, chunk, overlap)
-    long = decode(ids, path, pattern).select(
-        *keep, F.size("ids").cast("bigint").alias(DIGESTS[0]), F.sha2(F.array_join("ids", " "), 256).alias(DIGESTS[1]),
+    long = decode(_long_ids(large, path, pattern, chunk, overlap), path, pattern).select(
+        "__keep", F.size("ids").cast("bigint").alias(DIGESTS[0]), F.sha2(F.array_join("ids", " "), 256).alias(DIGESTS[1]),
         F.sha2("decoded", 256).alias(DIGESTS[2]))
-    return short.unionByName(long)
+    return short.unionByName(long).select("__keep.*", *DIGESTS)
