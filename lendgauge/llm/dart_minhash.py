@@ -8,6 +8,7 @@ times elements. Bands of coordinates are join keys; pairs that meet are checked
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Texts that are 0.8 alike agree on a band with 0.8 ** 5 = 0.33, and miss all of 32 bands once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
+#: Texts of a bucket that a task compares with each other.
+SMALL_BUCKET = 128
 
 
 def shingle_sets(column, size=SHINGLE):
@@ -149,26 +152,60 @@ def classes(edges: DataFrame) -> DataFrame:
         now.select(F.col("right").alias("node"), F.col("right").alias("class")).distinct())
 
 
-def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS) -> DataFrame:
+def _links_within(similarity):
+    """Tasks' work on the texts of one set: all pairs are compared; links that join texts not joined before are given."""
+    def compare(rows):
+        owner, element, weight = shingle_sets(pa.array(rows["text"]))
+        n, keys, total = len(rows), rows["key"].tolist(), np.bincount(owner, weight, len(rows))
+        order = np.argsort(element, kind="stable")
+        sorted_elements, joined, found = element[order], list(range(n)), []
+
+        def root(i):
+            while joined[i] != i:
+                i = joined[i]
+            return i
+        for i in range(n):
+            own = owner == i
+            first, past = (np.searchsorted(sorted_elements, element[own], side) for side in ("left", "right"))
+            hits = order[np.repeat(first - np.concatenate(([0], np.cumsum(past - first)[:-1])), past - first) + np.arange((past - first).sum())]
+            shared = np.bincount(owner[hits], np.minimum(np.repeat(weight[own], past - first), weight[hits]), n)
+            alike = shared / np.maximum(total[i] + total - shared, 1e-9)
+            for j in np.flatnonzero(alike >= similarity):
+                if root(i) != root(j):
+                    joined[root(j)] = root(i)
+                    found.append((keys[i], keys[j], float(alike[j])))
+        return pd.DataFrame(found, columns=["left", "right", "similarity"])
+    return compare
+
+
+def _sized(members):
+    """Members of buckets that hold more than one text, with the number of texts."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(sizes, "bucket")
+
+
+def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS, small=SMALL_BUCKET) -> DataFrame:
     """Checked links between different texts: left, right, similarity, enough of them to join all texts of a class.
 
-    ``keyed`` has key (binary, the same for equal texts) and text. In every bucket of a band all texts are checked against one
-    of them, the bucket's centre; those that are not like it enough stay in the bucket without it and get another centre, until
-    no bucket has two texts left. So no bucket needs a cap and none emits all its pairs. Bands of even and of odd number choose
-    opposite centres, which gives a text that lies between two others a second chance in each.
+    ``keyed`` has key (binary, the same for equal texts) and text. Texts of a bucket of at most ``small`` are compared with each
+    other in a task; buckets with the same texts are one. In a larger bucket all texts are checked against one of them, its
+    centre; those that are not like it enough stay in the bucket without it, until it is small. So no bucket needs a cap, none is
+    gathered whole and none emits all its pairs. Bands of even and of odd number choose opposite centres, which gives a text
+    that lies between two others a second chance.
     """
     signed = small_batches(keyed.select("key", "text")).mapInArrow(_band_rows(bands, rows), "key binary, bands array<bigint>")
     # Signatures are the costly part: they are kept, one per text.
     signed = checkpointed(signed.groupBy("key").agg(F.first("bands").alias("bands")))
     members = signed.select("key", F.posexplode("bands").alias("band", "hash")).select(
         "key", F.col("hash").alias("bucket"), (F.col("band") % 2 == 0).alias("even"))
-    left = checkpointed(_shared(members))
+    left = checkpointed(_sized(members))
     # Only texts that meet another are looked at again.
     texts = checkpointed(keyed.select("key", "text").join(left.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text")))
+    within, large = left.where(F.col("n") <= small), left.where(F.col("n") > small)
     done = signed.select(F.col("key").alias("left"), F.col("key").alias("right"), F.lit(1.0).alias("similarity")).where("false")
-    while not left.isEmpty():
-        centre = left.groupBy("bucket").agg(F.when(F.first("even"), F.min("key")).otherwise(F.max("key")).alias("centre"))
-        pairs = (left.join(centre, "bucket").where("key <> centre").groupBy("key", "centre")
+    while not large.isEmpty():
+        centre = large.groupBy("bucket").agg(F.when(F.first("even"), F.min("key")).otherwise(F.max("key")).alias("centre"))
+        pairs = (large.join(centre, "bucket").where("key <> centre").groupBy("key", "centre")
                  .agg(F.collect_list(F.struct("bucket", "even")).alias("buckets")))
         known = (pairs.select(F.col("centre").alias("left"), F.col("key").alias("right"), "buckets")
                  .join(texts.select(F.col("key").alias("left"), F.col("text").alias("left_text")), "left")
@@ -178,14 +215,12 @@ def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS)
         done = done.unionByName(checked.where(F.col("similarity") >= similarity).select("left", "right", "similarity"))
         rest = (checked.where(F.col("similarity") < similarity).select(F.col("right").alias("key"), F.explode("buckets").alias("b"))
                 .select("key", "b.bucket", "b.even"))
-        left = checkpointed(_shared(rest))
-    return done
-
-
-def _shared(members):
-    """Members of buckets that hold more than one text."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return members.join(sizes, "bucket")
+        left = checkpointed(_sized(rest)).select(*within.columns)
+        within, large = within.unionByName(left.where(F.col("n") <= small)), left.where(F.col("n") > small)
+    sets = within.groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
+    dealt = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(texts, "key")
+    near = dealt.groupBy("set").applyInPandas(_links_within(similarity), "left binary, right binary, similarity double")
+    return checkpointed(done.unionByName(near).distinct())
 
 
 def group(docs: DataFrame, id="doc_id", text="text", similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
