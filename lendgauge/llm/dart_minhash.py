@@ -78,7 +78,7 @@ def signatures(owner, element, weight, n, coordinates=BANDS * BAND_ROWS):
             region, text, space, time = region[on], text[on], space[on], time[on]
             dart = mixed(region, 2 * throw + 12)
             hit = (mixed(dart, 1) >> np.uint64(11)).astype(float) * 2.0 ** -53 < space
-            found.append((text[hit] * coordinates + (mixed(dart, 2) % np.uint64(coordinates)).astype(np.int64), time[hit], dart[hit]))
+            found.append((text[hit] * coordinates + (mixed(dart[hit], 2) % np.uint64(coordinates)).astype(np.int64), time[hit], dart[hit]))
             throw += 1
         slot, time, dart = (np.concatenate(x) for x in zip(*found))
         # Latest first: what is written last stays.
@@ -189,34 +189,40 @@ def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
 
     ``keyed`` has key (binary, the same for equal texts) and text. Texts of a bucket of at most ``small`` are compared with each
     other in a task; buckets with the same texts are one. In a larger bucket all texts are checked against one of them, its
-    centre; those that are not like it enough stay in the bucket without it, until it is small. So no bucket needs a cap, none is
-    gathered whole and none emits all its pairs. Bands of even and of odd number choose opposite centres, which gives a text
-    that lies between two others a second chance.
+    centre. Those that are not like it enough stay, without it, and if they are still many they are dealt out by each further band
+    in turn: texts that are alike agree on several bands, texts that merely share a passage seldom do. So no bucket needs a cap,
+    none is gathered whole and none emits all its pairs.
     """
     signed = small_batches(keyed.select("key", "text")).mapInArrow(_band_rows(bands, rows), "key binary, bands array<bigint>")
     # Signatures are the costly part: they are kept, one per text.
     signed = checkpointed(signed.groupBy("key").agg(F.first("bands").alias("bands")))
-    members = signed.select("key", F.posexplode("bands").alias("band", "hash")).select(
-        "key", F.col("hash").alias("bucket"), (F.col("band") % 2 == 0).alias("even"))
-    left = checkpointed(_sized(members))
+    members = signed.select("key", F.posexplode("bands").alias("last", "bucket"))
+    left = checkpointed(_sized(members)).select("bucket", "key", "last", "n")
     # Only texts that meet another are looked at again.
     texts = checkpointed(keyed.select("key", "text").join(left.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text")))
     within, large = left.where(F.col("n") <= small), left.where(F.col("n") > small)
     done = signed.select(F.col("key").alias("left"), F.col("key").alias("right"), F.lit(1.0).alias("similarity")).where("false")
     while not large.isEmpty():
-        centre = large.groupBy("bucket").agg(F.when(F.first("even"), F.min("key")).otherwise(F.max("key")).alias("centre"))
+        # Buckets of even and of odd number choose opposite centres: a text between two others has a chance with each.
+        centre = large.groupBy("bucket").agg(F.when(F.col("bucket") % 2 == 0, F.min("key")).otherwise(F.max("key")).alias("centre"))
         pairs = (large.join(centre, "bucket").where("key <> centre").groupBy("key", "centre")
-                 .agg(F.collect_list(F.struct("bucket", "even")).alias("buckets")))
+                 .agg(F.collect_list(F.struct("bucket", "last")).alias("buckets")))
         known = (pairs.select(F.col("centre").alias("left"), F.col("key").alias("right"), "buckets")
                  .join(texts.select(F.col("key").alias("left"), F.col("text").alias("left_text")), "left")
                  .join(texts.select(F.col("key").alias("right"), F.col("text").alias("right_text")), "right"))
         checked = checkpointed(small_batches(known.select("left", "right", "buckets", "left_text", "right_text")).mapInArrow(
-            _alike, "left binary, right binary, buckets array<struct<bucket: bigint, even: boolean>>, similarity double"))
+            _alike, "left binary, right binary, buckets array<struct<bucket: bigint, last: int>>, similarity double"))
         done = done.unionByName(checked.where(F.col("similarity") >= similarity).select("left", "right", "similarity"))
-        rest = (checked.where(F.col("similarity") < similarity).select(F.col("right").alias("key"), F.explode("buckets").alias("b"))
-                .select("key", "b.bucket", "b.even"))
-        left = checkpointed(_sized(rest)).select(*within.columns)
-        within, large = within.unionByName(left.where(F.col("n") <= small)), left.where(F.col("n") > small)
+        rest = _sized(checked.where(F.col("similarity") < similarity).select(F.col("right").alias("key"), F.explode("buckets").alias("b"))
+                      .select("key", "b.bucket", "b.last")).select("bucket", "key", "last", "n")
+        rest = checkpointed(rest)
+        many = rest.where(F.col("n") > small).drop("n")
+        # Bands are taken in rising order, so that each set of bands deals once. After the last band only centres are left.
+        finer = (many.where(F.col("last") < bands - 1).join(signed, "key").select("key", F.col("bucket").alias("b"), "last", F.posexplode("bands").alias("j", "h"))
+                 .where("j > last").select("key", F.xxhash64("b", "j", "h").alias("bucket"), F.col("j").alias("last")))
+        dealt = checkpointed(_sized(finer.unionByName(many.where(F.col("last") >= bands - 1).select("key", "bucket", "last")))).select("bucket", "key", "last", "n")
+        within = within.unionByName(rest.where(F.col("n") <= small)).unionByName(dealt.where(F.col("n") <= small))
+        large = dealt.where(F.col("n") > small)
     sets = within.groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
     dealt = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(texts, "key")
     near = dealt.groupBy("set").applyInPandas(_links_within(similarity), "left binary, right binary, similarity double")
