@@ -60,10 +60,5 @@ def numeric_columns(df, narrow=False):
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def named_rows(names, make_struct):
-    """Array of one struct per name, to turn a one-row wide aggregate into rows with ``inline``."""
-    return F.array(*[make_struct(n) for n in names])
-
-
 def _column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)

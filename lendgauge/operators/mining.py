@@ -66,18 +66,19 @@ def _conditions(df, rules):
 def rule_performance(df: DataFrame, rules, label="label", group="target_group") -> DataFrame:
     """One row per rule with train, test and overall figures, PSI of bad rates and lift decay.
 
-    Every row lists the rules it meets; counts per rule and group come from one aggregation.
+    Rows that meet the same rules are counted together, by group, before each pattern is dealt out to its rules.
     """
     rules = list(dict.fromkeys(rules))
     spark = df.sparkSession
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in enumerate(_conditions(df, rules))]))
+    patterns = df.groupBy(hits.alias("_hits"), F.col(group).alias("_g")).agg(
+        F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_y"))
     # Rule -1 holds every row: the totals of the groups.
-    rows = df.select(F.col(group).alias("_g"), F.col(label).cast("double").alias("_y"),
-                     F.explode(F.array_append(hits, F.lit(-1))).alias("rule_id"))
+    rows = patterns.select("_g", "_n", "_y", F.explode(F.array_append("_hits", F.lit(-1))).alias("rule_id"))
     counted = rows.groupBy("rule_id").agg(
         *[a.alias(f"{name}_{part}") for part, inside in (
             ("train", F.col("_g") == "train"), ("test", F.col("_g") == "test"), ("all", F.lit(True)))
-          for name, a in (("total", F.count_if(inside)), ("bad", F.coalesce(F.sum(F.when(inside, F.col("_y"))), F.lit(0.0))))])
+          for name, a in (("total", F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0))), ("bad", F.coalesce(F.sum(F.when(inside, F.col("_y"))), F.lit(0.0))))])
     whole = counted.where("rule_id = -1").first()
     listed = spark.createDataFrame([(n, r) for n, r in enumerate(rules)], "rule_id int, rule string")
     joined = listed.join(counted, "rule_id", "left").na.fill(0)

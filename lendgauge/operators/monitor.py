@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .evaluate import score_histogram
 from .psi import psi_from_distribution, stability_band
 from .scoring import with_model_scores
@@ -19,8 +20,9 @@ def monitor_scores(df: DataFrame, distribution, score="score", batch_name="batch
 
 
 def monitor_model(model, df: DataFrame, batch_name="batch") -> DataFrame:
-    """Score a batch with a saved model and describe it as one log row."""
-    return monitor_scores(model.score(df).select("score"), model.score_distribution, "score", batch_name)
+    """Score a batch with a saved model and describe it as one log row. Scores are kept: the model runs once a row."""
+    scored = checkpointed(model.score(df).select("score"))
+    return monitor_scores(scored, model.score_distribution, "score", batch_name)
 
 
 def monitor_strategies(df: DataFrame, strategies, models=None, batch_name="batch") -> DataFrame:

@@ -114,10 +114,10 @@ def std_profile(df: DataFrame, columns=None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
-    """(column_name, number, text, n) per distinct value: floats as numbers, the rest as text.
+    """(column_name, number, text, n) per distinct value: floats as numbers, the rest by 128 bits of their text.
 
     Partial counts are merged before the shuffle, so a value that fills a column costs one row per
-    task. Text keeps long integers exact.
+    task, and long texts aren't sent. Text keeps long integers exact.
     """
     columns = columns or df.columns
     parts = []
@@ -126,7 +126,7 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
         parts.append(F.struct(
             F.lit(name).alias("column_name"),
             (c.cast("double") if floating else F.lit(None).cast("double")).alias("number"),
-            (F.lit(None).cast("string") if floating else c.cast("string")).alias("text")))
+            (F.lit(None).cast("binary") if floating else F.unhex(F.md5(c.cast("string")))).alias("text")))
     long = df.select(F.explode(F.array(*parts)).alias("v")).select("v.*")
     return long.groupBy("column_name", "number", "text").agg(F.count("*").alias("n"))
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 # Groups up to this many values may be held by one task.
 SMALL_GROUP = 1_000_000
+# Values of all columns together that a task may hold.
+TASK_VALUES = 4_000_000
 GRID = 200
 SKETCH_ACCURACY = 10_000
 MAX_BUCKETS = 1024
@@ -41,7 +43,13 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), small_group=SMALL_GR
     counts = {tuple(r[k] for k in by): {c: r[f"n{i}"] for i, c in enumerate(columns)} for r in sizes}
     largest = max((n for group in counts.values() for n in group.values()), default=0)
     if largest <= small_group:
-        return _quantiles_in_memory(df, columns, probabilities, by)
+        # A task holds the values of a group in all columns it is asked for: few enough of them at a time.
+        width = max(TASK_VALUES // max(largest, 1), 1)
+        result = {group: {} for group in counts}
+        for start in range(0, len(columns), width):
+            for group, found in _quantiles_in_memory(df, columns[start:start + width], probabilities, by).items():
+                result[group].update(found)
+        return result
 
     long = unpivot_numeric(df, by, columns)
     ranks = {}
@@ -78,9 +86,10 @@ def _neighbours(p, n):
 
 
 def _interpolate(values, p, n):
+    """As the built-in percentile does to the last bit, so that the way a quantile is found never shows."""
     low, high = _neighbours(p, n)
-    a, b = values[low], values[high]
-    return a if a == b else a + (b - a) * (p * (n - 1) - low)
+    a, b, position = values[low], values[high], p * (n - 1)
+    return a if low == high or a == b else (high - position) * a + (position - low) * b
 
 
 # ---------------------------------------------------------------- ranks

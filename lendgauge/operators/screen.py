@@ -10,8 +10,6 @@ from .profile import top_share
 from .ranks import SKETCH_ACCURACY
 from .woe import multi_set_metrics
 
-# Pairs up to this many use built-in aggregates; more go through batch matrix products.
-NATIVE_PAIRS = 15
 
 VERDICT = ("column_name string, missing_rate double, std double, kept boolean, reason string")
 
@@ -92,46 +90,32 @@ def _ranked(value, kind):
 # ---------------------------------------------------------------- correlation
 
 def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
-    """(feature_a, feature_b, corr) for a < b in column order, over rows where both are present.
+    """(feature_a, feature_b, corr) for all a < b in column order, over rows where both are present.
 
-    Sums are taken around the column means; pairs without variation give null.
+    NaN counts as missing. Sums are taken around the column means; pairs without common rows or without variation give null.
     """
     columns = list(columns or numeric_columns(df, narrow=True))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
-    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = values.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(columns))]).first()
     centres = [means[f"m{i}"] or 0.0 for i in range(len(columns))]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    sums = _pair_sums_native(df, columns, centres, pairs) if len(pairs) <= NATIVE_PAIRS \
-        else _pair_sums_batched(df, columns, centres)
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    width = len(columns)
+    pairs = (df.sparkSession.range(width * width).select(F.floor(F.col("id") / width).cast("int").alias("i"), (F.col("id") % width).cast("int").alias("j"))
+             .where("i < j"))
+    sums = pairs.join(_pair_sums(values, centres), ["i", "j"], "left")
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     named = F.array(*[F.lit(c) for c in columns])
-    return sums.where(F.col("n") > 0).select(
+    return sums.select(
         F.get(named, F.col("i")).alias("feature_a"), F.get(named, F.col("j")).alias("feature_b"),
         F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr"))
 
 
-def _pair_sums_native(df, columns, centres, pairs):
-    around = df.select(*[(F.col(f"`{c}`").cast("double") - F.lit(centres[i])).alias(f"c{i}")
-                         for i, c in enumerate(columns)])
-    aggregates, structs = [], []
-    for i, j in pairs:
-        x, y = F.col(f"c{i}"), F.col(f"c{j}")
-        both = x.isNotNull() & y.isNotNull()
-        sums = {"n": F.count_if(both).cast("double"), "sx": F.sum(F.when(both, x)), "sy": F.sum(F.when(both, y)),
-                "sxx": F.sum(F.when(both, x * x)), "syy": F.sum(F.when(both, y * y)), "sxy": F.sum(x * y)}
-        aggregates += [a.alias(f"{k}_{i}_{j}") for k, a in sums.items()]
-        structs.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                *[F.col(f"{k}_{i}_{j}").alias(k) for k in sums]))
-    return around.agg(*aggregates).select(F.inline(F.array(*structs)))
-
-
-def _pair_sums_batched(df, columns, centres):
+def _pair_sums(values, centres):
     """Per task one set of matrix products; the shuffle carries pairs, never rows."""
-    picked = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    width, centre = len(columns), np.array(centres)
+    width, centre = len(centres), np.array(centres)
     upper = np.triu_indices(width, 1)
 
     def partial(batches):
@@ -149,7 +133,7 @@ def _pair_sums_batched(df, columns, centres):
                                 **{k: t[upper] for k, t in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total)}})
 
     schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = picked.mapInPandas(partial, schema)
+    parts = values.mapInPandas(partial, schema)
     return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 

@@ -6,6 +6,7 @@ compared with it.
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.periods import parse_time
 from .ranks import SMALL_GROUP, order_statistics
@@ -24,15 +25,18 @@ def default_oot_share(ratios=None):
     return ratios[-1] / sum(ratios) if ratios and len(ratios) >= 3 else DEFAULT_OOT_SHARE
 
 
+def _tie(df: DataFrame, key):
+    """What orders rows of one time: a numeric key itself, a hash of any other."""
+    kind = df.schema[key].dataType
+    ordered = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return F.col(key) if ordered else F.xxhash64(F.col(key).cast("string"))
+
+
 def _rank_cut(df: DataFrame, order, tie, rank, n, small_group):
     """(order, tie) of the row at ``rank`` of the ``n`` timed rows sorted by both; None outside of them."""
     if rank >= n or rank < 0:
         return None
     present = df.where(F.col(order).isNotNull()).select(order, tie)
-    if n <= small_group:
-        sorted_rows = Window.partitionBy(F.lit(0)).orderBy(order, tie)
-        row = present.withColumn("_r", F.row_number().over(sorted_rows)).where(F.col("_r") == rank + 1).first()
-        return row[order], row[tie]
     at = order_statistics(present, order, {(): [rank]}, (), small_group, sizes={(): n})[()][rank]
     below, equal = present.agg(
         F.count_if(F.col(order) < F.lit(at)), F.count_if(F.col(order) == F.lit(at))).first()
@@ -51,27 +55,27 @@ def tag_oot_by_share(df: DataFrame, time_col, key, share, tag="split", null_time
     """``oot`` for the last ``share`` of rows by time, ties ordered by ``key``; null for the rest.
 
     The boundary row is ``int(n * (1 - share))``. Rows without a readable time stay in the rest;
-    ``null_times='oot'`` sorts them last instead.
+    ``null_times='oot'`` sorts them last instead. A key that isn't a number or a time orders ties by its hash.
     """
-    timed = df.withColumn("_time", parse_time(df, time_col))
+    timed = df.withColumn("_time", parse_time(df, time_col)).withColumn("_tie", _tie(df, key))
     n, present = timed.agg(F.count("*"), F.count("_time")).first()
     boundary = int(n * (1 - share))
     absent = F.col("_time").isNull()
     if null_times == "oot":
-        cut = _rank_cut(timed, "_time", key, boundary, present, small_group) if boundary < present else None
+        cut = _rank_cut(timed, "_time", "_tie", boundary, present, small_group) if boundary < present else None
         if cut is None:
             nulls = timed.where(absent)
             inner = boundary - present
-            found = order_statistics(nulls, key, {(): [inner]}, (), small_group, sizes={(): n - present}) \
+            found = order_statistics(nulls, "_tie", {(): [inner]}, (), small_group, sizes={(): n - present}) \
                 if 0 <= inner < n - present else {(): {}}
             edge = found[()].get(inner)
-            oot = F.lit(False) if edge is None else absent & (F.col(key) >= F.lit(edge))
+            oot = F.lit(False) if edge is None else absent & (F.col("_tie") >= F.lit(edge))
         else:
-            oot = F.coalesce(_at_or_after("_time", key, cut), F.lit(True))
+            oot = F.coalesce(_at_or_after("_time", "_tie", cut), F.lit(True))
     else:
-        cut = _rank_cut(timed, "_time", key, max(boundary - (n - present), 0), present, small_group)
-        oot = F.lit(False) if cut is None else F.coalesce(_at_or_after("_time", key, cut), F.lit(False))
-    return timed.withColumn(tag, F.when(oot, "oot")).drop("_time")
+        cut = _rank_cut(timed, "_time", "_tie", max(boundary - (n - present), 0), present, small_group)
+        oot = F.lit(False) if cut is None else F.coalesce(_at_or_after("_time", "_tie", cut), F.lit(False))
+    return timed.withColumn(tag, F.when(oot, "oot")).drop("_time", "_tie")
 
 
 def tag_oot_by_time(df: DataFrame, time_col, start, tag="split") -> DataFrame:

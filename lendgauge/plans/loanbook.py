@@ -30,14 +30,14 @@ app AS (
          WHEN o.o_orderkey % 4 = 3 THEN 'valid' ELSE 'train' END AS target,
     CAST(1 + o.o_orderkey % 3 AS DOUBLE) AS weight,
     CAST(0.02 AS DOUBLE) + CAST(0.9 AS DOUBLE) * o.o_totalprice / 500000 AS proba
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN li ON o.o_orderkey = li.l_orderkey)"""
 
 
 def applications(spark, folder, columns=None):
     """The application table; tables behind columns that are not asked for are not read.
 
-    Every order has a customer, so leaving the customer join out changes no row.
+    There is one row per order, whichever columns are asked for; an order without a customer has null customer columns.
     """
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     wanted = list(columns) if columns else None
@@ -47,7 +47,7 @@ def applications(spark, folder, columns=None):
     base = orders
     if needs_customer:
         customer = spark.read.parquet(f"{folder}/customer.parquet")
-        base = base.join(customer, base["o_custkey"] == customer["c_custkey"])
+        base = base.join(customer, base["o_custkey"] == customer["c_custkey"], "left")
     if needs_items:
         lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
         items = lineitem.groupBy("l_orderkey").agg(
