@@ -122,7 +122,7 @@ TRIALS = T.StructType([
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()))])
 
 
-def search(df: DataFrame, features, label="label", target="target", model_type="lr", n_trials=10, max_depth=6,
+def search(df: DataFrame, features, label="label", target="target", model_type="lr", n_trials=100, max_depth=6,
            strategy_type=1, threshold=0.03, weight="weight", seed=42, space=None):
     """(best model, trial table). Draws are seeded; the trial with the highest oot KS wins, the first on ties.
 
@@ -151,7 +151,7 @@ def search(df: DataFrame, features, label="label", target="target", model_type="
     return best, table.withColumn("value", objective_of_maps("metrics", strategy_type, threshold))
 
 
-def train_scorecard(df: DataFrame, features=None, label="label", target="target", model_type="lr", n_trials=10,
+def train_scorecard(df: DataFrame, features=None, label="label", target="target", model_type="lr", n_trials=100,
                     score_config=None, exclude=(), oot_col=None, weight="weight", **options):
     """Search, choose the score scale and store the score distribution of all rows with the model."""
     features = features or feature_list(df, exclude, label, oot_col, target, weight)

@@ -1,10 +1,9 @@
 """Queries that fit models, mine rules and monitor batches and streams."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ...operators import binning, evaluate, mining, monitor, psi, scoring, train, woe
+from ...session import new_place
 from ...sources.models import ScorecardModel
 from ...streaming import drift
 from .. import report
@@ -33,13 +32,13 @@ def train_regression(spark, folder):
 
 @query("train_boosted_trees")
 def train_boosted_trees(spark, folder):
-    model, app = fitted_model(spark, folder, "gbt", maxIter=10, maxDepth=3, stepSize=0.2)
+    model, app = fitted_model(spark, folder, "gbt", maxIter=100, maxDepth=3, stepSize=0.2)
     return rounded(evaluate.ks_auc(model.probabilities(app), ["target"], weight="weight"))
 
 
 @query("train_forest")
 def train_forest(spark, folder):
-    model, app = fitted_model(spark, folder, "rf", numTrees=20, maxDepth=4)
+    model, app = fitted_model(spark, folder, "rf", numTrees=100, maxDepth=4)
     return rounded(evaluate.ks_auc(model.probabilities(app), ["target"], weight="weight"))
 
 
@@ -60,7 +59,7 @@ def class_weights(spark, folder):
 
 @query("parameter_search")
 def parameter_search(spark, folder):
-    _, trials = train.search(kept_applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=2, seed=7,
+    _, trials = train.search(kept_applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=10, seed=7,
                              space={"C": ("log", 0.01, 1.0), "maxIter": ("log_int", 20, 50)})
     return trials.select("trial", F.to_json("params").alias("params"), F.round("value", 6).alias("value"),
                          *[F.round(F.col("metrics")[f"{s}_{m}"], 6).alias(f"{s}_{m}") for s in SETS for m in ("ks", "auc")])
@@ -105,7 +104,7 @@ def best_trial(spark, folder):
 
 @query("feature_importance")
 def feature_importance(spark, folder):
-    model, app = fitted_model(spark, folder, "rf", numTrees=10, maxDepth=4)
+    model, app = fitted_model(spark, folder, "rf", numTrees=100, maxDepth=4)
     cuts = binning.equal_frequency_cuts(app.where(F.col("target") == "train"), FEATURES)
     return rounded(train.importance_table(model, woe.iv_by_set(app, cuts), woe.ks_by_set(app, cuts)))
 
@@ -123,7 +122,7 @@ def batch_scoring(spark, folder):
 @query("saved_model_scoring")
 def saved_model_scoring(spark, folder):
     model, app = fitted_model(spark, folder, "lr", C=0.5, maxIter=50)
-    place = tempfile.mkdtemp(prefix="lendgauge-model-")
+    place = new_place(spark, "model")
     loaded = ScorecardModel.load(spark, model.save(place))
     return rounded(loaded.score(app).groupBy("target").agg(F.avg("score").alias("avg_score"), F.count("*").alias("n")))
 
@@ -276,7 +275,7 @@ def mined_tree_rules(spark, folder):
 def mined_forest_rules(spark, folder):
     app = kept_applications(spark, folder, RULE_COLUMNS)
     return rounded(mining.mining_summary(mining.mine_rules(
-        app, "app_id", time_col="apply_time", kind="exrf", features=FEATURES, n_trees=10)))
+        app, "app_id", time_col="apply_time", kind="exrf", features=FEATURES)))
 
 
 # ---------------------------------------------------------------- monitoring
@@ -350,7 +349,7 @@ def stream_drift(spark, folder):
     sizes = {r["bin"]: r["total"] for r in base}
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     counts = drift.windowed_counts(stream, "ts", "value", edges, "7 days", "3650 days")
-    place = tempfile.mkdtemp(prefix="lendgauge-stream-")
+    place = new_place(spark, "stream")
     drift.start_counting(counts, f"{place}/counts", f"{place}/checkpoint", availableNow=True).awaitTermination()
     result = drift.window_psi(drift.newest_counts(spark, f"{place}/counts"), [sizes.get(b, 0) for b in range(1, 11)])
     return rounded(result.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))

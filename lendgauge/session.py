@@ -47,8 +47,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under a new name in the shared folder and read it back."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet to a new place and read it back."""
+    path = new_place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
