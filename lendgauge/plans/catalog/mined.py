@@ -280,13 +280,37 @@ def mined_forest_rules(spark, folder):
 
 # ---------------------------------------------------------------- monitoring
 
+def edge(i, n, low="lo", high="hi"):
+    """Edge number ``i`` of ``n`` bins of equal width."""
+    return f"(CASE WHEN {i} = {n} THEN {high} ELSE {i} * (({high} - {low}) / {n}) + {low} END)"
+
+
+def equal_bin(n):
+    """Left-closed bin of ``score`` between ``lo`` and ``hi``, the outer ones open."""
+    return f"greatest(least(len(list_filter(range(0, {n + 1}), lambda i: {edge('i', n)} <= score)), {n}), 1)"
+
+
 @query("monitor_batch", on_app(
-    """SELECT 'oot' AS batch_name, COUNT(*) AS sample_size, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score,
-    round(max(score), 6) AS max_score, round(stddev_pop(score), 6) AS std_score FROM scored WHERE target = 'oot'""", SCORED))
+    f"""SELECT 'oot' AS batch_name, sample_size, psi, avg_score, min_score, max_score, std_score, CAST(b AS INT) AS bin, COUNT(score) AS n,
+      round({edge('(b - 1)', 10, 'any_value(lo)', 'any_value(hi)')}, 6) AS low, round({edge('b', 10, 'any_value(lo)', 'any_value(hi)')}, 6) AS high
+    FROM (SELECT unnest(range(1, 11)) AS b) CROSS JOIN figures CROSS JOIN shift
+    LEFT JOIN (SELECT score, {equal_bin(10)} AS bin FROM batch, figures) ON bin = b
+    GROUP BY b, sample_size, psi, avg_score, min_score, max_score, std_score""", SCORED,
+    "batch AS (SELECT score FROM scored WHERE target = 'oot')",
+    "figures AS (SELECT COUNT(*) AS sample_size, round(avg(score), 6) AS avg_score, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, "
+    "round(stddev_pop(score), 6) AS std_score, min(score) AS lo, max(score) AS hi FROM batch)",
+    "ends AS (SELECT min(score) AS lo, max(score) AS hi FROM scored WHERE target = 'train')",
+    f"""shift AS (SELECT round(SUM((ap - xp) * ln(ap / xp)), 6) AS psi FROM (
+      SELECT CASE WHEN x = 0 THEN 1e-6 ELSE x / SUM(x) OVER () END AS xp, CASE WHEN a = 0 THEN 1e-6 ELSE a / SUM(a) OVER () END AS ap
+      FROM (SELECT b, COUNT(*) FILTER (target = 'train') AS x, COUNT(*) FILTER (target = 'oot') AS a
+        FROM (SELECT unnest(range(1, 21)) AS b) LEFT JOIN (SELECT target, {equal_bin(20)} AS bin FROM scored, ends) ON bin = b GROUP BY b)))"""))
 def monitor_batch(spark, folder):
     app = scored(spark, folder, ["label", "target"])
     stored = evaluate.score_distribution(app.where(F.col("target") == "train")).first().asDict()
-    return rounded(monitor.monitor_scores(app.where(F.col("target") == "oot"), stored, batch_name="oot").drop("psi", "bins", "counts"))
+    one = monitor.monitor_scores(app.where(F.col("target") == "oot"), stored, batch_name="oot")
+    return rounded(one.select("*", F.posexplode("counts").alias("i", "n")).select(
+        "batch_name", "sample_size", "psi", "avg_score", "min_score", "max_score", "std_score", (F.col("i") + 1).cast("int").alias("bin"), "n",
+        F.get("bins", F.col("i")).alias("low"), F.get("bins", F.col("i") + 1).alias("high")))
 
 
 @query("monitor_model")
