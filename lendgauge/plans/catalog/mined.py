@@ -9,8 +9,9 @@ from ...streaming import drift
 from .. import report
 from ..loanbook import NUMERIC_FEATURES, applications, kept_applications
 from .bins import BINNED, SETS, app_and_cuts
+from .decisions import BASELINE, COLUMNS, EXPERIMENT
 from .models import LIFT_NAMES, SCORED, scored
-from .registry import on_app, query, rounded, woe_part
+from .registry import STATEMENTS, on_app, query, rounded, woe_part
 
 FEATURES = NUMERIC_FEATURES
 MODEL_COLUMNS = [*FEATURES, "segment", "label", "target", "weight"]
@@ -320,12 +321,23 @@ def monitor_model(spark, folder):
     return rounded(monitor.monitor_model(model, app.where(F.col("target") == "oot"), "oot").drop("bins", "counts"))
 
 
-@query("monitor_strategies")
+def log_rows(summary, nodes):
+    """Statement of a log row with its nodes, one line per node."""
+    return f"SELECT 'whole book' AS batch_name, s.*, n.* FROM ({STATEMENTS[summary]}) s CROSS JOIN ({STATEMENTS[nodes]}) n"
+
+
+def per_node(logged):
+    return logged.select("*", F.explode("nodes").alias("_n")).select("*", "_n.*").drop("nodes", "_n")
+
+
+@query("monitor_strategies", log_rows("flow_summary", "flow_nodes"))
 def monitor_strategies(spark, folder):
-    from .decisions import BASELINE, COLUMNS
+    return per_node(monitor.monitor_strategies(applications(spark, folder, COLUMNS), BASELINE, batch_name="whole book"))
+
 
-    logged = monitor.monitor_strategies(applications(spark, folder, COLUMNS), BASELINE, batch_name="whole book")
-    return logged.withColumn("nodes", F.to_json("nodes"))
+@query("monitor_comparison", log_rows("flow_comparison", "flow_comparison_nodes"))
+def monitor_comparison(spark, folder):
+    return per_node(monitor.monitor_comparison(applications(spark, folder, COLUMNS), BASELINE, EXPERIMENT, batch_name="whole book"))
 
 
 MONTH_LOGS = (
