@@ -153,7 +153,7 @@ def model_report_summary(spark, folder):
     return rounded(result)
 
 
-@query("model_report_performance")
+@query("model_report_performance", STATEMENTS["performance_table"])
 def model_report_performance(spark, folder):
     return rounded(report_sections(spark, folder)["performance"].select("datasets", "auc", "ks", *LIFT_NAMES))
 
