@@ -22,7 +22,10 @@ SIMILARITY = 0.8
 #: Texts that are 0.8 alike agree on a band with 0.8 ** 5 = 0.33, and miss all of 32 bands once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
 #: Texts of a bucket that a task compares with each other.
-SMALL_BUCKET = 128
+SMALL_BUCKET = 512
+#: Further bands that a larger bucket's texts are dealt out by at a time. Texts that are 0.8 alike and meet in ten buckets share
+#: one of four further bands in all but 0.2 of each: they miss each other in all of them once in ten million times.
+FURTHER = 4
 
 
 def shingle_sets(column, size=SHINGLE):
@@ -158,22 +161,28 @@ def _links_within(similarity):
         owner, element, weight = shingle_sets(pa.array(rows["text"]))
         n, keys, total = len(rows), rows["key"].tolist(), np.bincount(owner, weight, len(rows))
         order = np.argsort(element, kind="stable")
-        sorted_elements, joined, found = element[order], list(range(n)), []
+        sorted_elements, joined, found = element[order], np.arange(n), []
 
-        def root(i):
-            while joined[i] != i:
-                i = joined[i]
-            return i
-        for i in range(n):
+        def compare_with_all(i):
             own = owner == i
             first, past = (np.searchsorted(sorted_elements, element[own], side) for side in ("left", "right"))
-            hits = order[np.repeat(first - np.concatenate(([0], np.cumsum(past - first)[:-1])), past - first) + np.arange((past - first).sum())]
-            shared = np.bincount(owner[hits], np.minimum(np.repeat(weight[own], past - first), weight[hits]), n)
-            alike = shared / np.maximum(total[i] + total - shared, 1e-9)
-            for j in np.flatnonzero(alike >= similarity):
-                if root(i) != root(j):
-                    joined[root(j)] = root(i)
-                    found.append((keys[i], keys[j], float(alike[j])))
+            sizes = past - first
+            hits = order[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+            shared = np.bincount(owner[hits], np.minimum(np.repeat(weight[own], sizes), weight[hits]), n)
+            for j in np.flatnonzero(shared >= similarity * (total[i] + total - shared) - 1e-9):
+                if joined[i] != joined[j]:
+                    joined[joined == joined[j]] = joined[i]
+                    found.append((keys[i], keys[j], float(shared[j] / (total[i] + total[j] - shared[j]))))
+        # Texts of the largest class so far needn't be compared with each other, only the others with all.
+        left = np.ones(n, bool)
+        i = 0
+        while True:
+            compare_with_all(i)
+            left[i] = False
+            outside = np.flatnonzero(left & (joined != np.bincount(joined).argmax()))
+            if not len(outside):
+                break
+            i = outside[0]
         return pd.DataFrame(found, columns=["left", "right", "similarity"])
     return compare
 
@@ -217,10 +226,11 @@ def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
                       .select("key", "b.bucket", "b.last")).select("bucket", "key", "last", "n")
         rest = checkpointed(rest)
         many = rest.where(F.col("n") > small).drop("n")
-        # Bands are taken in rising order, so that each set of bands deals once. After the last band only centres are left.
-        finer = (many.where(F.col("last") < bands - 1).join(signed, "key").select("key", F.col("bucket").alias("b"), "last", F.posexplode("bands").alias("j", "h"))
-                 .where("j > last").select("key", F.xxhash64("b", "j", "h").alias("bucket"), F.col("j").alias("last")))
-        dealt = checkpointed(_sized(finer.unionByName(many.where(F.col("last") >= bands - 1).select("key", "bucket", "last")))).select("bucket", "key", "last", "n")
+        # Bands are taken in rising order, the first ones again after the last. When all were, only centres are left.
+        further = F.sequence(F.col("last") + 1, F.least(F.col("last") + FURTHER, F.lit(2 * bands - 1)))
+        finer = (many.where(F.col("last") < 2 * bands - 1).select("key", "bucket", F.explode(further).alias("last")).join(signed, "key")
+                 .select("key", F.xxhash64("bucket", "last", F.get("bands", F.col("last") % bands)).alias("bucket"), "last"))
+        dealt = checkpointed(_sized(finer.unionByName(many.where(F.col("last") >= 2 * bands - 1).select("key", "bucket", "last")))).select("bucket", "key", "last", "n")
         within = within.unionByName(rest.where(F.col("n") <= small)).unionByName(dealt.where(F.col("n") <= small))
         large = dealt.where(F.col("n") > small)
     sets = within.groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
