@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import through_parquet
 from .common import pieces, small_batches
 from .rolling import mixed, sliding_min
 
@@ -68,11 +68,11 @@ def candidates(docs: DataFrame, marks_of, text="text", hot=HOT, id=None) -> Data
                .where("a <> b OR t > 1").select("mark", (F.col("n") > hot).alias("hot")))
     found = (marked.select("ref", "mark").join(several, "mark").groupBy("ref")
              .agg(F.collect_set(F.struct("mark", "hot")).alias("marks")))
-    return checkpointed(keyed.join(found, "ref").groupBy(name).agg(F.first("text").alias("text"), F.first("marks").alias("marks")))
+    return through_parquet(keyed.join(found, "ref").groupBy(name).agg(F.first("text").alias("text"), F.first("marks").alias("marks")), "candidates")
 
 
 def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
-    """Parts of ``texts`` (key, start, text, marks) that windows with their marks cover: key, start, part (binary).
+    """Parts of ``texts`` (key, start, text, marks) that windows with their marks cover: key, start, part (binary), kept in the shared folder.
 
     ``windows_of`` maps an Arrow column and the marks of each text to (text number, first byte, past byte) arrays.
     """
@@ -87,4 +87,4 @@ def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
                 "key": batch.column("key").take(own), "start": pa.array(starts[owner] + first if len(owner) else [], pa.int64()),
                 "part": pa.array([data[o][a:b] for o, a, b in zip(owner, first, past)], pa.binary())})
 
-    return small_batches(texts.select("key", "start", "text", "marks")).mapInArrow(cut, "key binary, start bigint, part binary")
+    return through_parquet(small_batches(texts.select("key", "start", "text", "marks")).mapInArrow(cut, "key binary, start bigint, part binary"), "parts")

@@ -1,7 +1,7 @@
 """Repeated byte strings by a distributed difference-cover suffix array.
 
-Texts are byte strings; only their parts that can hold a repeated string of 200 bytes are sorted (``repeats`` finds them by marks,
-twice: coarse marks over whole texts, fine ones over the parts). A part is read as eight chains of symbols of eight bytes. At every
+Texts are byte strings; only their parts that can hold a repeated string of 200 bytes are sorted (``repeats`` finds them by marks:
+coarse ones over whole texts, finer ones over the parts that are left). A part is read as eight chains of symbols of eight bytes. At every
 level the suffixes at places 1 and 2 modulo 3 are named by their sorted triples of symbols, the names make the strings of the next
 level, and from its ranks all suffixes are ranked: those at places 0 modulo 3 are merged in by two sorted keys, one comparable with
 either kind of sampled suffix. Names cover 24, 72 and 216 bytes, so three levels decide any 200. In the order of the ranks equal
@@ -20,8 +20,8 @@ from .repeats import candidates, marked_parts, per_text, text_key, window_marks
 from .rolling import joined, mixed, range_sums
 
 LENGTH = 200
-#: Bytes of the grams that mark windows: coarse ones, then fine ones.
-GRAMS = (64, 192)
+#: Bytes of the grams that mark windows, from coarse to fine: long grams rule out more but give more marks, and find fewer places.
+GRAMS = (64, 192, 199)
 SYMBOL = 8
 #: Below every symbol and every rank.
 END = -(1 << 63)
@@ -76,9 +76,11 @@ def _windows_of(length, gram):
 
 def parts_of(texts: DataFrame, length=LENGTH, grams=GRAMS) -> DataFrame:
     """Parts of the texts (as ``candidates`` gives them) that may hold a repeated string: key, start (byte), part (binary)."""
-    coarse = checkpointed(marked_parts(texts.withColumn("start", F.lit(0).cast("bigint")), _windows_of(length, grams[0])))
-    again = candidates(coarse.select(F.struct("key", "start").alias("id"), F.col("part").alias("text")), _marks_of(length, grams[1]), "text", id="id")
-    return checkpointed(marked_parts(again.select("id.key", "id.start", "text", "marks"), _windows_of(length, grams[1])))
+    parts = marked_parts(texts.withColumn("start", F.lit(0).cast("bigint")), _windows_of(length, grams[0]))
+    for gram in grams[1:]:
+        again = candidates(parts.select(F.struct("key", "start").alias("id"), F.col("part").alias("text")), _marks_of(length, gram), "text", id="id")
+        parts = marked_parts(again.select("id.key", "id.start", "text", "marks"), _windows_of(length, gram))
+    return parts
 
 
 def chains(parts: DataFrame, length=LENGTH) -> DataFrame:

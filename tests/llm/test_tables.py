@@ -144,7 +144,7 @@ def test_repeated_words(spark, hot):
 def test_repeated_bytes(spark):
     texts = passages(4, lambda r: r.choice("abé"), lambda r, t: "".join(t)) + ["é" * 30 + "z", "y" + "é" * 30]
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, part string")
-    found = {bytes(r.key): r for r in suffix_array.verdicts(table, length=20, grams=(6, 18)).collect()}
+    found = {bytes(r.key): r for r in suffix_array.verdicts(table, length=20, grams=(6, 14, 18)).collect()}
     keys = {r.doc_id: bytes(r.k) for r in table.select("doc_id", text_key(F.col("text")).alias("k")).collect()}
     for i, (data, gone) in enumerate(plain_repeats(texts, lambda t: (t or "").encode(), 20)):
         got = found.get(keys[i])
