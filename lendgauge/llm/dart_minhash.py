@@ -21,11 +21,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Texts that are 0.8 alike agree on a band with 0.8 ** 5 = 0.33, and miss all of 32 bands once in 300,000 times.
 BANDS, BAND_ROWS = 32, 5
-#: Texts of a bucket that a task compares with each other.
+#: Texts that a task compares with each other.
 SMALL_BUCKET = 512
-#: Further bands that a larger bucket's texts are dealt out by at a time. Texts that are 0.8 alike and meet in ten buckets share
-#: one of four further bands in all but 0.2 of each: they miss each other in all of them once in ten million times.
-FURTHER = 4
+#: Counters that tell common elements from rare ones.
+COUNTERS = 1 << 16
+
 
 
 def shingle_sets(column, size=SHINGLE):
@@ -111,22 +111,6 @@ def _band_rows(bands, rows):
     return sign
 
 
-def _alike(batches):
-    """Tasks' work: exact weighted Jaccard similarity of the two texts of each row."""
-    for batch in pieces(batches, "left_text"):
-        n = batch.num_rows
-        owner, element, weight = shingle_sets(pa.concat_arrays([batch.column("left_text"), batch.column("right_text")]))
-        pair, side = owner % max(n, 1), owner // max(n, 1)
-        order = np.lexsort((side, element, pair))
-        pair, side, element, weight = pair[order], side[order], element[order], weight[order]
-        both = np.flatnonzero((pair[1:] == pair[:-1]) & (element[1:] == element[:-1])) if len(pair) else np.zeros(0, int)
-        shared = np.bincount(pair[both], np.minimum(weight[both], weight[both + 1]), n)
-        total = np.bincount(pair, weight, n)
-        yield pa.RecordBatch.from_pydict({
-            "left": batch.column("left"), "right": batch.column("right"), "buckets": batch.column("buckets"),
-            "similarity": pa.array(shared / np.maximum(total - shared, 1))})
-
-
 def classes(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (left, right): node, class (its smallest node).
 
@@ -156,12 +140,16 @@ def classes(edges: DataFrame) -> DataFrame:
 
 
 def _links_within(similarity):
-    """Tasks' work on the texts of one set: all pairs are compared; links that join texts not joined before are given."""
+    """Tasks' work on the texts of one set: all pairs are compared; links that join texts not joined before are given.
+
+    Rows with ``label`` are joined already if it is the same; of rows with ``asks`` only those that ask are compared with all.
+    """
     def compare(rows):
         owner, element, weight = shingle_sets(pa.array(rows["text"]))
         n, keys, total = len(rows), rows["key"].tolist(), np.bincount(owner, weight, len(rows))
         order = np.argsort(element, kind="stable")
-        sorted_elements, joined, found = element[order], np.arange(n), []
+        sorted_elements, found = element[order], []
+        joined = np.unique(rows["label"], return_inverse=True)[1] if "label" in rows else np.arange(n)
 
         def compare_with_all(i):
             own = owner == i
@@ -173,70 +161,129 @@ def _links_within(similarity):
                 if joined[i] != joined[j]:
                     joined[joined == joined[j]] = joined[i]
                     found.append((keys[i], keys[j], float(shared[j] / (total[i] + total[j] - shared[j]))))
-        # Texts of the largest class so far needn't be compared with each other, only the others with all.
-        left = np.ones(n, bool)
-        i = 0
-        while True:
-            compare_with_all(i)
-            left[i] = False
-            outside = np.flatnonzero(left & (joined != np.bincount(joined).argmax()))
-            if not len(outside):
-                break
-            i = outside[0]
+        if "asks" in rows:
+            for i in np.flatnonzero(rows["asks"]):
+                if (joined != joined[i]).any():
+                    compare_with_all(i)
+        else:
+            # Texts of the largest class so far needn't be compared with each other, only the others with all.
+            left = np.ones(n, bool)
+            i = 0
+            while True:
+                compare_with_all(i)
+                left[i] = False
+                outside = np.flatnonzero(left & (joined != np.bincount(joined).argmax()))
+                if not len(outside):
+                    break
+                i = outside[0]
         return pd.DataFrame(found, columns=["left", "right", "similarity"])
     return compare
 
 
+def _counters(texts: DataFrame):
+    """How common elements are, by their remainder: the rounded logarithm of the number of texts, one byte each."""
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in pieces(batches, "text"):
+            total += np.bincount((shingle_sets(batch.column("text"))[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(held.astype(np.int32)), "n": pa.array(total[held])})
+
+    out = np.zeros(COUNTERS)
+    for row in small_batches(texts.select("text")).mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[row.slot] = row.n
+    return np.round(4 * np.log2(1 + out)).astype(np.uint8)
+
+
+def _prefix_rows(counters, similarity):
+    """Tasks' work: the rarest elements of each text, so many that two texts as alike as ``similarity`` have one in common.
+
+    Both have at least that share of either's weight in common. In one order of all elements (any order is right, rare ones first
+    meet seldom) the first common element is among the weight that is left, and one more unit, of either.
+    """
+    def keep(batches):
+        for batch in pieces(batches, "text"):
+            owner, element, weight = shingle_sets(batch.column("text"))
+            order = np.lexsort((element, counters[(element % np.uint64(COUNTERS)).astype(np.int64)], owner))
+            owner, element, weight = owner[order], element[order], weight[order]
+            total = np.bincount(owner, weight, batch.num_rows)
+            before = np.cumsum(weight) - weight
+            before -= before[np.searchsorted(owner, owner)]
+            kept = before < (total - np.ceil(similarity * total - 1e-9) + 1)[owner]
+            yield pa.RecordBatch.from_pydict({
+                "key": batch.column("key").take(pa.array(owner[kept])), "bucket": pa.array(element[kept].view(np.int64))})
+    return keep
+
+
 def _sized(members):
     """Members of buckets that hold more than one text, with the number of texts."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return members.join(sizes, "bucket")
 
 
+LINK = "left binary, right binary, similarity double"
+
+
+def _links_of_families(hot: DataFrame, texts: DataFrame, similarity, small):
+    """Links between texts that have an element in common with very many, ``hot`` (key, bucket): all pairs, by blocks of texts.
+
+    Texts whose hot elements hang together are a family. Its blocks are compared within first. Texts of the largest class so far
+    needn't be compared with each other again; each other text is compared with all of the family, blocks with blocks.
+    """
+    # Tables of elements, families and their classes have a row for hundreds of texts.
+    least = hot.groupBy("key").agg(F.min("bucket").alias("least"))
+    parts = classes(hot.join(least, "key").select(F.col("least").alias("left"), F.col("bucket").alias("right")))
+    members = checkpointed(least.join(F.broadcast(parts), F.col("least") == F.col("node"), "left").select(
+        "key", F.coalesce("class", "least").alias("family")))
+    cut = lambda n: F.ceil(F.col(n) / small)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", cut("n").alias("blocks"))
+    placed = members.join(F.broadcast(sizes), "family").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    first = checkpointed(placed.join(texts, "key").select("family", "block", "key", "text").groupBy("family", "block")
+                         .applyInPandas(_links_within(similarity), LINK))
+    labelled = checkpointed(placed.join(classes(first), F.col("key") == F.col("node"), "left").select(
+        "family", "block", "blocks", "key", F.coalesce("class", "key").alias("label")))
+    largest = (labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+               .groupBy("family").agg(F.max(F.struct("n", "label"))["label"].alias("largest")))
+    outside = checkpointed(labelled.join(F.broadcast(largest), "family").where("label <> largest").drop("largest"))
+    asking = F.broadcast(outside.groupBy("family").agg(F.count(F.lit(1)).alias("n")).select("family", cut("n").alias("parts")))
+    columns = ["family", "part", "block", "key", "label", "asks"]
+    asks = (outside.join(asking, "family").withColumns({"part": F.pmod(F.xxhash64("key", F.lit(1)), "parts"), "asks": F.lit(True)})
+            .drop("block").withColumn("block", every("blocks")).select(*columns))
+    asked = labelled.join(asking, "family").withColumns({"part": every("parts"), "asks": F.lit(False)}).select(*columns)
+    across = asks.unionByName(asked).join(texts, "key").groupBy("family", "part", "block").applyInPandas(_links_within(similarity), LINK)
+    return first.unionByName(across)
+
+
 def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS, small=SMALL_BUCKET) -> DataFrame:
     """Checked links between different texts: left, right, similarity, enough of them to join all texts of a class.
 
     ``keyed`` has key (binary, the same for equal texts) and text. Texts of a bucket of at most ``small`` are compared with each
-    other in a task; buckets with the same texts are one. In a larger bucket all texts are checked against one of them, its
-    centre. Those that are not like it enough stay, without it, and if they are still many they are dealt out by each further band
-    in turn: texts that are alike agree on several bands, texts that merely share a passage seldom do. So no bucket needs a cap,
-    none is gathered whole and none emits all its pairs.
+    other in a task; buckets with the same texts are one. Texts of larger buckets meet again by their rarest elements, which texts
+    that are alike enough surely share and texts that merely share a passage don't. Where very many share one all the same, blocks
+    of texts are compared with blocks. So all pairs of a bucket are compared, or in one class already, whatever its size, and no
+    bucket is gathered whole.
     """
     signed = small_batches(keyed.select("key", "text")).mapInArrow(_band_rows(bands, rows), "key binary, bands array<bigint>")
     # Signatures are the costly part: they are kept, one per text.
     signed = checkpointed(signed.groupBy("key").agg(F.first("bands").alias("bands")))
-    members = signed.select("key", F.posexplode("bands").alias("last", "bucket"))
-    left = checkpointed(_sized(members)).select("bucket", "key", "last", "n")
+    members = signed.select("key", F.explode("bands").alias("bucket"))
+    left = checkpointed(_sized(members)).select("bucket", "key", "n")
     # Only texts that meet another are looked at again.
-    texts = checkpointed(keyed.select("key", "text").join(left.select("key").distinct(), "key").groupBy("key").agg(F.first("text").alias("text")))
-    within, large = left.where(F.col("n") <= small), left.where(F.col("n") > small)
-    done = signed.select(F.col("key").alias("left"), F.col("key").alias("right"), F.lit(1.0).alias("similarity")).where("false")
-    while not large.isEmpty():
-        # Buckets of even and of odd number choose opposite centres: a text between two others has a chance with each.
-        centre = large.groupBy("bucket").agg(F.when(F.col("bucket") % 2 == 0, F.min("key")).otherwise(F.max("key")).alias("centre"))
-        pairs = (large.join(centre, "bucket").where("key <> centre").groupBy("key", "centre")
-                 .agg(F.collect_list(F.struct("bucket", "last")).alias("buckets")))
-        known = (pairs.select(F.col("centre").alias("left"), F.col("key").alias("right"), "buckets")
-                 .join(texts.select(F.col("key").alias("left"), F.col("text").alias("left_text")), "left")
-                 .join(texts.select(F.col("key").alias("right"), F.col("text").alias("right_text")), "right"))
-        checked = checkpointed(small_batches(known.select("left", "right", "buckets", "left_text", "right_text")).mapInArrow(
-            _alike, "left binary, right binary, buckets array<struct<bucket: bigint, last: int>>, similarity double"))
-        done = done.unionByName(checked.where(F.col("similarity") >= similarity).select("left", "right", "similarity"))
-        rest = _sized(checked.where(F.col("similarity") < similarity).select(F.col("right").alias("key"), F.explode("buckets").alias("b"))
-                      .select("key", "b.bucket", "b.last")).select("bucket", "key", "last", "n")
-        rest = checkpointed(rest)
-        many = rest.where(F.col("n") > small).drop("n")
-        # Bands are taken in rising order, the first ones again after the last. When all were, only centres are left.
-        further = F.sequence(F.col("last") + 1, F.least(F.col("last") + FURTHER, F.lit(2 * bands - 1)))
-        finer = (many.where(F.col("last") < 2 * bands - 1).select("key", "bucket", F.explode(further).alias("last")).join(signed, "key")
-                 .select("key", F.xxhash64("bucket", "last", F.get("bands", F.col("last") % bands)).alias("bucket"), "last"))
-        dealt = checkpointed(_sized(finer.unionByName(many.where(F.col("last") >= 2 * bands - 1).select("key", "bucket", "last")))).select("bucket", "key", "last", "n")
-        within = within.unionByName(rest.where(F.col("n") <= small)).unionByName(dealt.where(F.col("n") <= small))
-        large = dealt.where(F.col("n") > small)
+    met = left.groupBy("key").agg(F.max("n").alias("n"))
+    texts = checkpointed(keyed.select("key", "text").join(met, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n")))
+    within, crowd, texts = left.where(F.col("n") <= small), texts.where(F.col("n") > small), texts.drop("n")
+    done = None
+    if not crowd.isEmpty():
+        elements = small_batches(crowd.select("key", "text")).mapInArrow(
+            _prefix_rows(_counters(crowd), similarity), "key binary, bucket bigint")
+        met = checkpointed(_sized(elements)).select("bucket", "key", "n")
+        within, hot = within.unionByName(met.where(F.col("n") <= small)), met.where(F.col("n") > small)
+        done = _links_of_families(hot, texts, similarity, small) if not hot.isEmpty() else None
     sets = within.groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
     dealt = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(texts, "key")
-    near = dealt.groupBy("set").applyInPandas(_links_within(similarity), "left binary, right binary, similarity double")
-    return checkpointed(done.unionByName(near).distinct())
+    near = dealt.groupBy("set").applyInPandas(_links_within(similarity), LINK)
+    return checkpointed((done.unionByName(near) if done else near).distinct())
 
 
 def group(docs: DataFrame, id="doc_id", text="text", similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,

@@ -71,6 +71,34 @@ def test_classes_are_those_of_all_pairs(spark, small, monkeypatch):
     assert sum(r.is_first for r in got) == len(set(want.values()))
 
 
+def bridges(groups=2, n=150):
+    """Chains from an end over one text to a group of many: the end is like that text only, the text is like all of the group."""
+    texts = []
+    for g in range(groups):
+        changed = lambda base, *at: [f"x{len(texts)}.{i}" if i in at else w for i, w in enumerate(base)]
+        middle = [f"g{g}.{i}" for i in range(104)]
+        texts += [middle, changed(middle, 20, 60)]
+        for i in range(n):
+            texts.append(changed(middle, 80 + i % 20))
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def twins(n=120):
+    """Texts that share a passage and are 0.78 alike, and each 0.81 like its twin."""
+    passage = [f"p{i}" for i in range(81)]
+    own = lambda i, j: [f"t{i}.{k}" if k < 2 else f"t{i}.{j}.{k}" for k in range(11)]
+    return [(2 * i + j, " ".join(passage + own(i, j))) for i in range(n) for j in range(2)]
+
+
+@pytest.mark.parametrize("rows, n_classes", [(bridges(), 2), (twins(), 120)])
+def test_no_pair_is_lost_in_large_buckets(spark, rows, n_classes, monkeypatch):
+    monkeypatch.setattr(dart_minhash, "links", lambda *a, _f=dart_minhash.links: _f(*a, small=6))
+    got = dart_minhash.group(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    want = true_classes(rows)
+    assert len(set(want.values())) == n_classes
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "a b"), (5, "a  b"), (None, "a b"), (7, long), (8, long + " x"), (7, long), (None, None), (9, "same"), (9, "same")]
