@@ -16,11 +16,12 @@ def language_stage(spark, docs, sf_dir):
 
     Languages are learned from the documents that have one and aren't held out; if none has, only letters count.
     """
-    prototypes = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    told = language.identify(docs, prototypes, into=("__lang", "__score"))
-    kept = told.where((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= language.REJECT_BELOW)) if prototypes else (
-        docs.where(F.col("text").rlike(r"\p{L}")))
-    return kept.select(*docs.columns)
+    learned = docs.where(~language.held_out(F.col("doc_id")))
+    prototypes = language.learn(learned)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    told = language.with_known_share(language.identify(docs, prototypes, into=("__lang", "__score")), language.known_trigrams(learned), into="__known")
+    return told.where((F.col("__lang") != language.UNKNOWN) & (F.col("__known") >= language.KNOWN_SHARE)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):

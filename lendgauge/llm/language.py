@@ -20,9 +20,10 @@ BORDER = 32
 SLICE = 1 << 18
 #: Trigrams bound at a time.
 BOUND_AT_ONCE = 4096
-#: A text that is less like its language than this has nothing in common with any learned language: two unrelated vectors
-#: of 512 places have a cosine of 0.04 or so.
-REJECT_BELOW = 0.05
+#: Bits that stand for learned trigrams: few enough to be sent to every task, so many that a strange trigram seldom hits one.
+KNOWN_BITS = 1 << 24
+#: A text has something in common with the learned languages from this share of learned trigrams on.
+KNOWN_SHARE = 0.1
 UNKNOWN = "und"
 
 _letters = None
@@ -164,6 +165,44 @@ def identify(docs: DataFrame, prototypes, text="text", into=("lang_pred", "score
     return small_batches(carried).mapInArrow(predict, schema)
 
 
+def _slots(codes):
+    return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (KNOWN_BITS.bit_length() - 1))).astype(np.int64)
+
+
+def known_trigrams(docs: DataFrame, text="text", lang="lang"):
+    """Flag per trigram slot: whether a text with a language has such a trigram. Of fixed size, whatever the number of texts."""
+    def mark(batches):
+        flags = np.zeros(KNOWN_BITS, bool)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                flags[_slots(trigram_codes(value))] = True
+        words = np.packbits(flags).view(np.int64)
+        held = np.flatnonzero(words)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(held.astype(np.int32)), "bits": pa.array(words[held])})
+
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    found = small_batches(rows).mapInArrow(mark, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    words = np.zeros(KNOWN_BITS // 64, np.int64)
+    words[[r.word for r in found]] = [r.bits for r in found]
+    return np.unpackbits(words.view(np.uint8)).astype(bool)
+
+
+def with_known_share(docs: DataFrame, flags, text="text", into="known") -> DataFrame:
+    """``docs`` with the share of a text's trigrams that are learned, 0 for a text without a letter."""
+    names, bits = docs.columns, np.packbits(flags)
+    carried = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+
+    def share(batches):
+        for batch in batches:
+            shares = []
+            for value in batch.column(batch.num_columns - 1).to_pylist():
+                at = _slots(trigram_codes(value)) if value else np.zeros(0, np.int64)
+                shares.append(float((bits[at >> 3] >> (7 - (at & 7)) & 1).mean()) if len(at) else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shares, pa.float64())], names=[*names, into])
+
+    return small_batches(carried).mapInArrow(share, docs.withColumn(into, F.lit(0.0)).schema)
+
+
 def held_out(doc_id):
     """Column: whether a document is kept from learning. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2

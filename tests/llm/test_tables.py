@@ -169,6 +169,17 @@ def test_pipeline_stages(spark):
     assert 0 < rows.count() < 3 * docs.count()
 
 
+def test_texts_of_unlearned_scripts_are_rejected(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rng = random.Random(3)
+    strange = ["".join(rng.choice("абвгдежзиклмнопрстуф ") for _ in range(rng.choice([20, 60, 300, 2000]))) + "я" for _ in range(300)]
+    short = ["the", "and the", "est la", "der"]
+    planted = spark.createDataFrame([(700000 + i, t) for i, t in enumerate(strange)] + [(800000 + i, t) for i, t in enumerate(short)], "doc_id long, text string")
+    odd = docs.unionByName(planted, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, odd, FOLDER).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {800000 + i for i in range(len(short))}
+
+
 def test_empty_tables_pass_all_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
