@@ -2,9 +2,12 @@
 
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Rows hold whole texts, so a batch of the default 10,000 rows would not be bounded in bytes.
 BATCH_ROWS = 256
+#: A key is hot if it has more than one in this many of all rows, so there are fewer hot keys than this.
+HOT_KEYS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,3 +34,15 @@ def pieces(batches, column, limit=1 << 21):
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, hot_keys=HOT_KEYS) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per key and in ``count`` the number of left rows of that key.
+
+    ``total`` is the sum of these counts, or more. Keys with more than a ``hot_keys``-th of them are fewer than ``hot_keys``, so
+    their rows are broadcast and the left rows stay where they are; what is shuffled has no key with more than that share.
+    """
+    hot = F.col(count) * hot_keys > total
+    few = F.broadcast(right.where(hot))
+    rest = left.join(few.select(key), key, "left_anti").join(right.where(~hot), key)
+    return left.join(few, key).unionByName(rest)

@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-from . import bit_sliced, byte_bpe, chat, dart_minhash, language, mixing, suffix_array, super_kmers, tag_paths, winnowing
+from ..session import checkpointed, new_place
+from . import bit_sliced, byte_bpe, chat, dart_minhash, exact_dedup, language, mixing, suffix_array, super_kmers, tag_paths, winnowing
 from .common import table
 from .repeats import text_key
 
@@ -196,3 +196,21 @@ def op2(spark, folder):
     return slim.join(found, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
+
+
+EQUAL_TEXTS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER o AS place, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM texts WINDOW o AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, place = 1 AS kept, text_sha256 FROM ranked"""
+
+
+@query("op13_digest_index", EQUAL_TEXTS_SQL)
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    slim = checkpointed(exact_dedup.digests(docs))
+    index = exact_dedup.DigestIndex.create(spark, new_place(spark, "digests"), exact_dedup.buckets_for(slim.count()))
+    told = index.add(slim, "documents")
+    return told.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
