@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, each over its whole table, and their checking statements."""
 
+import string
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, new_place
-from . import bit_sliced, byte_bpe, chat, dart_minhash, exact_dedup, language, mixing, suffix_array, super_kmers, tag_paths, winnowing
+from . import bit_sliced, byte_bpe, chat, dart_minhash, exact_dedup, language, merkle, mixing, suffix_array, super_kmers, tag_paths, winnowing
 from .common import table
 from .repeats import text_key
 
@@ -214,3 +216,19 @@ def op13(spark, folder):
     index = exact_dedup.DigestIndex.create(spark, new_place(spark, "digests"), exact_dedup.buckets_for(slim.count()))
     told = index.add(slim, "documents")
     return told.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark, folder):
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    rows = docs.select(
+        merkle.tree_key(F.col("source")).alias("tree"), F.col("doc_id").alias("id"), merkle.leaf(*fields, F.col("text")).alias("digest"),
+        F.when(tampered, merkle.leaf(*fields, lowered)).alias("changed"))
+    made = merkle.manifest(rows.withColumn("shown", F.coalesce("changed", "digest")))
+    root = F.lit(made.root).cast("string")
+    return made.proofs().select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.col("proof").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
