@@ -218,7 +218,50 @@ def op13(spark, folder):
     return told.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@query("op12_merkle_manifest")
+def crc32_sql(text):
+    """SQL for the unsigned CRC-32 of an ASCII string: every byte is followed by eight shifts."""
+    bits = f"flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split({text}, '')])"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, x: {step}), 4294967295::BIGINT)"
+
+
+def merkle_sql(levels=5):
+    """Statement that hashes level by level; enough for 16 ** ``levels`` documents a source, and sources."""
+    def climb(name, base, leaves):
+        """Levels of the trees of one kind over ``base`` (t, i, h), and the way of ``leaves`` through them: siblings, and what ``f`` leads to."""
+        parts = [f"{name}0 AS (SELECT t, i, h, count(*) OVER (PARTITION BY t) AS n FROM {base})",
+                 f"{name}w0 AS (SELECT t, source_key, doc_id, h, subroot, i AS place, sib, f FROM {leaves})"]
+        for d in range(levels):
+            around = "array_to_string(b.hs[:a.place % 16], '')", "array_to_string(b.hs[a.place % 16 + 2:], '')"
+            parts += [
+                f"{name}r{d} AS (SELECT t, i // 16 AS i, list(h ORDER BY i) AS hs, max(n) AS n FROM {name}{d} GROUP BY t, i // 16)",
+                f"{name}{d + 1} AS (SELECT t, i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, (n + 15) // 16 AS n FROM {name}r{d})",
+                f"""{name}w{d + 1} AS (
+  SELECT a.t, a.source_key, a.doc_id, a.h, a.subroot, a.place // 16 AS place, a.sib || {around[0]} || {around[1]} AS sib,
+    CASE WHEN b.n = 1 THEN a.f ELSE sha256({around[0]} || a.f || {around[1]}) END AS f
+  FROM {name}w{d} a JOIN {name}r{d} b ON a.t = b.t AND a.place // 16 = b.i)"""]
+        return ",\n".join(parts)
+
+    def text(x):
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR END"
+
+    fields = " || ".join(map(text, ("doc_id", "source", "lang", "n_chars")))
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+WITH base AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS t, sha256({fields} || {text("text")}) AS h,
+    CASE WHEN doc_id IS NOT NULL AND {crc32_sql("doc_id::VARCHAR")} % 5 = 0 THEN sha256({fields} || {text(lowered)}) END AS changed FROM documents),
+doc AS (SELECT t, t AS source_key, doc_id, h, '' AS subroot, '' AS sib, coalesce(changed, h) AS f,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM base),
+{climb("s", "doc", "doc")},
+sub AS (SELECT '' AS t, t AS source_key, h, row_number() OVER (ORDER BY t) - 1 AS i FROM s{levels}),
+over_sub AS (SELECT b.t, a.source_key, a.doc_id, a.h, b.h AS subroot, a.sib, a.f, b.i FROM sw{levels} a JOIN sub b ON a.source_key = b.source_key),
+{climb("r", "sub", "over_sub")}
+SELECT a.doc_id, a.h AS leaf, a.subroot, b.h AS root, sha256(a.sib) AS proof_sha256, a.f AS folded_root, a.f = b.h AS verified
+FROM rw{levels} a JOIN r{levels} b ON a.t = b.t"""
+
+
+@query("op12_merkle_manifest", merkle_sql())
 def op12(spark, folder):
     docs = table(spark, folder, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
