@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, new_place
-from . import bit_sliced, byte_bpe, chat, dart_minhash, exact_dedup, language, merkle, mixing, suffix_array, super_kmers, tag_paths, winnowing
+from . import bit_sliced, byte_bpe, chat, dart_minhash, exact_dedup, language, merkle, mixing, prefix_trie, suffix_array, super_kmers, tag_paths, winnowing
 from .common import table
 from .repeats import text_key
 
@@ -275,3 +275,38 @@ def op12(spark, folder):
     return made.proofs().select(
         F.col("id").alias("doc_id"), "leaf", "subroot", root.alias("root"), F.col("proof").alias("proof_sha256"),
         F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"))
+
+
+def trie_sql():
+    """Statement with every beginning of every conversation as a key of its own."""
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    strlen(coalesce(text, ''))::BIGINT AS b FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, k) AS ks, list(b ORDER BY turn NULLS FIRST, k) AS bs FROM turns GROUP BY conv_id),
+cut AS (SELECT *, {crc32_sql("conv_id::VARCHAR")} % 9 AS h, conv_id - conv_id % 5 AS base FROM own),
+whole AS (
+  SELECT a.conv_id, list_concat(coalesce(o.ks, [])[:a.h], a.ks[a.h + 1:]) AS ks, list_concat(coalesce(o.bs, [])[:a.h], a.bs[a.h + 1:]) AS bs
+  FROM cut a LEFT JOIN own o ON o.conv_id = a.base),
+places AS (SELECT conv_id, ks, bs, unnest(range(0, len(ks) + 1)) AS d FROM whole),
+starts AS (
+  SELECT conv_id, d, md5(array_to_string(ks[:d], '')) AS key, CASE WHEN d > 0 THEN md5(array_to_string(ks[:d - 1], '')) END AS parent,
+    CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b, len(ks) = d AS ends FROM places),
+nodes AS (
+  SELECT d, key, max(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM starts GROUP BY d, key),
+children AS (SELECT d - 1 AS d, parent AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.d = c.d AND n.key = c.key),
+sums AS (
+  SELECT s.d, s.key, sum(n.saved)::BIGINT AS saved_tokens, count(*) FILTER (n.n_children = 0)::BIGINT AS n_leaves
+  FROM known n JOIN starts s ON s.conv_id = n.conv_id AND s.d <= n.d GROUP BY s.d, s.key)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens,
+  n.ends_sha256
+FROM known n JOIN sums s ON n.d = s.d AND n.key = s.key LEFT JOIN known p ON p.d = n.d - 1 AND p.key = n.parent"""
+
+
+@query("op11_centroid_trie", trie_sql())
+def op11(spark, folder):
+    turns = prefix_trie.turn_lists(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    nodes = prefix_trie.trie(prefix_trie.with_shared_beginnings(turns))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.col("ends").alias("ends_sha256"))
