@@ -321,13 +321,19 @@ def monitor_model(spark, folder):
     return rounded(monitor.monitor_model(model, app.where(F.col("target") == "oot"), "oot").drop("bins", "counts"))
 
 
-def log_rows(summary, nodes):
-    """Statement of a log row with its nodes, one line per node."""
-    return f"SELECT 'whole book' AS batch_name, s.*, n.* FROM ({STATEMENTS[summary]}) s CROSS JOIN ({STATEMENTS[nodes]}) n"
+NODE_COLUMNS = ("node", "id", "name", "rule_type", "node_input_count", "intercept_count", "pass_count", "node_intercept_rate",
+                "node_pass_rate", "global_intercept_rate", "global_pass_rate")
+
+
+def log_rows(summary, nodes, columns=NODE_COLUMNS):
+    """Statement of a log row with its nodes, one line per node, whose figures are named ``node_...``."""
+    named = ", ".join(f"n.{c} AS node_{c}" for c in columns)
+    return f"SELECT 'whole book' AS batch_name, s.*, {named} FROM ({STATEMENTS[summary]}) s CROSS JOIN ({STATEMENTS[nodes]}) n"
 
 
 def per_node(logged):
-    return logged.select("*", F.explode("nodes").alias("_n")).select("*", "_n.*").drop("nodes", "_n")
+    exploded = logged.select("*", F.explode("nodes").alias("_n"))
+    return exploded.select(*[c for c in logged.columns if c != "nodes"], *[F.col(f"_n.{c}").alias(f"node_{c}") for c in exploded.schema["_n"].dataType.names])
 
 
 @query("monitor_strategies", log_rows("flow_summary", "flow_nodes"))
@@ -335,7 +341,7 @@ def monitor_strategies(spark, folder):
     return per_node(monitor.monitor_strategies(applications(spark, folder, COLUMNS), BASELINE, batch_name="whole book"))
 
 
-@query("monitor_comparison", log_rows("flow_comparison", "flow_comparison_nodes"))
+@query("monitor_comparison", log_rows("flow_comparison", "flow_comparison_nodes", ("flow", *NODE_COLUMNS)))
 def monitor_comparison(spark, folder):
     return per_node(monitor.monitor_comparison(applications(spark, folder, COLUMNS), BASELINE, EXPERIMENT, batch_name="whole book"))
 

@@ -53,6 +53,8 @@ def compare(con, spark, folder, function, statement):
     result = con.execute(statement)
     columns, types = [d[0] for d in result.description], [d[1] for d in result.description]
     expected = result.fetchall()
+    if len(set(df.columns)) < len(df.columns) or len(set(columns)) < len(columns):
+        return f"repeated names in {df.columns} or {columns}"
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     ours = {f.name: kind(f.dataType.simpleString()) for f in df.schema.fields}
