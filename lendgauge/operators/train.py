@@ -1,12 +1,12 @@
-"""Fitting scorecard models with a seeded parameter search on Spark ML."""
+"""Fitting scorecard models with a seeded parameter search whose trials run side by side."""
 
 import json
 import math
-import random
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -16,57 +16,50 @@ from pyspark.sql import types as T
 from ..functions.guards import is_numeric
 from ..session import checkpointed
 from ..sources.models import ScorecardModel
+from . import boosting, tpe
 from .clean import category_codes, feature_list, with_weight
 from .evaluate import ks_auc, score_distribution
 from .scoring import MANUAL_SCALE, auto_scale, with_score
 
 # Search ranges per model type; ``log`` draws are uniform in the logarithm.
-# xgb and lgb are both grown as gradient-boosted trees; settings without a counterpart are left out.
 SPACES = {
     "lr": {"C": ("log", 0.01, 1.0), "maxIter": ("log_int", 100, 5000)},
-    "xgb": {"maxIter": ("log_int", 30, 400), "maxDepth": ("int", 1, None), "minInstancesPerNode": ("log_int", 1, 50),
-            "stepSize": ("log", 0.01, 0.3), "featureShare": ("log", 0.1, 1.0), "positiveWeight": ("log", 1.0, 50.0),
-            "subsamplingRate": ("log", 0.5, 1.0)},
-    "lgb": {"maxIter": ("log_int", 10, 500), "maxDepth": ("int", 2, None), "stepSize": ("log", 0.01, 0.3),
-            "featureShare": ("log", 0.1, 1.0), "subsamplingRate": ("log", 0.3, 1.0)},
+    "xgb": {"reg_lambda": ("log", 1e-8, 500.0), "reg_alpha": ("log", 1e-8, 1.0), "n_estimators": ("log_int", 30, 400), "max_depth": ("int", 1, None),
+            "min_child_weight": ("log_int", 1, 50), "learning_rate": ("log", 0.01, 0.3), "colsample_bytree": ("log", 0.1, 1.0),
+            "scale_pos_weight": ("log", 1.0, 50.0), "gamma": ("log", 1e-8, 1.0), "subsample": ("log", 0.5, 1.0)},
+    "lgb": {"learning_rate": ("log", 0.01, 0.3), "n_estimators": ("log_int", 10, 500), "max_depth": ("int", 2, None), "num_leaves": ("int", 8, 64),
+            "min_child_weight": ("log", 1e-3, 10.0), "reg_lambda": ("log", 1e-8, 500.0), "reg_alpha": ("log", 1e-8, 500.0),
+            "colsample_bytree": ("log", 0.1, 1.0), "subsample": ("log", 0.3, 1.0)},
     "rf": {"numTrees": ("log_int", 20, 200), "maxDepth": ("int", 1, None), "minInstancesPerNode": ("log_int", 1, 50)},
     "dt": {"maxDepth": ("int", 1, None), "minInstancesPerNode": ("log_int", 1, 50)},
 }
-SPACES["gbt"] = SPACES["xgb"]
+#: Other types are fitted as boosted trees.
+OWN_FITS = ("lr", "rf", "dt")
+#: Trials fitted side by side.
+PARALLEL = 4
 
 
-def draw_params(model_type, generator, max_depth=6, space=None):
-    """One draw; an unknown type falls back to boosted trees."""
-    params = {}
-    for name, (kind, low, high) in (space or SPACES.get(model_type, SPACES["xgb"])).items():
-        high = max_depth if high is None else high
-        if kind == "int":
-            params[name] = generator.randint(low, max(low, high))
-        else:
-            drawn = math.exp(generator.uniform(math.log(low), math.log(high)))
-            params[name] = min(max(round(drawn), low), high) if kind == "log_int" else drawn
-    return params
+def search_space(model_type, max_depth=6, space=None):
+    """Ranges of a model type with ``max_depth`` as the open upper ends; an unknown type has those of boosted trees."""
+    ranges = space or SPACES.get(model_type, SPACES["xgb"])
+    return {n: (kind, low, max(low, max_depth) if high is None else high) for n, (kind, low, high) in ranges.items()}
 
 
 def make_classifier(model_type, params, n_rows, seed=42, **columns):
-    """Unfitted Spark ML estimator for drawn or given parameters.
+    """Unfitted Spark ML estimator of a regression, a forest or a tree.
 
     Single trees and forests predict the bad rate of their leaves: on a 0/1 label the variance ranks
     splits as Gini does, while classification trees would merge leaves that predict the same class.
     """
-    settings = {k: v for k, v in params.items() if k not in ("C", "featureShare", "positiveWeight")}
-    if "featureShare" in params:
-        settings["featureSubsetStrategy"] = str(params["featureShare"])
+    settings = {k: v for k, v in params.items() if k != "C"}
     if model_type == "lr":
         # The penalty of the usual C is spread over the rows.
         strength = 1.0 / (params["C"] * max(n_rows, 1)) if "C" in params else 0.0
         return LogisticRegression(regParam=strength, elasticNetParam=0.0, **settings, **columns)
     if model_type == "dt":
         return DecisionTreeRegressor(seed=seed, **settings, **columns)
-    if model_type == "rf":
-        settings.setdefault("featureSubsetStrategy", "sqrt")
-        return RandomForestRegressor(seed=seed, **settings, **columns)
-    return GBTClassifier(seed=seed, **settings, **columns)
+    settings.setdefault("featureSubsetStrategy", "sqrt")
+    return RandomForestRegressor(seed=seed, **settings, **columns)
 
 
 def numeric_label(df: DataFrame, label):
@@ -80,30 +73,52 @@ def numeric_label(df: DataFrame, label):
     return df.withColumn(label, F.when(value == found[-1], 1 if len(found) == 2 else 0).when(value.isNotNull(), 0))
 
 
-def training_weight(train: DataFrame, label, weight, balanced=False, positive=1.0):
+def class_sizes(train: DataFrame, label):
+    """Rows of label 0 and of label 1."""
+    n = train.agg(F.count_if(F.col(label) == 0).alias("good"), F.count_if(F.col(label) == 1).alias("bad")).first()
+    return n["good"], n["bad"]
+
+
+def training_weight(train: DataFrame, label, weight, balanced=False, positive=1.0, sizes=None):
     """Row weight times class weight: ``n / (2 * n_class)`` when balanced, ``positive`` for bads."""
     w = F.col(weight).cast("double")
     if not balanced:
         return w * F.when(F.col(label) == 1, positive).otherwise(1.0)
-    n = train.agg(F.count_if(F.col(label) == 0).alias("good"), F.count_if(F.col(label) == 1).alias("bad")).first()
-    total = n["good"] + n["bad"]
-    return w * F.when(F.col(label) == 1, total / (2 * max(n["bad"], 1))).otherwise(total / (2 * max(n["good"], 1)))
+    good, bad = sizes or class_sizes(train, label)
+    total = good + bad
+    return w * F.when(F.col(label) == 1, total / (2 * max(bad, 1))).otherwise(total / (2 * max(good, 1)))
+
+
+def shell_model(train, features, texts, codes, label, model_type, params=None):
+    """A model to be fitted. Boosted trees see missing values as such, others a constant in their place."""
+    shell = ScorecardModel(None, list(features), texts, codes, label, model_type, params=params or {})
+    if model_type not in OWN_FITS:
+        shell.fill_value = None
+    return shell
 
 
 def fit_model(train: DataFrame, features, label="label", model_type="lr", params=None, weight="weight", seed=42,
-              codes=None, prepared=None) -> ScorecardModel:
-    """Fit one model on rows with a label. Category codes are learned here and kept with the model."""
+              codes=None, prepared=None, sizes=None) -> ScorecardModel:
+    """Fit one model on rows with a label. Category codes are learned here and kept with the model.
+
+    ``prepared`` rows, ``codes`` and class ``sizes`` may be handed in by a caller that fits several models on the same rows.
+    """
     params = dict(params or {})
     texts = [c for c in features if not is_numeric(train.schema[c].dataType)]
     if texts and codes is None:
         codes = checkpointed(category_codes(train, texts))
-    shell = ScorecardModel(None, list(features), texts, codes, label, model_type, params=params)
+    shell = shell_model(train, features, texts, codes, label, model_type, params)
     rows = prepared if prepared is not None else shell.prepared(with_weight(train, weight)).where(F.col(label).isNotNull())
-    rows = rows.withColumn("_w", training_weight(
-        rows, label, weight, model_type == "lr", params.get("positiveWeight", 1.0)))
-    assembler = VectorAssembler(inputCols=[f"_x{n}" for n in range(len(features))], outputCol="features")
-    classifier = make_classifier(model_type, params, rows.count() if "C" in params else 1, seed,
-                                 featuresCol="features", labelCol="_y", weightCol="_w")
+    inputs = [f"_x{n}" for n in range(len(features))]
+    if model_type == "lr" and sizes is None:
+        sizes = class_sizes(rows, label)
+    rows = rows.withColumn("_w", training_weight(rows, label, weight, model_type == "lr", params.get("scale_pos_weight", 1.0), sizes))
+    if model_type not in OWN_FITS:
+        settings = {k: v for k, v in params.items() if k != "scale_pos_weight"}
+        shell.pipeline = boosting.fit(rows, inputs, label, "_w", params=settings, seed=seed, leaf_wise_growth=model_type == "lgb")
+        return shell
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    classifier = make_classifier(model_type, params, sum(sizes or (1, 0)), seed, featuresCol="features", labelCol="_y", weightCol="_w")
     shell.pipeline = Pipeline(stages=[assembler, classifier]).fit(rows.withColumn("_y", F.col(label).cast("double")))
     return shell
 
@@ -123,31 +138,49 @@ TRIALS = T.StructType([
 
 
 def search(df: DataFrame, features, label="label", target="target", model_type="lr", n_trials=100, max_depth=6,
-           strategy_type=1, threshold=0.03, weight="weight", seed=42, space=None):
-    """(best model, trial table). Draws are seeded; the trial with the highest oot KS wins, the first on ties.
+           strategy_type=1, threshold=0.03, weight="weight", seed=42, space=None, parallel=PARALLEL):
+    """(best model, trial table). The trial with the highest oot KS wins, the first on ties; parameters follow the objective.
 
-    Train rows are prepared once and kept for all trials; every trial is fitted and judged by Spark.
+    ``parallel`` trials are drawn from those before them and fitted at the same time, each in a pool of its own, which share the cluster
+    evenly where ``spark.scheduler.mode`` is FAIR. Draws depend on the seed and the trials before, never on which fit ends first. Train rows are
+    prepared once and kept for all trials.
     """
-    generator = random.Random(seed)
     df = with_weight(numeric_label(df, label), weight)
     train = df.where(F.col(target) == "train")
     texts = [c for c in features if not is_numeric(df.schema[c].dataType)]
     codes = checkpointed(category_codes(train, texts)) if texts else None
-    shell = ScorecardModel(None, list(features), texts, codes, label, model_type)
+    shell = shell_model(train, features, texts, codes, label, model_type)
     needed = sorted({*features, label, target, weight})
+    ranges = search_space(model_type, max_depth, space)
+    spark = df.sparkSession
     prepared = shell.prepared(train.select(*needed)).where(F.col(label).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    trials, best, best_ks = [], None, -math.inf
+    trials, history, best, best_ks = [], [], None, -math.inf
+
+    def run(job):
+        number, params = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{number % parallel}")
+        model = fit_model(train, features, label, model_type, params, weight, seed, codes, prepared, sizes)
+        model.metrics = set_metrics(model, df.select(*needed), target, weight)
+        return number, params, model
+
     try:
-        for number in range(n_trials):
-            params = draw_params(model_type, generator, max_depth, space)
-            model = fit_model(train, features, label, model_type, params, weight, seed, codes, prepared)
-            model.metrics = set_metrics(model, df.select(*needed), target, weight)
-            trials.append((number, {k: float(v) for k, v in params.items()}, model.metrics))
-            if model.metrics.get("oot_ks", 0.0) > best_ks:
-                best, best_ks = model, model.metrics.get("oot_ks", 0.0)
+        sizes = class_sizes(prepared, label)
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for first in range(0, n_trials, max(1, parallel)):
+                numbers = range(first, min(first + max(1, parallel), n_trials))
+                jobs = [(n, tpe.draw(ranges, history, n, seed)) for n in numbers]
+                done = [(n, {k: float(v) for k, v in params.items()}, model) for n, params, model in pool.map(inheritable_thread_target(spark)(run), jobs)]
+                rows = [(n, params, model.metrics) for n, params, model in done]
+                trials += rows
+                rated = spark.createDataFrame(rows, TRIALS).select("trial", objective_of_maps("metrics", strategy_type, threshold).alias("value")).collect()
+                values = {r["trial"]: r["value"] for r in rated}
+                history += [(params, values[n]) for n, params, _ in rows]
+                for _, _, model in done:
+                    if model.metrics.get("oot_ks", 0.0) > best_ks:
+                        best, best_ks = model, model.metrics.get("oot_ks", 0.0)
     finally:
         prepared.unpersist()
-    table = df.sparkSession.createDataFrame(trials, TRIALS)
+    table = spark.createDataFrame(trials, TRIALS)
     return best, table.withColumn("value", objective_of_maps("metrics", strategy_type, threshold))
 
 
@@ -220,11 +253,12 @@ def best_trial(trials: DataFrame, oot_ks="oot_ks", trial="trial") -> DataFrame:
 
 def feature_importance(model: ScorecardModel) -> DataFrame:
     """(feature, importance): split importance of trees, absolute coefficient of a regression."""
-    fitted = model.pipeline.stages[-1]
     if model.model_type == "lr":
-        values = [abs(float(v)) for v in fitted.coefficients]
+        values = [abs(float(v)) for v in model.pipeline.stages[-1].coefficients]
+    elif isinstance(model.pipeline, boosting.BoostedTrees):
+        values = [float(v) for v in model.pipeline.importances()]
     else:
-        values = [float(v) for v in fitted.featureImportances.toArray()]
+        values = [float(v) for v in model.pipeline.stages[-1].featureImportances.toArray()]
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame(list(zip(model.features, values)), "feature string, importance double").orderBy(
         F.desc("importance"), "feature")

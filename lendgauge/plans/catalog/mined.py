@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import binning, evaluate, mining, monitor, psi, scoring, train, woe
+from ...operators import binning, boosting, evaluate, mining, monitor, psi, scoring, train, woe
 from ...session import new_place
 from ...sources.models import ScorecardModel
 from ...streaming import drift
@@ -11,7 +11,7 @@ from ..loanbook import NUMERIC_FEATURES, applications, kept_applications
 from .bins import BINNED, SETS, app_and_cuts
 from .decisions import BASELINE, COLUMNS, EXPERIMENT
 from .models import LIFT_NAMES, SCORED, scored
-from .registry import STATEMENTS, on_app, query, rounded, woe_part
+from .registry import STATEMENTS, binned_part, cuts_part, long_part, on_app, query, rounded, woe_part
 
 FEATURES = NUMERIC_FEATURES
 MODEL_COLUMNS = [*FEATURES, "segment", "label", "target", "weight"]
@@ -33,10 +33,63 @@ def train_regression(spark, folder):
 
 @query("train_boosted_trees")
 def train_boosted_trees(spark, folder):
-    model, app = fitted_model(spark, folder, "gbt", maxIter=100, maxDepth=3, stepSize=0.2)
+    model, app = fitted_model(spark, folder, "xgb", n_estimators=100, max_depth=3, learning_rate=0.2, subsample=0.8, colsample_bytree=0.8)
     return rounded(evaluate.ks_auc(model.probabilities(app), ["target"], weight="weight"))
 
 
+BOOST = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3, "reg_lambda": 2.0, "reg_alpha": 0.5, "min_child_weight": 20.0}
+
+
+def boosting_sql(depth=BOOST["max_depth"], trees=BOOST["n_estimators"], unit=1 << 24):
+    """Statement that grows the trees from sums per node, feature and bin, level by level."""
+    lam, alpha, least, rate = (f"{BOOST[k]}::DOUBLE" for k in ("reg_lambda", "reg_alpha", "min_child_weight", "learning_rate"))
+    score = lambda g, h: f"power(greatest(abs({g}) - {alpha}, 0), 2) / ({h} + {lam})"
+    names = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+    parts = [
+        long_part(), cuts_part(), binned_part(),
+        f"lb AS (SELECT app_id, list_position({names}, feature) - 1 AS f, CASE WHEN value IS NULL THEN 0 ELSE bin END AS bin FROM binned WHERE target = 'train')",
+        f"grid AS (SELECT list_position({names}, feature) - 1 AS f, feature, list_sort(cuts) AS cuts, unnest(range(0, len(cuts) + 2)) AS bin FROM cuts)",
+        "rows0 AS (SELECT app_id, label::DOUBLE AS y, weight AS w, ln(p / (1 - p)) AS margin FROM app, "
+        "(SELECT sum(weight * label) / sum(weight) AS p FROM app WHERE target = 'train') WHERE target = 'train')"]
+    found = []
+    for t in range(trees):
+        parts.append(f"n{t}_0 AS (SELECT app_id, floor(w * (p - y) * {unit} + 0.5::DOUBLE) AS g, floor(w * p * (1 - p) * {unit} + 0.5::DOUBLE) AS h, 0 AS node "
+                     f"FROM (SELECT *, 1 / (1 + exp(-margin)) AS p FROM rows{t}))")
+        for d in range(depth):
+            at = f"{t}_{d}"
+            parts += [
+                f"c{at} AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM n{at} JOIN lb USING (app_id) WHERE node >= {2 ** d - 1} GROUP BY ALL)",
+                f"d{at} AS (SELECT o.node, r.f, r.feature, r.bin, r.cuts, coalesce(c.g, 0) / {unit} AS g, coalesce(c.h, 0) / {unit} AS h, coalesce(c.n, 0) AS n "
+                f"FROM (SELECT DISTINCT node FROM c{at}) o CROSS JOIN grid r LEFT JOIN c{at} c ON c.node = o.node AND c.f = r.f AND c.bin = r.bin)",
+                f"""r{at} AS (SELECT node, f, feature, bin, cuts, m, g1 - CASE WHEN m THEN 0 ELSE g0 END AS gl, h1 - CASE WHEN m THEN 0 ELSE h0 END AS hl,
+  n1 - CASE WHEN m THEN 0 ELSE n0 END AS nl, gt, ht, nt
+  FROM (SELECT *, {", ".join(f"sum({c}) OVER (PARTITION BY node, f ORDER BY bin) AS {c}1, sum({c}) OVER (PARTITION BY node, f) AS {c}t, "
+                              f"sum(CASE WHEN bin = 0 THEN {c} ELSE 0 END) OVER (PARTITION BY node, f) AS {c}0" for c in "ghn")} FROM d{at}), (VALUES (true), (false)) s(m))""",
+                f"""b{at} AS (SELECT * FROM (SELECT *, {score("gl", "hl")} + {score("gt - gl", "ht - hl")} - {score("gt", "ht")} AS gain FROM r{at})
+  WHERE bin > 0 AND least(nl, nt - nl) >= 1 AND least(hl, ht - hl) >= {least} AND gain > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin, m DESC) = 1)""",
+                f"""n{t}_{d + 1} AS (SELECT n.app_id, n.g, n.h, CASE WHEN b.node IS NULL THEN n.node
+    WHEN (lb.bin = 0 AND b.m) OR (lb.bin > 0 AND lb.bin <= b.bin) THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node
+  FROM n{at} n LEFT JOIN b{at} b ON n.node = b.node LEFT JOIN lb ON lb.app_id = n.app_id AND lb.f = b.f)"""]
+            found.append(f"SELECT {t} AS tree, node, feature, CAST(bin AS INT) AS bin, round(cuts[bin], 6) AS cut, m AS missing_left, "
+                         f"round(gain, 4) AS gain, round(ht, 4) AS cover, CAST(NULL AS DOUBLE) AS value FROM b{at}")
+        parts += [
+            f"l{t} AS (SELECT node, h, -sign(g) * greatest(abs(g) - {alpha}, 0) / (h + {lam}) * {rate} AS value "
+            f"FROM (SELECT node, sum(g) / {unit} AS g, sum(h) / {unit} AS h FROM n{t}_{depth} GROUP BY node))",
+            f"rows{t + 1} AS (SELECT r.app_id, r.y, r.w, r.margin + l.value AS margin FROM rows{t} r JOIN n{t}_{depth} n USING (app_id) JOIN l{t} l ON l.node = n.node)"]
+        found.append(f"SELECT {t}, node, NULL, NULL, NULL, NULL, NULL, round(h, 4), round(value, 6) FROM l{t}")
+    body = " UNION ALL ".join(found)
+    return on_app(f"SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, feature, bin, cut, missing_left, gain, cover, value FROM ({body})", *parts)
+
+
+@query("boosted_tree_nodes", boosting_sql())
+def boosted_tree_nodes(spark, folder):
+    train_rows = kept_applications(spark, folder, [*FEATURES, "label", "target", "weight"]).where(F.col("target") == "train")
+    cuts = {c: [x for x in e if abs(x) != float("inf")] for c, e in binning.equal_frequency_cuts(train_rows, FEATURES).items()}
+    nodes = boosting.fit(train_rows, FEATURES, weight="weight", params=BOOST, cuts=cuts).nodes(spark)
+    return nodes.withColumns({"cut": F.round("cut", 6), "gain": F.round("gain", 4), "cover": F.round("cover", 4), "value": F.round("value", 6)})
+
+
 @query("train_forest")
 def train_forest(spark, folder):
     model, app = fitted_model(spark, folder, "rf", numTrees=100, maxDepth=4)
@@ -60,8 +113,7 @@ def class_weights(spark, folder):
 
 @query("parameter_search")
 def parameter_search(spark, folder):
-    _, trials = train.search(kept_applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=10, seed=7,
-                             space={"C": ("log", 0.01, 1.0), "maxIter": ("log_int", 20, 50)})
+    _, trials = train.search(kept_applications(spark, folder, MODEL_COLUMNS), FITTED, n_trials=30, seed=7)
     return trials.select("trial", F.to_json("params").alias("params"), F.round("value", 6).alias("value"),
                          *[F.round(F.col("metrics")[f"{s}_{m}"], 6).alias(f"{s}_{m}") for s in SETS for m in ("ks", "auc")])
 
