@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import numeric_columns, ratio
 from ..functions.predicates import compile_rules, parse_rules
+from . import random_trees
 from .split import mining_split
 
 # Fixed value: bad rates of zero are replaced by this in the PSI.
@@ -22,12 +23,16 @@ _BRANCH = re.compile(r"^(?P<indent>\s*)(?P<kind>If|Else) \(feature (?P<n>\d+) (?
 
 
 def fit_trees(train: DataFrame, features, label="label", kind="exrf", max_depth=3, n_trees=100, min_leaf=100,
-              max_features=0.5, seed=2024, fill_value=-999.0):
-    """Fitted ``dt``, ``rf`` or ``exrf`` (a forest on three fifths of the rows per tree).
+              max_features=0.5, seed=2024, fill_value=-999.0, key=None):
+    """Fitted ``dt`` (one tree), ``rf`` (a forest of best splits) or ``exrf`` (extremely randomised trees, a list of them).
 
-    The trees predict the bad rate: on a 0/1 label the variance ranks splits as Gini does, while
+    Single trees and forests predict the bad rate: on a 0/1 label the variance ranks splits as Gini does, while
     classification trees would merge neighbouring leaves that predict the same class.
     """
+    if kind == "exrf":
+        return random_trees.fit(train, features, label, key, n_trees, max_depth, min_leaf, max_features, seed=seed, fill_value=fill_value)
+    if kind not in ("dt", "rf"):
+        raise ValueError("kind must be dt, rf or exrf")
     named = train.select(
         F.col(label).cast("double").alias("_y"),
         *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill_value)).alias(f"_x{n}") for n, c in enumerate(features)])
@@ -36,26 +41,31 @@ def fit_trees(train: DataFrame, features, label="label", kind="exrf", max_depth=
     common = dict(featuresCol="features", labelCol="_y", maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed)
     if kind == "dt":
         return DecisionTreeRegressor(**common).fit(rows)
-    if kind not in ("rf", "exrf"):
-        raise ValueError("kind must be dt, rf or exrf")
-    share = 1.0 if kind == "rf" else 0.6
-    return RandomForestRegressor(numTrees=n_trees, featureSubsetStrategy=str(max_features), subsamplingRate=share,
-                                  **common).fit(rows)
+    return RandomForestRegressor(numTrees=n_trees, featureSubsetStrategy=str(max_features), **common).fit(rows)
 
 
 def extract_rules(model, features):
     """Every leaf of the trees as a conjunction, thresholds to four digits, repeats dropped."""
     rules = []
+    if isinstance(model, list):
+        for tree in model:
+            rules += [" and ".join(f"{features[f]} {'<=' if left else '>'} {round(float(at), 4)}" for f, left, at in path)
+                      for path, _, _ in tree.leaves() if path]
+        return list(dict.fromkeys(rules))
     for tree in getattr(model, "trees", [model]):
         path = []
-        for line in tree.toDebugString.splitlines():
+        # The first line names the tree.
+        for line in tree.toDebugString.splitlines()[1:]:
             branch = _BRANCH.match(line)
             if branch:
                 depth = len(branch["indent"])
                 path = [p for p in path if p[0] < depth]
                 path.append((depth, f"{features[int(branch['n'])]} {branch['op']} {round(float(branch['at']), 4)}"))
-            elif line.strip().startswith("Predict") and path:
-                rules.append(" and ".join(text for _, text in path))
+            elif line.strip().startswith("Predict:"):
+                if path:
+                    rules.append(" and ".join(text for _, text in path))
+            elif line.strip():
+                raise ValueError(f"a line of a tree that can't be read: {line!r}")
     return list(dict.fromkeys(rules))
 
 
@@ -112,7 +122,7 @@ def mine_rules(df: DataFrame, key, label="label", time_col=None, kind="exrf", fe
     features = features or [c for c in numeric_columns(df, narrow=True) if c not in hidden]
     if not features:
         raise ValueError("no numeric feature to mine")
-    model = fit_trees(tagged.where(F.col("target_group") == "train"), features, label, kind, **settings)
+    model = fit_trees(tagged.where(F.col("target_group") == "train"), features, label, kind, key=key, **settings)
     return rule_performance(tagged, extract_rules(model, features), label)
 
 

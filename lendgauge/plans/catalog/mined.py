@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import binning, boosting, evaluate, mining, monitor, psi, scoring, train, woe
+from ...operators import binning, boosting, evaluate, mining, monitor, psi, random_trees, scoring, train, woe
 from ...session import new_place
 from ...sources.models import ScorecardModel
 from ...streaming import drift
@@ -331,6 +331,46 @@ def mined_forest_rules(spark, folder):
         app, "app_id", time_col="apply_time", kind="exrf", features=FEATURES)))
 
 
+RANDOM = {"n_trees": 3, "max_depth": 2, "min_leaf": 100, "max_features": 0.5, "seed": 11}
+
+
+def random_tree_sql():
+    """Statement that splits every node at the drawn thresholds; what is drawn are constants, the ranges are not."""
+    count = max(1, int(RANDOM["max_features"] * len(FEATURES)))
+    values = " UNION ALL ".join(f"SELECT app_id, {f} AS f, coalesce({c}, -999) AS x FROM app" for f, c in enumerate(FEATURES))
+    parts, found = [f"xs AS ({values})"], []
+    for t in range(RANDOM["n_trees"]):
+        parts.append(f"n{t}_0 AS (SELECT app_id, label AS y, 0 AS node FROM app)")
+        for d in range(RANDOM["max_depth"]):
+            at, nodes = f"{t}_{d}", range(2 ** d - 1, 2 ** (d + 1) - 1)
+            drawn = ", ".join(f"({i}, {f}, {random_trees.number(RANDOM['seed'], t, i, f, 'order')!r}::DOUBLE, {random_trees.number(RANDOM['seed'], t, i, f, 'at')!r}::DOUBLE)"
+                              for i in nodes for f in range(len(FEATURES)))
+            parts += [
+                f"e{at} AS (SELECT node, f, min(x) AS lo, max(x) AS hi FROM n{at} JOIN xs USING (app_id) WHERE node >= {nodes[0]} GROUP BY node, f HAVING min(x) < max(x))",
+                f"""o{at} AS (SELECT e.node, e.f, d.o, CASE WHEN lo + u * (hi - lo) < hi THEN lo + u * (hi - lo) ELSE lo END AS cut
+  FROM e{at} e JOIN (VALUES {drawn}) d(node, f, o, u) ON e.node = d.node AND e.f = d.f QUALIFY row_number() OVER (PARTITION BY e.node ORDER BY d.o) <= {count})""",
+                f"""s{at} AS (SELECT o.node, o.f, o.o, o.cut, count(*) AS n, sum(y) AS bad, count(*) FILTER (x <= cut) AS ln, coalesce(sum(y) FILTER (x <= cut), 0) AS lb
+  FROM n{at} JOIN xs USING (app_id) JOIN o{at} o ON o.node = n{at}.node AND o.f = xs.f GROUP BY ALL)""",
+                f"""b{at} AS (SELECT *, (lb * lb + (ln - lb) * (ln - lb)) / ln + ((bad - lb) * (bad - lb) + (n - ln - bad + lb) * (n - ln - bad + lb)) / (n - ln) AS purity
+  FROM s{at} WHERE least(ln, n - ln) >= {RANDOM["min_leaf"]} AND bad > 0 AND bad < n QUALIFY row_number() OVER (PARTITION BY node ORDER BY purity DESC, o) = 1)""",
+                f"""n{t}_{d + 1} AS (SELECT n.app_id, n.y, CASE WHEN b.node IS NULL THEN n.node WHEN xs.x <= b.cut THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node
+  FROM n{at} n LEFT JOIN b{at} b ON n.node = b.node LEFT JOIN xs ON xs.app_id = n.app_id AND xs.f = b.f)"""]
+            found.append(f"SELECT {t} AS tree, node, f, round(cut, 6) AS cut, n, bad FROM b{at}")
+        found.append(f"SELECT {t}, node, NULL, NULL, count(*), sum(y) FROM n{t}_{RANDOM['max_depth']} GROUP BY node")
+    names = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+    return on_app(f"SELECT CAST(tree AS INT) AS tree, CAST(node AS INT) AS node, {names}[f + 1] AS feature, cut, CAST(n AS BIGINT) AS n, CAST(bad AS BIGINT) AS bad "
+                  f"FROM ({' UNION ALL '.join(found)})", *parts)
+
+
+@query("random_tree_nodes", random_tree_sql())
+def random_tree_nodes(spark, folder):
+    app = kept_applications(spark, folder, [*FEATURES, "label"])
+    trees = random_trees.fit(app, FEATURES, bootstrap=False, **RANDOM)
+    rows = [(t, i, *((FEATURES[tree.splits[i][0]], float(tree.splits[i][1])) if i in tree.splits else (None, None)), *size)
+            for t, tree in enumerate(trees) for i, size in tree.sizes.items()]
+    return rounded(spark.createDataFrame(rows, "tree int, node int, feature string, cut double, n bigint, bad bigint"))
+
+
 # ---------------------------------------------------------------- monitoring
 
 def edge(i, n, low="lo", high="hi"):
