@@ -1,6 +1,6 @@
 """Functions that run inside Python tasks on small, already aggregated groups.
 
-They are pickled by value, so executors need numpy and pandas but not this package.
+They are pickled by value, so executors need numpy, pandas and pyarrow but not this package.
 """
 
 import heapq
@@ -9,6 +9,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,3 +52,61 @@ def grow_tree(pdf, max_leaf_nodes, min_samples_leaf):
         offer(start, at + 1)
         offer(at + 1, end)
     return pd.DataFrame({"feature": pdf["feature"].iloc[0], "cut": sorted(cuts)}, columns=["feature", "cut"])
+
+
+def alike_runs(batches):
+    """Sorted (feature, value, good, bad) rows of Arrow ``batches`` with neighbours of one bad rate joined; ``value`` is the last one's."""
+    held = None
+    for batch in batches:
+        out = []
+        for row in zip(*[batch.column(c).to_pylist() for c in ("feature", "value", "good", "bad")]):
+            if held and held[0] == row[0] and held[2] * row[3] == row[2] * held[3]:
+                held = (row[0], row[1], held[2] + row[2], held[3] + row[3])
+            else:
+                if held:
+                    out.append(held)
+                held = row
+        yield _histogram_batch(out)
+    if held:
+        yield _histogram_batch([held])
+
+
+def _histogram_batch(rows):
+    feature, value, good, bad = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_pydict({"feature": pa.array(feature, pa.string()), "value": pa.array(value, pa.float64()),
+                                       "good": pa.array(good, pa.int64()), "bad": pa.array(bad, pa.int64())})
+
+
+def _chi_square(g1, b1, g2, b2):
+    """Chi-square of two neighbouring intervals; without goods or without bads they are alike."""
+    sides = (g1 + b1) * (g2 + b2) * (g1 + g2) * (b1 + b2)
+    return (g1 + b1 + g2 + b2) * (g1 * b2 - g2 * b1) ** 2 / sides if sides else 0.0
+
+
+def chi_merge(pdf, bins):
+    """Cuts of one feature after the most alike neighbours were joined, one pair after the other, until ``bins`` intervals are left.
+
+    Intervals are a linked list, pairs a heap by cost and place; a pair whose intervals have changed since is passed over.
+    """
+    pdf = pdf.sort_values("value")
+    value, good, bad = (pdf[c].tolist() for c in ("value", "good", "bad"))
+    n = len(value)
+    before, after, stamp = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+    cost = lambda i, j: _chi_square(good[i], bad[i], good[j], bad[j])
+    heap = [(cost(i, i + 1), i, i + 1, 0, 0) for i in range(n - 1)]
+    heapq.heapify(heap)
+    left = n
+    while left > bins and heap:
+        _, i, j, a, b = heapq.heappop(heap)
+        if stamp[i] != a or stamp[j] != b:
+            continue
+        good[i], bad[i], value[i] = good[i] + good[j], bad[i] + bad[j], value[j]
+        after[i], stamp[j], left = after[j], -1, left - 1
+        stamp[i] += 1
+        if after[i] < n:
+            before[after[i]] = i
+            heapq.heappush(heap, (cost(i, after[i]), i, after[i], stamp[i], stamp[after[i]]))
+        if before[i] >= 0:
+            heapq.heappush(heap, (cost(before[i], i), before[i], i, stamp[before[i]], stamp[i]))
+    kept = [v for v, s in zip(value, stamp) if s >= 0]
+    return pd.DataFrame({"feature": pdf["feature"].iloc[0], "cut": kept[:-1]}, columns=["feature", "cut"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bins import INF, bin_number, equal_width, interval_text, with_infinite_ends
-from ..functions.in_task import grow_tree
+from ..functions.in_task import alike_runs, chi_merge, grow_tree
 from .ranks import SMALL_GROUP, quantiles, running_totals, unpivot_numeric
 
 # Features per counting pass; wider tables take several column-pruned scans.
@@ -155,39 +155,23 @@ def _midpoints(spark, totals, splits):
     return result
 
 
-def chi_merge_edges(df: DataFrame, columns, label, bins=10, start_bins=64, small_group=SMALL_GROUP):
-    """ChiMerge edges: fine equal-frequency intervals, the neighbours most alike merged until ``bins``.
+def chi_merge_edges(df: DataFrame, columns, label, bins=10):
+    """ChiMerge edges from all distinct values: the neighbours most alike are joined until ``bins`` intervals are left, the first of equals.
 
-    Only the interval counts (features x ``start_bins``) reach the driver.
+    Values are sorted by range, and neighbours of one bad rate (their chi-square is 0, so they are joined before all others, in any order) are
+    joined within the ranges. What is left of a feature, three numbers per change of the bad rate, is merged in one task. Rows without a
+    value or a label have no part.
     """
-    fine = equal_frequency_cuts(df, columns, start_bins, small_group)
-    counted = bin_counts(df, fine, label, missing=None).collect()
-    tables = {c: {} for c in columns}
-    for r in counted:
-        tables[r["feature"]][r["bin"]] = (r["good"], r["bad"])
-    return {c: _chi_merge(tables[c], fine[c], bins) for c in columns}
-
-
-def _chi_merge(table, edges, bins):
-    # Each interval is [right edge, good, bad]; an empty one joins its right neighbour.
-    intervals = [[edges[n], *table[n]] for n in sorted(table)]
-    while len(intervals) > bins:
-        costs = [_chi_square(intervals[i][1:], intervals[i + 1][1:]) for i in range(len(intervals) - 1)]
-        at = costs.index(min(costs))
-        right = intervals.pop(at + 1)
-        intervals[at] = [right[0], intervals[at][1] + right[1], intervals[at][2] + right[2]]
-    return with_infinite_ends([i[0] for i in intervals[:-1]])
-
-
-def _chi_square(a, b):
-    total = sum(a) + sum(b)
-    result = 0.0
-    for row in (a, b):
-        for k in (0, 1):
-            expected = sum(row) * (a[k] + b[k]) / total if total else 0
-            if expected:
-                result += (row[k] - expected) ** 2 / expected
-    return result
+    columns = list(columns)
+    known = value_histogram(df, columns, label).where("good + bad > 0")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = known.repartitionByRange(parts, "feature", "value").sortWithinPartitions("feature", "value")
+    runs = ranged.mapInArrow(alike_runs, "feature string, value double, good bigint, bad bigint")
+    found = runs.groupBy("feature").applyInPandas(lambda pdf: chi_merge(pdf, bins), "feature string, cut double").collect()
+    cuts = {c: [] for c in columns}
+    for r in found:
+        cuts[r["feature"]].append(r["cut"])
+    return {c: with_infinite_ends(sorted(v)) for c, v in cuts.items()}
 
 
 # ---------------------------------------------------------------- counts

@@ -61,13 +61,63 @@ def tree_stump_edges(spark, folder):
     return edges_frame(spark, binning.tree_edges(app, FEATURES, "label", max_leaf_nodes=2, min_samples_leaf=0.05))
 
 
-@query("tree_edges")
+def tree_parts(leaves, minimum, where="true"):
+    """Named parts of a best-first Gini tree per feature; ``tree_cuts`` has its cuts."""
+    parts = [f"""v0 AS (SELECT feature, value, CAST(COUNT(*) FILTER (label = 0) AS DOUBLE) AS g, CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS b, 0 AS leaf
+  FROM long WHERE value IS NOT NULL AND {where} GROUP BY feature, value)""",
+             f"floors AS (SELECT feature, greatest(ceil({minimum}::DOUBLE * SUM(g + b)), 1) AS floor FROM v0 GROUP BY feature)"]
+    for k in range(leaves - 1):
+        parts += [
+            f"""c{k} AS (SELECT v.*, f.floor, lead(value) OVER o AS following, SUM(g) OVER o AS lg, SUM(b) OVER o AS lb, SUM(g) OVER p AS tg, SUM(b) OVER p AS tb
+  FROM v{k} v JOIN floors f ON v.feature = f.feature
+  WINDOW p AS (PARTITION BY v.feature, leaf), o AS (PARTITION BY v.feature, leaf ORDER BY value ROWS UNBOUNDED PRECEDING))""",
+            f"""s{k} AS (SELECT *, (lg * lg + lb * lb) / (lg + lb) + ((tg - lg) * (tg - lg) + (tb - lb) * (tb - lb)) / (tg + tb - lg - lb)
+    - (tg * tg + tb * tb) / (tg + tb) AS gain FROM c{k}
+  WHERE following IS NOT NULL AND lg + lb >= floor AND tg + tb - lg - lb >= floor AND tg > 0 AND tb > 0
+  QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1)""",
+            f"""v{k + 1} AS (SELECT v.feature, v.value, v.g, v.b, CASE WHEN v.leaf = s.leaf AND v.value > s.value THEN {k + 1} ELSE v.leaf END AS leaf
+  FROM v{k} v LEFT JOIN s{k} s ON v.feature = s.feature)"""]
+    found = " UNION ALL ".join(f"SELECT feature, (value + following) / 2 AS cut FROM s{k}" for k in range(leaves - 1))
+    return *parts, f"tree_cuts AS ({found})"
+
+
+@query("tree_edges", on_app(
+    "SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY cut) - 1 AS INT) AS position, round(cut, 6) AS edge FROM tree_cuts",
+    long_part(), *tree_parts(10, 0.02, "target = 'train' AND label IN (0, 1)")))
 def tree_edges(spark, folder):
     app = train(spark, folder, [*FEATURES, "label"])
     return edges_frame(spark, binning.tree_edges(app, FEATURES, "label", 10, 0.02))
 
 
-@query("chi_merge_edges")
+def chi_parts(bins, where="true"):
+    """Named parts: ``merged``, per feature the right edges of the intervals that are left, joined pair by pair from all distinct values.
+
+    Neighbours of one bad rate come first; they are runs of the sorted values.
+    """
+    side = "(g[i] + b[i]) * (g[i + 1] + b[i + 1]) * (g[i] + g[i + 1]) * (b[i] + b[i + 1])"
+    cost = (f"CASE WHEN {side} = 0 THEN 0 ELSE (g[i] + b[i] + g[i + 1] + b[i + 1]) * power(g[i] * b[i + 1] - g[i + 1] * b[i], 2) / ({side}) END")
+    return (
+        f"cv AS (SELECT feature, value, CAST(COUNT(*) FILTER (label = 0) AS DOUBLE) AS g, CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS b "
+        f"FROM long WHERE value IS NOT NULL AND label IN (0, 1) AND {where} GROUP BY feature, value)",
+        "cr AS (SELECT *, SUM(CASE WHEN g * pb = pg * b THEN 0 ELSE 1 END) OVER (PARTITION BY feature ORDER BY value) AS run FROM (SELECT *, "
+        "lag(g) OVER o AS pg, lag(b) OVER o AS pb FROM cv WINDOW o AS (PARTITION BY feature ORDER BY value)))",
+        "cs AS (SELECT feature, max(value) AS value, SUM(g) AS g, SUM(b) AS b FROM cr GROUP BY feature, run)",
+        f"""merging AS (
+  SELECT feature, list(value ORDER BY value) AS e, list(g ORDER BY value) AS g, list(b ORDER BY value) AS b FROM cs GROUP BY feature
+  UNION ALL
+  SELECT feature, list_concat(e[:k - 1], e[k + 1:]), list_concat(g[:k - 1], [g[k] + g[k + 1]], g[k + 2:]), list_concat(b[:k - 1], [b[k] + b[k + 1]], b[k + 2:])
+  FROM (SELECT *, list_position(costs, list_min(costs)) AS k FROM (
+    SELECT *, list_transform(range(1, len(e)), lambda i: {cost}) AS costs FROM merging WHERE len(e) > {bins})))""",
+        f"merged AS (SELECT feature, e FROM merging WHERE len(e) <= {bins})")
+
+
+def recursive(statement):
+    return statement.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("chi_merge_edges", recursive(on_app(
+    "SELECT feature, CAST(i - 1 AS INT) AS position, round(e[i], 6) AS edge FROM (SELECT feature, e, unnest(range(1, len(e))) AS i FROM merged)",
+    long_part(), *chi_parts(6, "target = 'train'"))))
 def chi_merge_edges(spark, folder):
     app = train(spark, folder, [*FEATURES, "label"])
     return edges_frame(spark, binning.chi_merge_edges(app, FEATURES, "label", 6))
@@ -154,7 +204,9 @@ def explore_tree_bins(spark, folder):
                                                 max_leaf_nodes=2), ["feature"])
 
 
-@query("explore_chi_bins")
+@query("explore_chi_bins", recursive(on_app(
+    woe_select(["feature"]), long_part(["amount"]), *chi_parts(6), "cuts AS (SELECT feature, e[:len(e) - 1] AS cuts FROM merged)",
+    "pair AS (SELECT * FROM long WHERE value IS NOT NULL)", binned_part(source="pair"), woe_part(["feature"]))))
 def explore_chi_bins(spark, folder):
     app = kept_applications(spark, folder, ["amount", "label"])
     return woe_columns(binning.binning_explorer(app, "amount", method="chi", n_bins=6), ["feature"])

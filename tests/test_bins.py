@@ -1,4 +1,6 @@
 import math
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,6 +89,36 @@ def test_chi_merge_joins_the_most_alike(spark):
     assert binning.chi_merge_edges(df, ["x"], "label", 2)["x"] == [-INF, 2.0, INF]
 
 
+def plain_chi_merge(rows, bins):
+    """Right edges left after joining the first most alike pair of neighbours again and again."""
+    counts = {}
+    for value, label in rows:
+        if value is not None and label is not None:
+            counts.setdefault(value, [0, 0])[label] += 1
+    intervals = [[v, *counts[v]] for v in sorted(counts)]
+    while len(intervals) > bins:
+        costs = []
+        for (_, a, b), (_, c, d) in zip(intervals, intervals[1:]):
+            n = a + b + c + d
+            cells = ((a, (a + b) * (a + c)), (b, (a + b) * (b + d)), (c, (c + d) * (a + c)), (d, (c + d) * (b + d)))
+            costs.append(sum(Fraction((x * n - e) ** 2, e * n) for x, e in cells if e))
+        at = costs.index(min(costs))
+        edge, c, d = intervals.pop(at + 1)
+        intervals[at] = [edge, intervals[at][1] + c, intervals[at][2] + d]
+    return [i[0] for i in intervals[:-1]]
+
+
+@pytest.mark.parametrize("values,bins", [(40, 5), (400, 6), (7, 2), (3, 10)])
+def test_chi_merge_equals_plain_merging(spark, values, bins):
+    rng = random.Random(values)
+    rows = []
+    for _ in range(1200):
+        v = rng.choice([None, *range(values)])
+        rows.append((v if v is None else v / 4 - 1, rng.choice([None, 0, 1]) if rng.random() < 0.1 else int(rng.random() < 0.1 + 0.6 * ((v or 0) > values / 2))))
+    df = spark.createDataFrame([(*r, None) for r in rows], "x double, label int, empty double")
+    assert binning.chi_merge_edges(df, ["x", "empty"], "label", bins) == {"x": [-INF, *plain_chi_merge(rows, bins), INF], "empty": [-INF, INF]}
+
+
 def test_woe_table_by_hand(spark):
     # bin 1: 3 good 1 bad, bin 2: 1 good 3 bad, bin 3 empty, missing: 2 good.
     rows = [(1.0, 0)] * 3 + [(1.0, 1)] + [(2.0, 0)] + [(2.0, 1)] * 3 + [(None, 0)] * 2
