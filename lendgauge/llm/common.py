@@ -1,5 +1,8 @@
 """Small helpers that the operators of this subpackage share."""
 
+import ctypes
+
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +23,27 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def pieces(batches, column, limit=1 << 21):
+#: Bytes of text worked on at a time.
+PIECE_BYTES = 1 << 21
+
+
+def give_back():
+    """Return freed memory of a Python worker to the system.
+
+    Workers are used again by later stages; without this, what the largest stage needed once stays with each of them.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library keeps its own counsel.
+        pass
+
+
+def pieces(batches, column, limit=PIECE_BYTES):
     """The rows of Arrow ``batches`` again, in batches of at most ``limit`` bytes of text (or one row).
 
-    Work on whole batches of texts takes memory in proportion to their bytes; this bounds it.
+    Work on whole batches of texts takes memory in proportion to their bytes; this bounds it. Freed memory is given back at the end.
     """
     for batch in batches:
         start, held = 0, 0
@@ -34,6 +54,7 @@ def pieces(batches, column, limit=1 << 21):
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, total: int, hot_keys=HOT_KEYS) -> DataFrame:

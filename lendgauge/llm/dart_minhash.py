@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .common import pieces, small_batches
+from .common import give_back, pieces, small_batches
 from .rolling import Words, mixed, range_sums
 
 SHINGLE = 5
@@ -23,6 +23,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 5
 #: Texts that a task compares with each other.
 SMALL_BUCKET = 512
+#: Common elements of a text and the others of its set that are added up at a time.
+HITS = 1 << 20
 #: Counters that tell common elements from rare ones.
 COUNTERS = 1 << 16
 
@@ -139,24 +141,41 @@ def classes(edges: DataFrame) -> DataFrame:
         now.select(F.col("right").alias("node"), F.col("right").alias("class")).distinct())
 
 
+def sets_by_pieces(texts):
+    """:func:`shingle_sets` of a pandas column of texts, one after the other as far as their bytes allow: 16 bytes an element are kept."""
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
+    parts, done = [], 0
+    for piece in pieces([batch], "text"):
+        owner, element, weight = shingle_sets(piece.column("text"))
+        parts.append(((owner + done).astype(np.uint32), element, weight.astype(np.float32)))
+        done += piece.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _links_within(similarity):
     """Tasks' work on the texts of one set: all pairs are compared; links that join texts not joined before are given.
 
     Rows with ``label`` are joined already if it is the same; of rows with ``asks`` only those that ask are compared with all.
     """
     def compare(rows):
-        owner, element, weight = shingle_sets(pa.array(rows["text"]))
-        n, keys, total = len(rows), rows["key"].tolist(), np.bincount(owner, weight, len(rows))
-        order = np.argsort(element, kind="stable")
+        n, keys = len(rows), rows["key"].tolist()
+        owner, element, weight = sets_by_pieces(rows.pop("text"))
+        total, begin = np.bincount(owner, weight, n), np.searchsorted(owner, np.arange(n + 1, dtype=np.uint32))
+        order = np.argsort(element, kind="stable").astype(np.uint32)
         sorted_elements, found = element[order], []
         joined = np.unique(rows["label"], return_inverse=True)[1] if "label" in rows else np.arange(n)
 
         def compare_with_all(i):
-            own = owner == i
-            first, past = (np.searchsorted(sorted_elements, element[own], side) for side in ("left", "right"))
-            sizes = past - first
-            hits = order[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            shared = np.bincount(owner[hits], np.minimum(np.repeat(weight[own], sizes), weight[hits]), n)
+            mine = slice(begin[i], begin[i + 1])
+            first, past = (np.searchsorted(sorted_elements, element[mine], side) for side in ("left", "right"))
+            sizes, own = past - first, weight[mine]
+            shared = np.zeros(n)
+            # Elements that most texts of a set share are many times many: so many at a time.
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // HITS, prepend=0, append=np.inf))
+            for a, b in zip([0, *cuts[:-1]], cuts):
+                part = sizes[a:b]
+                hits = order[np.repeat(first[a:b] - (np.cumsum(part) - part), part) + np.arange(part.sum())]
+                shared += np.bincount(owner[hits], np.minimum(np.repeat(own[a:b], part), weight[hits]), n)
             for j in np.flatnonzero(shared >= similarity * (total[i] + total - shared) - 1e-9):
                 if joined[i] != joined[j]:
                     joined[joined == joined[j]] = joined[i]
@@ -176,6 +195,8 @@ def _links_within(similarity):
                 if not len(outside):
                     break
                 i = outside[0]
+        del owner, element, weight, order, sorted_elements
+        give_back()
         return pd.DataFrame(found, columns=["left", "right", "similarity"])
     return compare
 
