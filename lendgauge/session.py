@@ -57,3 +57,11 @@ def through_parquet(df: DataFrame, name: str) -> DataFrame:
     path = new_place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def removed(spark: SparkSession, path: str):
+    """Delete a folder that :func:`new_place` named, when nothing reads it any more."""
+    if not path.startswith(shared_folder(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} isn't in the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
