@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, new_place, removed
 from .common import give_back, pieces, small_batches
 from .rolling import Words, mixed, range_sums
 
@@ -130,13 +130,19 @@ def classes(edges: DataFrame) -> DataFrame:
         return (tied.select(F.col("right").alias("left"), F.col("m").alias("right"))
                 .unionByName(least.select("left", F.col("m").alias("right"))).where("left <> right").distinct())
 
-    now, before = edges.select("left", "right").where("left <> right").distinct(), None
+    spark = edges.sparkSession
+    now, before, older = edges.select("left", "right").where("left <> right").distinct(), None, None
     while True:
-        now = checkpointed(star(star(now, True), False))
+        place = new_place(spark, "stars")
+        star(star(now, True), False).write.parquet(place)
+        now = spark.read.parquet(place)
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("left", "right").cast("bigint")), F.sum(F.xxhash64("left", "right") % 1000003)).first()
+        # The round before has been read for the last time.
+        if older:
+            removed(spark, older)
         if state == before:
             break
-        before = state
+        before, older = state, place
     return now.select(F.col("left").alias("node"), F.col("right").alias("class")).unionByName(
         now.select(F.col("right").alias("node"), F.col("right").alias("class")).distinct())
 
@@ -285,26 +291,37 @@ def links(keyed: DataFrame, similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
     of texts are compared with blocks. So all pairs of a bucket are compared, or in one class already, whatever its size, and no
     bucket is gathered whole.
     """
+    spark, places = keyed.sparkSession, []
+
+    def kept(df, name):
+        places.append(new_place(spark, name))
+        df.write.parquet(places[-1])
+        return spark.read.parquet(places[-1])
+
     signed = small_batches(keyed.select("key", "text")).mapInArrow(_band_rows(bands, rows), "key binary, bands array<bigint>")
     # Signatures are the costly part: they are kept, one per text.
-    signed = checkpointed(signed.groupBy("key").agg(F.first("bands").alias("bands")))
+    signed = kept(signed.groupBy("key").agg(F.first("bands").alias("bands")), "signatures")
     members = signed.select("key", F.explode("bands").alias("bucket"))
-    left = checkpointed(_sized(members)).select("bucket", "key", "n")
+    left = kept(_sized(members), "buckets").select("bucket", "key", "n")
     # Only texts that meet another are looked at again.
     met = left.groupBy("key").agg(F.max("n").alias("n"))
-    texts = checkpointed(keyed.select("key", "text").join(met, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n")))
+    texts = kept(keyed.select("key", "text").join(met, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n")), "texts")
     within, crowd, texts = left.where(F.col("n") <= small), texts.where(F.col("n") > small), texts.drop("n")
     done = None
     if not crowd.isEmpty():
         elements = small_batches(crowd.select("key", "text")).mapInArrow(
             _prefix_rows(_counters(crowd), similarity), "key binary, bucket bigint")
-        met = checkpointed(_sized(elements)).select("bucket", "key", "n")
+        met = kept(_sized(elements), "elements").select("bucket", "key", "n")
         within, hot = within.unionByName(met.where(F.col("n") <= small)), met.where(F.col("n") > small)
         done = _links_of_families(hot, texts, similarity, small) if not hot.isEmpty() else None
     sets = within.groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("keys").distinct()
     dealt = sets.select(F.xxhash64("keys").alias("set"), F.explode("keys").alias("key")).join(texts, "key")
     near = dealt.groupBy("set").applyInPandas(_links_within(similarity), LINK)
-    return checkpointed((done.unionByName(near) if done else near).distinct())
+    found = checkpointed((done.unionByName(near) if done else near).distinct())
+    # Links need neither texts nor buckets any more.
+    for place in places:
+        removed(spark, place)
+    return found
 
 
 def group(docs: DataFrame, id="doc_id", text="text", similarity=SIMILARITY, bands=BANDS, rows=BAND_ROWS,
