@@ -280,7 +280,9 @@ def iv_by_set(spark, folder):
     return rounded(woe.iv_by_set(app, cuts))
 
 
-@query("iv_by_set_tree")
+@query("iv_by_set_tree", on_app(
+    f"SELECT feature, {per_set('total_iv', 'iv')} FROM woe GROUP BY feature", long_part(), *tree_parts(10, 0.02, "target = 'train' AND label IN (0, 1)"),
+    "cuts AS (SELECT feature, list(cut) AS cuts FROM tree_cuts GROUP BY feature)", binned_part(), woe_part(["feature", "target"])))
 def iv_by_set_tree(spark, folder):
     app = kept_applications(spark, folder, [*FEATURES, "label", "target"])
     return rounded(woe.iv_by_set(app, woe.learn_edges(app, FEATURES)))
