@@ -111,6 +111,22 @@ PAGES = {
     "<p>Bare paragraph, no frame.</p>": "Bare paragraph, no frame.",
     "plain text, no markup": "plain text, no markup", "": "", "<nav>menu</nav>": "", "<!-- <p>x</p> --><p>a &lt;b&gt; c</p>": "a <b> c",
     "<article><p>Broken <a href=\"x>text": "Broken",
+    "<article><h1>T</h1><p>Long text, of the first paragraph, here.</p><h2><a href='/x'>Linked heading</a></h2><p>More, of it.</p></article>":
+        "T\nLong text, of the first paragraph, here.\nLinked heading\nMore, of it.",
+    "<article>" + "<p>Long, long text, with marks, and so on, and on.</p>" * 40 + "<table><tr><th>a<th>b<tr><td>1<td>2</table></article>":
+        "\n".join(["Long, long text, with marks, and so on, and on."] * 40 + ["a", "b", "1", "2"]),
+    "<article><div class='post-header'><h1>Title</h1></div><div class='share-price notice'><p>Text body.</p></div><div class='notice'>N.</div></article>":
+        "Title\nText body.",
+    "<article><p>One <span class='ad'>Buy <span>now</span>, here</span>two.</p><div class='ad-slot'>Ad.</div><a class='ad' href='/'><div>Big ad</div></a>"
+    "<p>Three.</p><section class='comments'><p>I liked it, all of it, very much.</p></section><footer>End</footer></article>":
+        "One two.\nThree.",
+    "<article><p>The text, which is long enough, is here.</p><p>Unclosed <span class='ad'>buy</p><p>goes on.</p></article>":
+        "The text, which is long enough, is here.\nUnclosed\ngoes on.",
+    "<main><h1><a href='/'>Head</a></h1><article><p>Own text, of this page, is here.</p></article>"
+    "<article><h2><a href='/b'>Another page</a></h2></article></main>": "Head\nOwn text, of this page, is here.",
+    "<main><p>Text, in main.</p><ol><li><a href='r'>A reference</a></li></ol></main>": "Text, in main.\nA reference",
+    "<body><div class='ad'><article>Ad text, long, long, long.</article></div><article class='comment-body'>Hi, all.</article>"
+    "<div><p>The article, with no frame.</p></div></body>": "The article, with no frame.",
 }
 
 
