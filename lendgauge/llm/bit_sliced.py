@@ -127,7 +127,7 @@ def _best_of_block(k):
             rows = rows.sort_values("id", kind="stable", ignore_index=True)
             width = max(rows["vector"].str.len().max(), queries["vector"].str.len().max())
             filled = lambda v: np.array([np.pad(x, (0, width - len(x))) for x in v], np.int64).reshape(len(v), width)
-            ids, index = rows["id"].to_numpy(), Slices(filled(rows["vector"]))
+            ids, times, index = rows["id"].to_numpy(), rows["times"].to_numpy(), Slices(filled(rows["vector"]))
             for query, vector in zip(queries["id"], filled(queries["vector"])):
                 own = np.searchsorted(ids, [query, query + 1])
                 skip = None
@@ -136,27 +136,29 @@ def _best_of_block(k):
                     marks[own[0]:own[1]] = 1
                     skip = np.packbits(marks, bitorder="little").view(np.uint64)
                 places, scores = index.top(vector, k, skip)
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[places], "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[places], "score": scores, "times": times[places]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "times": []}).astype("int64")
     return search
 
 
 def search(queries: DataFrame, rows: DataFrame, k, block_rows=BLOCK_ROWS, query_rows=QUERY_ROWS) -> DataFrame:
     """The ``k`` rows of largest inner product per query: query_id, rank, vec_id, score; ties to the smaller id.
 
-    Both tables have id (bigint) and vector (integers, array<bigint>). Rows with a null id or vector take no part; equal rows
-    count once; missing components are 0. Rows with the query's id are its own and never found. Blocks of rows meet blocks of
-    queries: each block's index is built where it is searched, and yields k rows a query.
+    Both tables have id (bigint) and vector (integers, array<bigint>). Rows with a null id or vector take no part; rows
+    that are repeated are found as often as they are there, equal queries are one query; missing components are 0. Rows with the
+    query's id are its own and never found. Blocks of rows meet blocks of queries: each block's index is built where it is searched,
+    and yields k rows a query. Repeated rows travel once, with their number.
     """
-    usable = lambda df: df.select("id", "vector").dropna().distinct()
+    usable = lambda df: df.select("id", "vector").dropna().groupBy("id", "vector").agg(F.count("*").alias("times"))
     n_rows, n_queries = rows.count(), queries.count()
     row_blocks, query_blocks = max(-(-n_rows // block_rows), 1), max(-(-n_queries // query_rows), 1)
     block = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     placed = usable(rows).withColumn("block", block(row_blocks)).withColumn("part", every(query_blocks))
-    asked = usable(queries).withColumn("part", block(query_blocks)).withColumn("block", every(row_blocks))
+    asked = usable(queries).drop("times").withColumn("part", block(query_blocks)).withColumn("block", every(row_blocks))
     small_batches(placed)
     best = asked.groupBy("block", "part").cogroup(placed.groupBy("block", "part")).applyInPandas(
-        _best_of_block(k), "query_id bigint, vec_id bigint, score bigint")
+        _best_of_block(k), "query_id bigint, vec_id bigint, score bigint, times bigint")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("times", F.lit(k).cast("bigint")))))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

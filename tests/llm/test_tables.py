@@ -67,7 +67,7 @@ def plain_top(rows, k):
     out = {}
     for q, v in set(rows):
         if q is not None and v is not None and q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in set(rows) if i is not None and w is not None and i != q)
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i is not None and w is not None and i != q)
             out[q] = [(i, -s) for s, i in scored[:k]]
     return out
 
@@ -77,6 +77,8 @@ def test_top_of_odd_vectors(spark, block):
     rng = random.Random(block)
     rows = [(i, tuple(rng.choice([-300, -7, 0, 0, 3, 260]) for _ in range(5))) for i in range(0, 320)]
     rows += [(1000 + i, (1, 1, 1, 1, 1)) for i in range(40)] + [(50, rows[50][1]), (None, (1, 2, 3, 4, 5)), (4000, None)]
+    # Repeated rows, one of them the best of many queries and there more often than the ranks asked for.
+    rows += [(2000, (260, 260, 260, 260, 260))] * 3 + [(2001, (-300, 260, 3, -300, 0))] * 9 + [rows[7]]
     table = spark.createDataFrame([(i, list(v) if v else None, "x") for i, v in rows], "id bigint, vector array<bigint>, block string")
     got = bit_sliced.search(table.where("id % 50 = 0"), table, 5, block_rows=block, query_rows=3).collect()
     want = plain_top(rows, 5)
