@@ -2,6 +2,7 @@
 
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,21 +90,32 @@ def _ranked(value, kind):
 
 # ---------------------------------------------------------------- correlation
 
-def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
+#: Pairs whose sums (48 bytes a pair) a task holds at a time; wider tables are counted in as many strips as that takes.
+PAIR_SUMS = 1 << 22
+#: Values of a slice of rows that is multiplied at a time.
+SLICE_VALUES = 1 << 20
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def correlation_pairs(df: DataFrame, columns=None, pair_sums=PAIR_SUMS) -> DataFrame:
     """(feature_a, feature_b, corr) for all a < b in column order, over rows where both are present.
 
     NaN counts as missing. Sums are taken around the column means; pairs without common rows or without variation give null.
+    Up to 2048 columns take two scans. More are counted in strips of the matrix of pairs, each a scan of the columns it needs, so
+    that no task holds more than ``pair_sums`` pairs (or those of one column).
     """
     columns = list(columns or numeric_columns(df, narrow=True))
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
-    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    means = values.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(columns))]).first()
-    centres = [means[f"m{i}"] or 0.0 for i in range(len(columns))]
+    values = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in columns]
     width = len(columns)
-    pairs = (df.sparkSession.range(width * width).select(F.floor(F.col("id") / width).cast("int").alias("i"), (F.col("id") % width).cast("int").alias("j"))
-             .where("i < j"))
-    sums = pairs.join(_pair_sums(values, centres), ["i", "j"], "left")
+    centres = _means(df.select(F.array(*values)), width)
+    every = df.sparkSession.range(width - 1).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(width - 1).cast("bigint"))).alias("j"))
+    sums = every.select("i", F.col("j").cast("int").alias("j"), *[F.lit(0.0).alias(s) for s in SUMS])
+    for first, end in _strips(width, pair_sums):
+        sums = sums.unionByName(_pair_sums(df.select(F.array(*values[first:])), centres[first:], first, end))
+    sums = sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
     cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
@@ -113,28 +125,72 @@ def correlation_pairs(df: DataFrame, columns=None) -> DataFrame:
         F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("corr"))
 
 
-def _pair_sums(values, centres):
-    """Per task one set of matrix products; the shuffle carries pairs, never rows."""
-    width, centre = len(centres), np.array(centres)
-    upper = np.triu_indices(width, 1)
+def _strips(width, pair_sums):
+    """Ranges of first features of pairs: a range times the features from its start on is at most ``pair_sums``, or one feature."""
+    first = 0
+    while first < width - 1:
+        end = min(width - 1, first + max(1, pair_sums // (width - first)))
+        yield first, end
+        first = end
+
+
+def _slices(batches, width):
+    """Rows of an array column of ``width`` numbers as matrices of at most ``SLICE_VALUES`` numbers (or one row)."""
+    for batch in batches:
+        rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        step = max(1, SLICE_VALUES // width)
+        for at in range(0, len(rows), step):
+            yield rows[at:at + step]
 
+
+def _few_tasks(df):
+    """Input partitions joined, without a shuffle, to one task per core: every task sends its sums for all pairs."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+
+
+def _means(values, width):
+    """Mean of each place of an array column, NaN left out; 0 where nothing is left."""
     def partial(batches):
-        import pandas as pd
+        count, total = np.zeros(width), np.zeros(width)
+        for x in _slices(batches, width):
+            known = ~np.isnan(x)
+            count, total = count + known.sum(axis=0), total + np.where(known, x, 0.0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(count), pa.array(total)], names=["i", "n", "s"])
 
+    found = _few_tasks(values).mapInArrow(partial, "i int, n double, s double").groupBy("i").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    centres = np.zeros(width)
+    # One row per feature.
+    for r in found.collect():
+        centres[r["i"]] = r["mean"] or 0.0
+    return centres
+
+
+def _pair_sums(values, centre, first, end):
+    """Sums of the pairs whose first feature is in ``[first, end)``; ``values`` and ``centre`` start at feature ``first``.
+
+    Per task one set of matrix products; the shuffle carries pairs, never rows.
+    """
+    width, height = len(centre), end - first
+
+    def partial(batches):
         total = None
-        for batch in batches:
-            x = batch.to_numpy(float) - centre
+        for rows in _slices(batches, width):
+            x = rows - centre
             known = ~np.isnan(x)
             x, m = np.where(known, x, 0.0), known.astype(float)
-            found = [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
-            total = found if total is None else [a + b for a, b in zip(total, found)]
-        if total is not None:
-            yield pd.DataFrame({"i": upper[0].astype("int32"), "j": upper[1].astype("int32"),
-                                **{k: t[upper] for k, t in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total)}})
-
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = values.mapInPandas(partial, schema)
-    return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+            xs, ms, squares = x[:, :height].T, m[:, :height].T, x * x
+            found = [ms @ m, xs @ m, ms @ x, squares[:, :height].T @ m, ms @ squares, xs @ x]
+            if total is None:
+                total = found
+            else:
+                for t, f in zip(total, found):
+                    t += f
+        for i in range(height if total is not None else 0):
+            j = np.arange(i + 1, width, dtype=np.int32) + np.int32(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(j), first + i, np.int32)), pa.array(j), *[pa.array(t[i, i + 1:]) for t in total]], names=["i", "j", *SUMS])
+
+    return _few_tasks(values).mapInArrow(partial, "i int, j int, " + ", ".join(f"{s} double" for s in SUMS))
 
 
 def correlation_prune(pairs: DataFrame, iv: DataFrame, limit=0.9) -> DataFrame:

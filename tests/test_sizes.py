@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendgauge.operators import screen
 from lendgauge.operators.ranks import quantiles
 from lendgauge.operators.screen import correlation_pairs
 from lendgauge.operators.split import tag_oot_by_share
@@ -30,6 +31,33 @@ def test_text_keys_order_rows_of_one_time(spark):
     assert tags[0] == tags[1] and sum(t == "oot" for t in tags[0].values()) == 120
 
 
+@pytest.mark.parametrize("pair_sums", [1, 25, 64])
+def test_strips_give_the_pairs_of_one_scan(spark, pair_sums):
+    rng = np.random.default_rng(pair_sums)
+    rows = [[None if v < -1.5 else float("nan") if v > 1.8 else float(v) for v in row] for row in rng.normal(size=(300, 12))]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} double" for i in range(12))).repartition(5)
+    assert len(list(screen._strips(12, pair_sums))) > 1
+    whole, strips = [{(r.feature_a, r.feature_b): r.corr for r in correlation_pairs(df, pair_sums=n).collect()} for n in (1 << 22, pair_sums)]
+    assert len(whole) == 66 and whole.keys() == strips.keys()
+    for pair, corr in whole.items():
+        assert abs(strips[pair] - corr) < 1e-12
+    none = correlation_pairs(df.where("false"), pair_sums=pair_sums).collect()
+    assert len(none) == 66 and all(r.corr is None for r in none)
+
+
+def test_thousand_columns_drop_what_all_pairs_drop(spark):
+    width, rng = 1000, np.random.default_rng(5)
+    base = rng.normal(size=(80, width // 4))
+    values = np.hstack([base + noise * rng.normal(size=base.shape) for noise in (0, 0.1, 0.5, 3)])
+    names = [f"x{i}" for i in range(width)]
+    df = spark.createDataFrame([(row.tolist(),) for row in values], "v array<double>").select(*[F.get("v", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    strength = rng.random(width)
+    iv = spark.createDataFrame(list(zip(names, strength.tolist())), "feature string, iv double")
+    got = {r.feature for r in screen.correlation_prune(correlation_pairs(df, names, pair_sums=1 << 18), iv, 0.9).collect()}
+    a, b = np.nonzero(np.triu(np.abs(np.corrcoef(values.T)) >= 0.9, 1))
+    assert got == {names[j if strength[i] >= strength[j] else i] for i, j in zip(a, b)} and len(got) > 200
+
+
 @pytest.mark.parametrize("width", [3, 30])
 def test_one_correlation_per_pair(spark, width):
     rng = np.random.default_rng(width)
