@@ -1,5 +1,7 @@
 """Scores from probabilities, automatic scaling and scoring with a saved model."""
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,37 +23,52 @@ def with_score(df: DataFrame, probability="proba", config=None, name="score") ->
 def auto_scale(df: DataFrame, probability="proba", min_score=300, max_score=900):
     """Scale settings that spread the scores over most of ``[min_score, max_score]``.
 
-    The score falls as the probability rises, so only the two extreme probabilities are needed.
-    ``converged`` tells whether the limits hold at the end.
+    The score falls as the probability rises, so only the two extreme probabilities are needed. The spread follows from ``pdo``
+    alone and is settled first, then the place from ``base_score``. ``converged`` tells whether the limits hold at the end; without
+    any probability the start is returned, not converged.
     """
     ends = df.agg(F.min(probability).alias("low"), F.max(probability).alias("high")).first()
-    base, odds, pdo = AUTO_START["base_score"], AUTO_START["base_odds"], AUTO_START["pdo"]
-    width = max_score - min_score
+    odds, width = AUTO_START["base_odds"], max_score - min_score
+    if ends["low"] is None:
+        return {**{k: float(v) for k, v in AUTO_START.items()}, "converged": False}
 
-    def span():
+    def extremes(pdo, base):
         return score_of(ends["high"], pdo, odds, base), score_of(ends["low"], pdo, odds, base)
 
-    low, high = span()
-    step, rounds = PDO_STEP, 0
-    while not NARROWEST * width < high - low < width and rounds < STEP_LIMIT:
-        pdo = max(1, pdo - step) if high - low >= width else pdo + step
-        low, high = span()
-        rounds += 1
-        if rounds % HALVE_EVERY == 0:
-            step = max(1, step // 2)
-    spread = NARROWEST * width < high - low < width
-    step, rounds = BASE_STEP, 0
-    while (low < min_score or high > max_score) and rounds < STEP_LIMIT:
-        if low < min_score:
-            base += step
-        if high > max_score:
-            base = max(0, base - step)
-        low, high = span()
-        rounds += 1
-        if rounds % HALVE_EVERY == 0:
-            step = max(1, step // 2)
-    inside = min_score <= low and high <= max_score
-    return {"base_score": float(base), "base_odds": float(odds), "pdo": float(pdo), "converged": spread and inside}
+    def spread(pdo):
+        low, high = extremes(pdo, AUTO_START["base_score"])
+        return int(high - low >= width) - int(high - low <= NARROWEST * width)
+
+    pdo = settled(AUTO_START["pdo"], spread, PDO_STEP, least=1)
+
+    def outside(base):
+        low, high = extremes(pdo, base)
+        return int(high > max_score) - int(low < min_score)
+
+    base = settled(AUTO_START["base_score"], outside, BASE_STEP, least=0)
+    low, high = extremes(pdo, base)
+    return {"base_score": float(base), "base_odds": float(odds), "pdo": float(pdo),
+            "converged": spread(pdo) == 0 and min_score <= low and high <= max_score}
+
+
+def settled(start, side, step, least):
+    """Where a setting rests that moves up where ``side`` is -1, down (to ``least`` at most) where it is 1, and not where it is 0.
+
+    ``side`` never falls as the setting rises. So moves of one length needn't be made one by one: the first that leaves the side is
+    found by bisection, and one that jumps over all resting places is followed by moves back and forth, of which only an odd one counts.
+    """
+    at = start
+    for _ in range(0, STEP_LIMIT, HALVE_EVERY):
+        here = side(at)
+        if not here:
+            break
+        after = [max(least, at - here * step * k) for k in range(HALVE_EVERY + 1)]
+        moves = bisect_left(after, True, key=lambda x: side(x) != here)
+        at = after[min(moves, HALVE_EVERY)]
+        if moves < HALVE_EVERY and side(at) == -here and (HALVE_EVERY - moves) % 2:
+            at = max(least, at + here * step)
+        step = max(1, step // 2)
+    return at
 
 
 def auto_scale_frame(df: DataFrame, probability="proba", min_score=300, max_score=900) -> DataFrame:
