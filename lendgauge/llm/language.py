@@ -22,6 +22,8 @@ SLICE = 1 << 18
 BOUND_AT_ONCE = 4096
 #: Bits that stand for learned trigrams: few enough to be sent to every task, so many that a strange trigram seldom hits one.
 KNOWN_BITS = 1 << 24
+#: A trigram is learned if at least this share of the texts of a language have it.
+LEARNED_FROM = 0.05
 #: A text has something in common with the learned languages from this share of learned trigrams on.
 KNOWN_SHARE = 0.1
 UNKNOWN = "und"
@@ -169,22 +171,39 @@ def _slots(codes):
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (KNOWN_BITS.bit_length() - 1))).astype(np.int64)
 
 
-def known_trigrams(docs: DataFrame, text="text", lang="lang"):
-    """Flag per trigram slot: whether a text with a language has such a trigram. Of fixed size, whatever the number of texts."""
-    def mark(batches):
-        flags = np.zeros(KNOWN_BITS, bool)
+def known_trigrams(docs: DataFrame, text="text", lang="lang", learned_from=LEARNED_FROM):
+    """Flag per trigram slot: whether it is in a share of ``learned_from`` or more of the texts of some language.
+
+    Shares of texts don't change with their number, so a few odd texts of a language teach nothing however large the corpus is. A
+    row counts as often as it is there; rows without a language count for nothing. The flags are of fixed size.
+    """
+    def count(batches):
+        held, waiting = {}, {}
+
+        def add(name):
+            slots, times = held.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            new, of_new = np.unique(np.concatenate(waiting.pop(name)), return_counts=True)
+            both, where = np.unique(np.concatenate([slots, new]), return_inverse=True)
+            held[name] = both, np.bincount(where, np.concatenate([times, of_new]), len(both)).astype(np.int64)
+
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                flags[_slots(trigram_codes(value))] = True
-        words = np.packbits(flags).view(np.int64)
-        held = np.flatnonzero(words)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(held.astype(np.int32)), "bits": pa.array(words[held])})
-
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"))
-    found = small_batches(rows).mapInArrow(mark, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+            for value, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting.setdefault(name, []).append(np.unique(_slots(trigram_codes(value))))
+            for name in [n for n, parts in waiting.items() if sum(map(len, parts)) >= SLICE]:
+                add(name)
+        for name in list(waiting):
+            add(name)
+        for name, (slots, times) in held.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(slots), pa.string()), "slot": pa.array(slots), "n": pa.array(times)})
+
+    rows = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("texts"))
+    often = (small_batches(rows).mapInArrow(count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+             .join(sizes, "lang").where(F.col("n") >= learned_from * F.col("texts")))
+    found = often.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).collect()
     words = np.zeros(KNOWN_BITS // 64, np.int64)
     words[[r.word for r in found]] = [r.bits for r in found]
-    return np.unpackbits(words.view(np.uint8)).astype(bool)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
 def with_known_share(docs: DataFrame, flags, text="text", into="known") -> DataFrame:

@@ -182,6 +182,30 @@ def test_texts_of_unlearned_scripts_are_rejected(spark):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()} | {800000 + i for i in range(len(short))}
 
 
+def test_a_few_labelled_texts_teach_no_script(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rng = random.Random(4)
+    strange = lambda n: "".join(rng.choice("абвгдежзиклмнопрстуф ") for _ in range(n)) + "я"
+    # One labelled text of a strange script, in five rows; crc32 decides who may teach, so several ids are given.
+    long = strange(3000)
+    taught = spark.createDataFrame([(600000 + i, long, "en") for i in range(5)], "doc_id long, text string, lang string")
+    planted = spark.createDataFrame([(700000 + i, strange(300)) for i in range(50)], "doc_id long, text string")
+    nothing = spark.createDataFrame([(None, None, "en"), (600100, "", "en"), (600101, "a", None)], "doc_id long, text string, lang string")
+    odd = docs.union(docs).unionByName(taught, allowMissingColumns=True).unionByName(planted, allowMissingColumns=True).unionByName(nothing, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, odd, FOLDER).select("doc_id").collect()}
+    assert not {i for i in kept if 600000 <= i < 600005 or 700000 <= i < 700050} and {r.doc_id for r in docs.select("doc_id").collect()} <= kept
+
+
+def test_known_trigrams_count_texts_of_a_language(spark):
+    rows = [("abc", "x")] * 19 + [("zzz", "x")] + [("qqq", None), (None, "x"), ("", "x")] + [("mno", "y")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    tell = spark.createDataFrame([("abc",), ("zzz",), ("qqq",), ("mno",), ("",)], "text string")
+    for share, wanted in ((0.05, {"abc", "mno"}), (1 / 21, {"abc", "mno", "zzz"})):
+        known = language.known_trigrams(docs, learned_from=share)
+        assert {r.text for r in language.with_known_share(tell, known).where("known > 0.5").collect()} == wanted
+    assert not language.known_trigrams(docs.where("false")).any()
+
+
 def test_empty_tables_pass_all_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
