@@ -263,52 +263,63 @@ def first_met(rules):
     return "CASE " + " ".join(f"WHEN {HITS[n]} THEN {n}" for n in rules) + " END"
 
 
-def rule_set_sql(order, kept_condition="true"):
-    """Cumulative figures of the rules in ``order``; a rule without new rows is left out under the condition."""
-    listing = ", ".join(f"({i}, {n})" for i, n in enumerate(order))
+def rule_set_sql(condition, order=None, sort_by="test", cut="true"):
+    """Figures of a rule set walked rule by rule, one part of the statement for each; a rule stays under ``condition`` on its new rows."""
+    listed = (f"SELECT i, rule_id AS n, rule, decay FROM cut_rules JOIN (VALUES {', '.join(f'({i}, {n})' for i, n in enumerate(order, 1))}) l(i, n) ON rule_id = n"
+              if order else f"SELECT row_number() OVER (ORDER BY r_{sort_by} DESC, rule_id) AS i, rule_id AS n, rule, decay FROM cut_rules WHERE {cut}")
+    parts = [f"cut_rules AS (SELECT *, {RULE_PSI} AS shift, r_train / (b_train / t_train) - r_test / (b_test / t_test) AS decay FROM measured)",
+             f"o AS MATERIALIZED ({listed})",
+             "hit AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT app_id, label, g, {n} AS n FROM tg WHERE {h}" for n, h in enumerate(HITS)) + ")",
+             "whole AS MATERIALIZED (SELECT COUNT(*) AS t, SUM(label) AS b, COUNT(*) FILTER (g = 'train') AS ttr, COUNT(*) FILTER (g = 'test') AS tte FROM tg)",
+             "c0 AS MATERIALIZED (SELECT app_id FROM tg WHERE false)"]
+    for i in range(1, len(RULES) + 1):
+        parts += [f"m{i} AS MATERIALIZED (SELECT app_id, label, g FROM hit JOIN o USING (n) WHERE i = {i} AND app_id NOT IN (SELECT app_id FROM c{i - 1}))",
+                  f"k{i} AS MATERIALIZED (SELECT *, ({condition}) AS keep FROM (SELECT {i} AS i, COUNT(*) AS new_total, CAST(COALESCE(SUM(label), 0) AS BIGINT) AS new_bad, "
+                  f"COUNT(*) FILTER (g = 'train') AS ntr, COUNT(*) FILTER (g = 'test') AS nte FROM m{i}) CROSS JOIN whole)",
+                  f"c{i} AS MATERIALIZED (SELECT app_id FROM c{i - 1} UNION ALL SELECT app_id FROM m{i} WHERE (SELECT keep FROM k{i}))"]
+    steps = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(1, len(RULES) + 1))
     return on_app(f"""
-SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS position, rule, new_total, new_bad, cum_total, cum_bad,
-  round(cum_bad / cum_total, 6) AS cum_bad_rate, round(cum_total / t, 6) AS cum_hit_rate, round((b - cum_bad) / (t - cum_total), 6) AS rest_bad_rate,
-  round(ctr / ttr, 6) AS train_cum_hit_rate, round(cte / tte, 6) AS test_cum_hit_rate,
-  round((cte / tte - ctr / ttr) * ln((cte / tte) / (ctr / ttr)), 6) AS psi
-FROM (SELECT i, rule, new_total, CAST(new_bad AS BIGINT) AS new_bad, CAST(SUM(new_total) OVER o AS BIGINT) AS cum_total,
-    CAST(SUM(new_bad) OVER o AS BIGINT) AS cum_bad, SUM(ntr) OVER o AS ctr, SUM(nte) OVER o AS cte, t, b, ttr, tte
-  FROM (SELECT i, rule, COUNT(*) FILTER (f = n) AS new_total, COALESCE(SUM(label) FILTER (f = n), 0) AS new_bad,
-      COUNT(*) FILTER (f = n AND g = 'train') AS ntr, COUNT(*) FILTER (f = n AND g = 'test') AS nte, COUNT(*) AS t, SUM(label) AS b,
-      COUNT(*) FILTER (g = 'train') AS ttr, COUNT(*) FILTER (g = 'test') AS tte
-    FROM met, (VALUES {listing}) l(i, n) JOIN measured ON rule_id = n GROUP BY ALL)
-  WHERE {kept_condition} WINDOW o AS (ORDER BY i ROWS UNBOUNDED PRECEDING))""", TAGGED, MEASURED,
-                  f"met AS (SELECT *, {first_met(order)} AS f FROM tg)")
+SELECT CAST(row_number() OVER (ORDER BY i) AS INT) AS position, rule, round(decay, 6) AS lift_decay, new_total, new_bad, new_total - new_bad AS new_good,
+  cum_total, cum_bad, cum_total - cum_bad AS cum_good, round(cum_bad / cum_total, 6) AS cum_bad_rate, round(cum_total / t, 6) AS cum_hit_rate,
+  round((cum_bad / cum_total) / (b / t), 6) AS cum_lift, round((b - cum_bad) / (t - cum_total), 6) AS rest_bad_rate,
+  round(((b - cum_bad) / (t - cum_total)) / (b / t), 6) AS rest_lift, round(ctr / ttr, 6) AS train_cum_hit_rate, round(cte / tte, 6) AS test_cum_hit_rate,
+  CASE WHEN ctr = 0 THEN 0 WHEN cte > 0 THEN round((cte / tte - ctr / ttr) * ln((cte / tte) / (ctr / ttr)), 6) END AS psi
+FROM (SELECT i, rule, decay, new_total, new_bad, CAST(SUM(new_total) OVER w AS BIGINT) AS cum_total, CAST(SUM(new_bad) OVER w AS BIGINT) AS cum_bad,
+    SUM(ntr) OVER w AS ctr, SUM(nte) OVER w AS cte, t, b, ttr, tte
+  FROM ({steps}) JOIN o USING (i) WHERE keep WINDOW w AS (ORDER BY i ROWS UNBOUNDED PRECEDING))""", TAGGED, MEASURED, *parts)
 
 
-SET_COLUMNS = ["position", "rule", "new_total", "new_bad", "cum_total", "cum_bad", "cum_bad_rate", "cum_hit_rate",
-               "rest_bad_rate", "train_cum_hit_rate", "test_cum_hit_rate", "psi"]
+BAD_RATE_HOLDS = "CASE WHEN new_total > 0 THEN new_bad / new_total ELSE 0 END >= b / t"
 
 
-@query("rule_set_all", rule_set_sql([5, 3, 0, 1, 4, 2]))
-def rule_set_all(spark, folder):
+def rule_set_of(spark, folder, policy, **settings):
     df = tagged(spark, folder)
-    order = [RULES[n] for n in (5, 3, 0, 1, 4, 2)]
-    return rounded(mining.rule_set(df, mining.rule_performance(df, RULES), 0, rules=order).select(*SET_COLUMNS))
+    return rounded(mining.rule_set(df, mining.rule_performance(df, RULES), policy, **settings))
+
 
+@query("rule_set_all", rule_set_sql("true", [5, 3, 0, 1, 4, 2]))
+def rule_set_all(spark, folder):
+    return rule_set_of(spark, folder, 0, rules=[RULES[n] for n in (5, 3, 0, 1, 4, 2)])
 
-@query("rule_set_new_rows", rule_set_sql([1, 4, 0, 3, 5, 2], "new_total > 0"))
+
+@query("rule_set_new_rows", rule_set_sql("new_total > 0", [1, 4, 0, 3, 5, 2]))
 def rule_set_new_rows(spark, folder):
-    df = tagged(spark, folder)
-    order = [RULES[n] for n in (1, 4, 0, 3, 5, 2)]
-    return rounded(mining.rule_set(df, mining.rule_performance(df, RULES), 1, rules=order).select(*SET_COLUMNS))
+    return rule_set_of(spark, folder, 1, rules=[RULES[n] for n in (1, 4, 0, 3, 5, 2)])
 
 
-@query("rule_set_new_bads")
+@query("rule_set_new_bads", rule_set_sql("new_bad > 0", sort_by="test", cut="shift <= 0.5"))
 def rule_set_new_bads(spark, folder):
-    df = tagged(spark, folder)
-    return rounded(mining.rule_set(df, mining.rule_performance(df, RULES), 2, sort_by="test", max_psi=0.5).select(*SET_COLUMNS))
+    return rule_set_of(spark, folder, 2, sort_by="test", max_psi=0.5)
 
 
-@query("rule_set_bad_rate")
+@query("rule_set_bad_rate", rule_set_sql(BAD_RATE_HOLDS, sort_by="all"))
 def rule_set_bad_rate(spark, folder):
-    df = tagged(spark, folder)
-    return rounded(mining.rule_set(df, mining.rule_performance(df, RULES), 3, sort_by="all").select(*SET_COLUMNS))
+    return rule_set_of(spark, folder, 3, sort_by="all")
+
+
+@query("rule_set_cut_by_decay", rule_set_sql(BAD_RATE_HOLDS, sort_by="train", cut="decay <= 0.2 AND shift <= 0.05"))
+def rule_set_cut_by_decay(spark, folder):
+    return rule_set_of(spark, folder, 3, sort_by="train", max_decay=0.2, max_psi=0.05)
 
 
 @query("captured_rows", on_app(
