@@ -476,25 +476,49 @@ def psi_trend(spark, folder):
     return rounded(monitor.psi_trend(logs, 10).select("batch_name", "psi", "psi_change"))
 
 
-@query("stream_drift", """
+def drift_sql(body, closed="true"):
+    """Statement over ``shifts``: PSI and rows of every 7-day window under ``closed``."""
+    return f"""
 WITH ends AS (SELECT min(value) AS lo, max(value) AS hi FROM events),
-b AS (SELECT time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS w, greatest(least(len(list_filter(range(0, 11), lambda i:
+b AS (SELECT ts, time_bucket(INTERVAL 7 DAYS, ts, TIMESTAMP '1970-01-01') AS w, greatest(least(len(list_filter(range(0, 11), lambda i:
     (CASE WHEN i = 10 THEN hi ELSE i * ((hi - lo) / 10) + lo END) <= value)), 10), 1) AS bin FROM events, ends WHERE value IS NOT NULL),
 x AS (SELECT bin, COUNT(*) / SUM(COUNT(*)) OVER () AS e FROM b GROUP BY bin),
 a AS (SELECT d.w, d.bin, COALESCE(n, 0) AS n, COALESCE(n, 0) / SUM(COALESCE(n, 0)) OVER (PARTITION BY d.w) AS s FROM
   (SELECT DISTINCT w, unnest(range(1, 11)) AS bin FROM b) d LEFT JOIN (SELECT w, bin, COUNT(*) AS n FROM b GROUP BY ALL) c
-  ON c.w = d.w AND c.bin = d.bin)
-SELECT strftime(w, '%Y-%m-%d') AS window_start, round(SUM((CASE WHEN s = 0 THEN 1e-6 ELSE s END - COALESCE(e, 1e-6))
-  * ln(CASE WHEN s = 0 THEN 1e-6 ELSE s END / COALESCE(e, 1e-6))), 6) AS psi, CAST(SUM(n) AS BIGINT) AS n
-FROM a LEFT JOIN x USING (bin) GROUP BY w""")
-def stream_drift(spark, folder):
+  ON c.w = d.w AND c.bin = d.bin),
+shifts AS (SELECT strftime(w, '%Y-%m-%d') AS window_start, SUM((CASE WHEN s = 0 THEN 1e-6 ELSE s END - COALESCE(e, 1e-6))
+  * ln(CASE WHEN s = 0 THEN 1e-6 ELSE s END / COALESCE(e, 1e-6))) AS psi, CAST(SUM(n) AS BIGINT) AS n
+  FROM a LEFT JOIN x USING (bin) WHERE {closed} GROUP BY w)
+{body}"""
+
+
+def event_counts(spark, folder, late):
+    """Windowed counts of the stream of events, and the rows of the whole table per bin."""
     table = spark.read.parquet(f"{folder}/events.parquet")
     edges = binning.equal_width_edges(table, ["value"], 10)["value"]
     base = binning.bin_counts(table, {"value": edges}, None, closed="left_highest", missing=None).collect()
     sizes = {r["bin"]: r["total"] for r in base}
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    counts = drift.windowed_counts(stream, "ts", "value", edges, "7 days", "3650 days")
+    return drift.windowed_counts(stream, "ts", "value", edges, "7 days", late), [sizes.get(b, 0) for b in range(1, 11)]
+
+
+@query("stream_drift", drift_sql("SELECT window_start, round(psi, 6) AS psi, n FROM shifts"))
+def stream_drift(spark, folder):
+    counts, baseline = event_counts(spark, folder, "7 days")
     place = new_place(spark, "stream")
     drift.start_counting(counts, f"{place}/counts", f"{place}/checkpoint", availableNow=True).awaitTermination()
-    result = drift.window_psi(drift.newest_counts(spark, f"{place}/counts"), [sizes.get(b, 0) for b in range(1, 11)])
+    result = drift.window_psi(drift.newest_counts(spark, f"{place}/counts"), baseline)
+    return rounded(result.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
+
+
+@query("stream_closed_windows", drift_sql("""
+SELECT window_start, round(psi, 6) AS psi, n, band, lag(band) OVER o AS band_before, COALESCE(band <> lag(band) OVER o, false) AS changed
+FROM (SELECT *, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi > 0.25 THEN 'unstable' ELSE 'attention' END AS band FROM shifts)
+WINDOW o AS (ORDER BY window_start)""", "w + INTERVAL 7 DAYS <= (SELECT max(ts) - INTERVAL 1 DAY FROM b)"))
+def stream_closed_windows(spark, folder):
+    """Bands of the windows that the watermark, a day behind the newest event, has passed."""
+    counts, baseline = event_counts(spark, folder, "1 day")
+    place = new_place(spark, "stream")
+    drift.start_closing(counts, f"{place}/closed", f"{place}/checkpoint", availableNow=True).awaitTermination()
+    result = drift.band_changes(drift.window_psi(spark.read.parquet(f"{place}/closed"), baseline))
     return rounded(result.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))

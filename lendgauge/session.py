@@ -63,5 +63,21 @@ def removed(spark: SparkSession, path: str):
     """Delete a folder that :func:`new_place` named, when nothing reads it any more."""
     if not path.startswith(shared_folder(spark).rstrip("/") + "/"):
         raise ValueError(f"{path} isn't in the shared folder")
+    deleted(spark, path)
+
+
+def _place(spark, path):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def deleted(spark: SparkSession, path: str):
+    """Delete a folder, on whatever file system it is."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def finished(spark: SparkSession, folder: str) -> list:
+    """Names of the tables in ``folder`` that were written to an end; none if there is no such folder."""
+    place, files = _place(spark, folder.rstrip("/") + "/*/_SUCCESS")
+    return [status.getPath().getParent().getName() for status in files.globStatus(place) or []]

@@ -97,6 +97,54 @@ def test_stream_counts_equal_batch_counts(spark, tmp_path):
     assert len(shifts) == len({w for w, _ in batch}) and all(r["psi"] >= 0 for r in shifts)
 
 
+def days(spark, *rows):
+    return spark.createDataFrame([(f"2024-{d} 10:00:00", s) for d, s in rows], "t string, score double").select(F.to_timestamp("t").alias("ts"), "score")
+
+
+def test_closed_windows_come_once_without_late_rows(spark, tmp_path):
+    source, closed, place = (str(tmp_path / name) for name in ("in", "closed", "checkpoint"))
+    first = days(spark, ("01-01", 1.0), ("01-02", 2.0), ("01-08", 1.0), ("01-20", 3.0), ("01-20", None))
+
+    def run():
+        stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        counts = drift.windowed_counts(stream, "ts", "score", [0.0, 1.5, 3.0, 4.0], "7 days", "2 days")
+        drift.start_closing(counts, closed, place, availableNow=True).awaitTermination()
+        return sorted((str(r["window_start"])[:10], r["bin"], r["n"]) for r in spark.read.parquet(closed).collect())
+
+    first.coalesce(1).write.parquet(source)
+    # Weeks begin on Thursdays; the newest row is of the 20th, so weeks that end by the 18th are closed.
+    begun = [("2023-12-28", 1, 1), ("2023-12-28", 2, 1), ("2024-01-04", 1, 1)]
+    assert run() == begun and run() == begun
+    # The first row is too late, the second not.
+    days(spark, ("01-05", 1.0), ("01-19", 1.0)).coalesce(1).write.mode("append").parquet(source)
+    assert run() == begun
+    days(spark, ("02-20", 1.0)).coalesce(1).write.mode("append").parquet(source)
+    assert run() == [*begun, ("2024-01-18", 1, 1), ("2024-01-18", 3, 1)]
+
+
+def test_a_repeated_micro_batch_counts_once_and_old_tables_go(spark, tmp_path):
+    folder = str(tmp_path / "counts")
+    batch = lambda *rows: spark.createDataFrame(rows, "window_start string, bin int, n long")
+    newest = lambda: sorted(tuple(r) for r in drift.newest_counts(spark, folder).collect())
+    assert drift.generations(spark, folder) == []
+    drift.merge_counts(batch(("a", 1, 5), ("a", 2, 1)), 0, folder)
+    for _ in range(2):
+        drift.merge_counts(batch(("a", 1, 7), ("b", 1, 2)), 1, folder)
+        assert newest() == [("a", 1, 7), ("a", 2, 1), ("b", 1, 2)]
+    for number in range(2, 6):
+        drift.merge_counts(batch(("b", 1, number)), number, folder)
+    assert newest() == [("a", 1, 7), ("a", 2, 1), ("b", 1, 5)] and drift.generations(spark, folder) == [4, 5]
+    # Written only in part: the one before counts.
+    (tmp_path / "counts" / "counts-6").mkdir()
+    assert newest()[-1] == ("b", 1, 5)
+
+
+def test_band_changes(spark):
+    shifts = spark.createDataFrame([("a", 0.05), ("b", 0.2), ("c", 0.2), ("d", 0.3)], "window_start string, psi double")
+    assert [(r["band_before"], r["changed"]) for r in drift.band_changes(shifts).orderBy("window_start").collect()] == [
+        (None, False), ("stable", True), ("attention", False), ("attention", True)]
+
+
 # ---------------------------------------------------------------- screening
 
 def test_screen_order_and_text_majority(spark):
