@@ -1,5 +1,6 @@
 """Queries that fit models, mine rules and monitor batches and streams."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...operators import binning, boosting, evaluate, mining, monitor, psi, random_trees, scoring, train, woe
@@ -126,27 +127,44 @@ def single_feature_trials(spark, folder):
 
 KS_PART = ("tr AS (SELECT feature, " + ", ".join(f"max(CASE WHEN target = '{s}' THEN ks END) AS {s}_ks" for s in SETS)
            + " FROM woe GROUP BY feature)")
-PENALTY = "-(abs(train_ks - oot_ks) + abs(train_ks - valid_ks))"
-OBJECTIVES = {
-    1: "oot_ks - 0.2::DOUBLE * abs(train_ks - oot_ks) - 0.2::DOUBLE * abs(valid_ks - oot_ks)",
-    2: "train_ks - 0.2::DOUBLE * abs(train_ks - oot_ks)",
-    3: f"CASE WHEN greatest(abs(train_ks - oot_ks), abs(train_ks - valid_ks), abs(valid_ks - oot_ks)) < 0.03 THEN oot_ks ELSE {PENALTY} END",
-    6: f"CASE WHEN abs(train_ks - oot_ks) < 0.3 AND abs(train_ks - valid_ks) < 0.1 THEN oot_ks ELSE {PENALTY} END",
-    7: "valid_ks",
-    10: f"CASE WHEN abs(train_ks - oot_ks) < 0.1 AND abs(train_ks - valid_ks) < 0.1 THEN (valid_ks + oot_ks) / 2 ELSE {PENALTY} END",
-    11: "CASE WHEN abs(train_ks - valid_ks) < 0.03 THEN valid_ks ELSE -abs(train_ks - valid_ks) END",
-}
+def objectives():
+    """Expression of every objective over the columns of ``tr``, by number."""
+    gap = lambda a, b, m: f"abs({a}_{m} - {b}_{m})"
+    penalty = lambda m: f"-({gap('train', 'oot', m)} + {gap('train', 'valid', m)})"
+    aligned = lambda limit, m="ks": (
+        f"CASE WHEN greatest({gap('train', 'oot', m)}, {gap('train', 'valid', m)}, {gap('valid', 'oot', m)}) < {limit} THEN oot_{m} ELSE {penalty(m)} END")
+    near = lambda limit, m="ks": f"CASE WHEN {gap('train', 'valid', m)} < {limit} THEN valid_{m} ELSE -{gap('train', 'valid', m)} END"
+    both = f"{gap('train', 'oot', 'ks')} < 0.1 AND {gap('train', 'valid', 'ks')} < 0.1"
+    found = {
+        1: f"oot_ks - 0.2::DOUBLE * {gap('train', 'oot', 'ks')} - 0.2::DOUBLE * {gap('valid', 'oot', 'ks')}",
+        2: f"train_ks - 0.2::DOUBLE * {gap('train', 'oot', 'ks')}",
+        3: aligned(0.03), 4: aligned(0.02), 5: aligned(0.04), 1348: aligned(0.05), 1349: aligned(0.03), 1350: aligned(0.02), 26: aligned(0.03, "auc"),
+        6: f"CASE WHEN {gap('train', 'oot', 'ks')} < 0.3 AND {gap('train', 'valid', 'ks')} < 0.1 THEN oot_ks ELSE {penalty('ks')} END",
+        10: f"CASE WHEN {both} THEN (valid_ks + oot_ks) / 2 ELSE {penalty('ks')} END",
+        11: near(0.03), 12: near(0.03), 20: near(0.02, "auc"),
+        201: f"CASE WHEN {both} THEN (valid_ks + oot_ks) * 0.9::DOUBLE + oot_lift * 0.1::DOUBLE ELSE {penalty('ks')} END"}
+    return found | {k: "valid_ks" for k in (7, 8, 9)} | {k: "valid_auc" for k in (21, 22, 23, 24, 25, 27)}
+
+
+OBJECTIVES = objectives()
+#: A trial per feature: KS and AUC of its bins, in their order, and the lift of the last bin.
+FEATURE_TRIALS = ("ft AS (SELECT feature, target, max(ks) AS ks, SUM(bad / tb * (good_cum - good / 2) / tg) AS auc, arg_max(lift, bin) AS lift FROM woe GROUP BY ALL)",
+                  "tr AS (SELECT feature, max(lift) FILTER (target = 'oot') AS oot_lift, "
+                  + ", ".join(f"max({m}) FILTER (target = '{s}') AS {s}_{m}" for s in SETS for m in ("ks", "auc")) + " FROM ft GROUP BY feature)")
 
 
 @query("trial_objectives", on_app(
     "SELECT feature, " + ", ".join(f"round({e}, 6) AS objective_{k}" for k, e in OBJECTIVES.items()) + " FROM tr",
-    *BINNED, woe_part(["feature", "target"]), KS_PART))
+    *BINNED, woe_part(["feature", "target"]), *FEATURE_TRIALS))
 def trial_objectives(spark, folder):
-    trials = single_feature_trials(spark, folder)
-    absent = F.lit(None).cast("double")
-    return rounded(trials.select("feature", *[
-        train.objective(k, 0.03, train_auc=absent, valid_auc=absent, oot_auc=absent, oot_top_5_lift=absent).alias(f"objective_{k}")
-        for k in OBJECTIVES]))
+    app, cuts = app_and_cuts(spark, folder)
+    bins = woe.woe_table(app, cuts, by=["target"])
+    group = Window.partitionBy("feature", "target")
+    rated = bins.withColumn("_part", F.col("bad") / F.sum("bad").over(group) * (F.sum("good").over(group.orderBy("bin")) - F.col("good") / 2) / F.sum("good").over(group))
+    measured = rated.groupBy("feature", "target").agg(F.max("ks").alias("ks"), F.sum("_part").alias("auc"), F.max_by("lift", "bin").alias("lift"))
+    of = lambda s, m: F.max(F.when(F.col("target") == s, F.col(m)))
+    trials = measured.groupBy("feature").agg(of("oot", "lift").alias("oot_top_5_lift"), *[of(s, m).alias(f"{s}_{m}") for s in SETS for m in ("ks", "auc")])
+    return rounded(trials.select("feature", *[train.objective(k, 0.03).alias(f"objective_{k}") for k in OBJECTIVES]))
 
 
 @query("best_trial", on_app("SELECT feature, round(oot_ks, 6) AS oot_ks FROM tr ORDER BY oot_ks DESC, feature LIMIT 1",
