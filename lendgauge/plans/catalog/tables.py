@@ -23,14 +23,17 @@ def read_orders(spark, folder):
         "o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
-@query("table_shape_lineitem", """
-WITH c AS (SELECT row_number() OVER () - 1 AS position, name FROM (SELECT unnest([
-  'l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax',
-  'l_returnflag', 'l_linestatus', 'l_shipdate']) AS name))
-SELECT CAST(position AS INT) AS position, name AS column_name, (SELECT COUNT(*) FROM lineitem) AS n_rows,
-       CAST((SELECT COUNT(*) FROM c) AS INT) AS n_cols FROM c""")
+LINEITEM_TYPES = {
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+    "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "timestamp_ntz"}
+
+
+@query("table_shape_lineitem", " UNION ALL ".join(
+    f"SELECT CAST({i} AS INT) AS position, '{c}' AS column_name, '{kind}' AS data_type, COUNT(*) AS n_rows, CAST({len(LINEITEM_TYPES)} AS INT) AS n_cols FROM lineitem"
+    for i, (c, kind) in enumerate(LINEITEM_TYPES.items())))
 def table_shape_lineitem(spark, folder):
-    return table_shape(read_table(spark, f"{folder}/lineitem.parquet")).drop("data_type")
+    return table_shape(read_table(spark, f"{folder}/lineitem.parquet"))
 
 
 @query("preview_nation", "SELECT CAST(to_json(n) AS VARCHAR) AS record FROM nation n")
@@ -141,13 +144,13 @@ def top_missing(spark, folder):
 
 
 @query("suspect_columns", """
-SELECT 'doc_id' AS column_name, 'identifier name' AS reason UNION ALL
-SELECT 'text', 'many distinct texts' FROM documents HAVING COUNT(DISTINCT text) > greatest(COUNT(*) * 0.5, 100)
-UNION ALL SELECT 'lang', 'many distinct texts' FROM documents HAVING COUNT(DISTINCT lang) > greatest(COUNT(*) * 0.5, 100)
-UNION ALL SELECT 'source', 'many distinct texts' FROM documents
+SELECT 'doc_id' AS column_name, 'bigint' AS data_type, 'identifier name' AS reason UNION ALL
+SELECT 'text', 'string', 'many distinct texts' FROM documents HAVING COUNT(DISTINCT text) > greatest(COUNT(*) * 0.5, 100)
+UNION ALL SELECT 'lang', 'string', 'many distinct texts' FROM documents HAVING COUNT(DISTINCT lang) > greatest(COUNT(*) * 0.5, 100)
+UNION ALL SELECT 'source', 'string', 'many distinct texts' FROM documents
   HAVING COUNT(DISTINCT source) > greatest(COUNT(*) * 0.5, 100)""")
 def suspect_columns(spark, folder):
-    return profile.suspect_columns(spark.read.parquet(f"{folder}/documents.parquet")).drop("data_type")
+    return profile.suspect_columns(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
 # ---------------------------------------------------------------- cleaning and expressions
