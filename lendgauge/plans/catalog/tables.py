@@ -98,9 +98,10 @@ def top_share(spark, folder):
 
 
 @query("distinct_profile", on_app(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS n_distinct FROM app" for c in PROFILED)))
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n_distinct, round(max(n) / SUM(n), 6) AS top_share FROM "
+    f"(SELECT COUNT(*) AS n FROM app WHERE {c} IS NOT NULL GROUP BY {c})" for c in PROFILED)))
 def distinct_profile(spark, folder):
-    return profile.distinct_profile(applications(spark, folder, PROFILED)).select("column_name", "n_distinct")
+    return rounded(profile.distinct_profile(applications(spark, folder, PROFILED)))
 
 
 @query("dataset_summary", on_app(" UNION ALL ".join(
