@@ -83,30 +83,74 @@ def _chi_square(g1, b1, g2, b2):
     return (g1 + b1 + g2 + b2) * (g1 * b2 - g2 * b1) ** 2 / sides if sides else 0.0
 
 
-def chi_merge(pdf, bins):
+#: Pairs of neighbours a merge holds in its heap at a time.
+HEAP_PAIRS = 200_000
+
+
+#: Up to so many rows of a pair all its products are whole numbers below 2**53, so that an array gives the cost to the last bit.
+EXACT_ROWS = 1_500
+
+
+def _pair_costs(good, bad, left, right):
+    """:func:`_chi_square` of many pairs."""
+    g1, b1, g2, b2 = good[left], bad[left], good[right], bad[right]
+    rows = g1 + b1 + g2 + b2
+    few = rows <= EXACT_ROWS
+    sides = np.where(few, (g1 + b1) * (g2 + b2) * (g1 + g2) * (b1 + b2), 0)
+    costs = np.divide(rows * (g1 * b2 - g2 * b1) ** 2, sides, out=np.zeros(len(left)), where=sides > 0)
+    # All pairs of a feature together have twice its rows, so large ones are few.
+    for k in np.flatnonzero(~few).tolist():
+        costs[k] = _chi_square(int(g1[k]), int(b1[k]), int(g2[k]), int(b2[k]))
+    return costs
+
+
+def chi_merge(pdf, bins, heap_pairs=HEAP_PAIRS):
     """Cuts of one feature after the most alike neighbours were joined, one pair after the other, until ``bins`` intervals are left.
 
-    Intervals are a linked list, pairs a heap by cost and place; a pair whose intervals have changed since is passed over.
+    Intervals are a linked list in arrays, pairs a heap by cost and place; a pair whose intervals have changed since is passed over.
+    The heap holds the ``heap_pairs`` most alike pairs and those that become as alike; when none is left it is filled again.
     """
-    pdf = pdf.sort_values("value")
-    value, good, bad = (pdf[c].tolist() for c in ("value", "good", "bad"))
-    n = len(value)
-    before, after, stamp = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
-    cost = lambda i, j: _chi_square(good[i], bad[i], good[j], bad[j])
-    heap = [(cost(i, i + 1), i, i + 1, 0, 0) for i in range(n - 1)]
-    heapq.heapify(heap)
-    left = n
-    while left > bins and heap:
-        _, i, j, a, b = heapq.heappop(heap)
-        if stamp[i] != a or stamp[j] != b:
-            continue
-        good[i], bad[i], value[i] = good[i] + good[j], bad[i] + bad[j], value[j]
-        after[i], stamp[j], left = after[j], -1, left - 1
-        stamp[i] += 1
-        if after[i] < n:
-            before[after[i]] = i
-            heapq.heappush(heap, (cost(i, after[i]), i, after[i], stamp[i], stamp[after[i]]))
-        if before[i] >= 0:
-            heapq.heappush(heap, (cost(before[i], i), before[i], i, stamp[before[i]], stamp[i]))
-    kept = [v for v, s in zip(value, stamp) if s >= 0]
+    order = np.argsort(pdf["value"].to_numpy(), kind="stable")
+    value, good, bad = (pdf[c].to_numpy()[order] for c in ("value", "good", "bad"))
+    good, bad = good.astype(np.int64), bad.astype(np.int64)
+    n = left = len(value)
+    before, after, stamp = np.arange(-1, n - 1), np.arange(1, n + 1), np.zeros(n, np.int64)
+    while left > bins:
+        heap, limit = [], None
+        places = np.flatnonzero((stamp >= 0) & (after < n))
+        costs = _pair_costs(good, bad, places, after[places])
+        if len(places) > heap_pairs:
+            # The limit is a pair (cost, place), so that equal costs are cut by place.
+            most = np.partition(costs, heap_pairs - 1)[heap_pairs - 1]
+            taken = costs < most
+            equal = np.flatnonzero(costs == most)[:heap_pairs - int(taken.sum())]
+            limit = (float(most), int(places[equal[-1]]))
+            taken[equal] = True
+            places, costs = places[taken], costs[taken]
+        heap = [(c, i, j, a, b) for c, i, j, a, b in zip(
+            costs.tolist(), places.tolist(), after[places].tolist(), stamp[places].tolist(), stamp[after[places]].tolist())]
+        del places, costs
+        heapq.heapify(heap)
+
+        def offer(i, j):
+            cost = _chi_square(int(good[i]), int(bad[i]), int(good[j]), int(bad[j]))
+            if limit is None or (cost, i) <= limit:
+                heapq.heappush(heap, (cost, i, j, int(stamp[i]), int(stamp[j])))
+
+        while left > bins and heap:
+            _, i, j, a, b = heapq.heappop(heap)
+            if stamp[i] != a or stamp[j] != b:
+                continue
+            good[i] += good[j]
+            bad[i] += bad[j]
+            value[i] = value[j]
+            after[i], stamp[j], left = after[j], -1, left - 1
+            stamp[i] += 1
+            following, earlier = int(after[i]), int(before[i])
+            if following < n:
+                before[following] = i
+                offer(i, following)
+            if earlier >= 0:
+                offer(earlier, i)
+    kept = value[stamp >= 0].tolist()
     return pd.DataFrame({"feature": pdf["feature"].iloc[0], "cut": kept[:-1]}, columns=["feature", "cut"])

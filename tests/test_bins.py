@@ -1,12 +1,15 @@
 import math
 import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lendgauge.functions.bins import INF, bin_number, equal_width, with_infinite_ends
+from lendgauge.functions import in_task
 from lendgauge.operators import binning, woe
 
 
@@ -119,6 +122,26 @@ def test_chi_merge_equals_plain_merging(spark, values, bins):
     assert binning.chi_merge_edges(df, ["x", "empty"], "label", bins) == {"x": [-INF, *plain_chi_merge(rows, bins), INF], "empty": [-INF, INF]}
 
 
+@pytest.mark.parametrize("rows", [3, 5_000])
+def test_chi_merge_with_a_small_heap(rows):
+    rng = np.random.default_rng(rows)
+    pdf = pd.DataFrame({"feature": "x", "value": rng.permutation(600) / 4, "good": rng.integers(1, rows, 600), "bad": rng.integers(0, rows, 600)})
+    whole = in_task.chi_merge(pdf, 5)["cut"].tolist()
+    assert len(whole) == 4
+    assert [in_task.chi_merge(pdf, 5, pairs)["cut"].tolist() for pairs in (1, 7, 100)] == [whole] * 3
+
+
+def test_chi_merge_holds_few_bytes_per_interval():
+    n = 60_000
+    pdf = pd.DataFrame({"feature": "x", "value": np.arange(n) / 4, "good": np.arange(n) % 2 * 2, "bad": (np.arange(n) + 1) % 2})
+    tracemalloc.start()
+    try:
+        in_task.chi_merge(pdf, n - 10, 1_000)
+        assert tracemalloc.get_traced_memory()[1] < 200 * n
+    finally:
+        tracemalloc.stop()
+
+
 def test_woe_table_by_hand(spark):
     # bin 1: 3 good 1 bad, bin 2: 1 good 3 bad, bin 3 empty, missing: 2 good.
     rows = [(1.0, 0)] * 3 + [(1.0, 1)] + [(2.0, 0)] + [(2.0, 1)] * 3 + [(None, 0)] * 2
