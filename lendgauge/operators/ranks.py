@@ -1,6 +1,8 @@
 """Exact order statistics and running totals without sorting a large group in one task.
 
-``quantiles`` and ``order_statistics`` narrow every wanted rank to a small open interval: an
+``quantiles`` counts the distinct values of large groups and finds all wanted ranks in their running totals.
+
+``order_statistics`` narrows every wanted rank to a small open interval: an
 approximate sketch proposes the interval, exact counts below and inside it confirm it, and only
 when few rows are left are their distinct values looked at. Each round is one aggregation with
 map-side combining; no row is shuffled until the interval is small.
@@ -11,6 +13,7 @@ adds the total of the buckets before. The cuts only decide how the work is sprea
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +22,8 @@ from pyspark.sql import types as T
 SMALL_GROUP = 1_000_000
 # Values of all columns together that a task may hold.
 TASK_VALUES = 4_000_000
+# The built-in percentile walks the values of a group once for every probability: so many steps are left to it.
+TASK_STEPS = 1_000_000
 GRID = 200
 SKETCH_ACCURACY = 10_000
 MAX_BUCKETS = 1024
@@ -42,7 +47,7 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), small_group=SMALL_GR
     sizes = df.groupBy(*by).agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).collect()
     counts = {tuple(r[k] for k in by): {c: r[f"n{i}"] for i, c in enumerate(columns)} for r in sizes}
     largest = max((n for group in counts.values() for n in group.values()), default=0)
-    if largest <= small_group:
+    if largest <= small_group and largest * len(probabilities) <= TASK_STEPS:
         # A task holds the values of a group in all columns it is asked for: few enough of them at a time.
         width = max(TASK_VALUES // max(largest, 1), 1)
         result = {group: {} for group in counts}
@@ -51,21 +56,46 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), small_group=SMALL_GR
                 result[group].update(found)
         return result
 
-    long = unpivot_numeric(df, by, columns)
-    ranks = {}
+    wanted = {}
     for group, per_column in counts.items():
         for c, n in per_column.items():
             if n:
-                ranks[group + (c,)] = sorted({r for p in probabilities for r in _neighbours(p, n)})
-    known = {group + (c,): n for group, per in counts.items() for c, n in per.items() if n}
-    found = order_statistics(long, "value", ranks, by + ["feature"], small_group, sizes=known)
-    result = {}
-    for group, per_column in counts.items():
-        result[group] = {
-            c: [_interpolate(found[group + (c,)], p, n) for p in probabilities] if n else None
-            for c, n in per_column.items()
-        }
-    return result
+                wanted[group + (c,)] = n, sorted({r for p in probabilities for r in _neighbours(p, n)})
+    found = _ranked_values(unpivot_numeric(df, by, columns), [*by, "feature"], wanted, small_group) if wanted else {}
+    return {
+        group: {c: [_interpolate(found[group + (c,)], p, n) for p in probabilities] if n else None for c, n in per_column.items()}
+        for group, per_column in counts.items()}
+
+
+def _ranked_values(long, keys, wanted, small_group):
+    """``{key: {rank: value}}`` of ``wanted = {key: (rows, [ranks])}``, from running counts over the distinct values.
+
+    A key's ranks lie in equal cells, so that a value is compared with the ranks of the cells it covers and not with all of them:
+    together the values of a key cover no more cells than there are values and cells.
+    """
+    spark, rows = long.sparkSession, long.where(F.col("value").isNotNull())
+    fields = [T.StructField(f"_w{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
+    cells = max(len(ranks) for _, ranks in wanted.values())
+    ranks = spark.createDataFrame(
+        [(*key, n, r * cells // n, r) for key, (n, own) in wanted.items() for r in own],
+        T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("_rows", "_cell", "_rank")]]))
+    sizes = spark.createDataFrame([(*key, n) for key, (n, _) in wanted.items()], T.StructType([*fields, T.StructField("_rows", T.LongType())]))
+    counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ended = running_totals(counted, keys, "value", ["_n"], small_group)
+        of_key = lambda table: [ended[k].eqNullSafe(table[f"_w{i}"]) for i, k in enumerate(keys)]
+        cell = lambda place: F.expr(f"({place}) * {cells} div _rows")
+        spread = ended.join(F.broadcast(sizes), of_key(sizes)).select(
+            *keys, "value", F.col("cum__n").alias("_end"), (F.col("cum__n") - F.col("_n")).alias("_start"),
+            F.explode(F.sequence(cell("cum__n - _n"), cell("cum__n - 1"))).alias("_at"))
+        same = [spread[k].eqNullSafe(ranks[f"_w{i}"]) for i, k in enumerate(keys)]
+        hit = spread.join(F.broadcast(ranks), [*same, F.col("_at") == F.col("_cell")]).where("_rank >= _start AND _rank < _end")
+        found = {key: {} for key in wanted}
+        for r in hit.select(*keys, "_rank", "value").collect():
+            found[tuple(r)[:-2]][r["_rank"]] = r["value"]
+        return found
+    finally:
+        counted.unpersist()
 
 
 def _quantiles_in_memory(df, columns, probabilities, by):

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lendgauge.operators import ranks
 from lendgauge.operators.ranks import order_statistics, quantiles, running_totals
 
 SHARES = [0.0, 0.05, 0.1, 1 / 3, 0.5, 0.75, 0.9, 0.999, 1.0]
@@ -59,3 +60,26 @@ def test_running_totals(spark, small_group):
 def test_sketch_never_decides_the_result(spark):
     df = spark.range(5000).select((F.col("id") % 7).cast("double").alias("x"))
     assert quantiles(df, ["x"], [0.5, 0.9], (), 10)[()]["x"] == [3.0, 6.0]
+
+
+def refused(*args, **kwargs):
+    raise AssertionError("many ranks of a large group are not found this way")
+
+
+@pytest.mark.parametrize("small_group", [1_000_000, 50])
+def test_many_quantiles_come_from_running_counts(spark, monkeypatch, small_group):
+    """No task walks all values per probability, and no row is compared with all wanted ranks."""
+    generator = np.random.default_rng(7)
+    values = {"x": generator.normal(0, 1, 5000).round(2), "y": np.where(np.arange(5000) % 3, 4.0, generator.random(5000))}
+    groups = [("a", None)[i % 2] for i in range(5000)]
+    df = spark.createDataFrame([(g, float(x), float(y), None) for g, x, y in zip(groups, values["x"], values["y"])], "g string, x double, y double, z double")
+    shares = [i / 255 for i in range(1, 255)]
+    monkeypatch.setattr(ranks, "TASK_STEPS", 1000)
+    for name in ("_quantiles_in_memory", "order_statistics"):
+        monkeypatch.setattr(ranks, name, refused)
+    found = quantiles(df, ["x", "y", "z"], shares, ["g"], small_group)
+    for g in ("a", None):
+        own = np.array([k == g for k in groups])
+        for c in ("x", "y"):
+            assert np.allclose(found[(g,)][c], np.quantile(values[c][own], shares), atol=1e-12)
+        assert found[(g,)]["z"] is None
