@@ -57,10 +57,10 @@ def times_drawn(pick, seed, tree):
 
 
 class Batch:
-    """Rows of an Arrow batch: matrix of values, label, and per tree how often they count and the node they are in."""
+    """Rows of an Arrow batch: columns of values, label, and per tree how often they count and the node they are in."""
 
     def __init__(self, batch, width):
-        self.x = np.column_stack([batch.column(f"x{i}").to_numpy() for i in range(width)])
+        self.x = [batch.column(f"x{i}").to_numpy() for i in range(width)]
         self.y = batch.column("y").to_numpy()
         self.pick = batch.column("pick").to_numpy()
 
@@ -72,7 +72,7 @@ class Batch:
         for i in sorted(splits):
             f, at = splits[i]
             inside = node == i
-            node[inside] = 2 * i + 2 - (self.x[rows[inside], f] <= at)
+            node[inside] = 2 * i + 2 - (self.x[f][rows[inside]] <= at)
         return rows, times[rows], node
 
 
@@ -86,16 +86,14 @@ def ranges(state, width, trees, open_nodes, seed, bootstrap):
             held = Batch(batch, width)
             for t, nodes in open_nodes.items():
                 rows, _, node = held.of_tree(splits[t], t, seed, bootstrap)
-                order = np.argsort(node, kind="stable")
-                own, first = np.unique(node[order], return_index=True)
-                if not len(own):
-                    continue
-                x = held.x[rows[order]]
-                low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
-                for k, i in enumerate(own.tolist()):
-                    if i in nodes:
-                        a, b = found.get((t, i), (low[k], high[k]))
-                        found[t, i] = np.minimum(a, low[k]), np.maximum(b, high[k])
+                for i in nodes:
+                    own = rows[node == i] if splits[t] else rows
+                    if not len(own):
+                        continue
+                    values = [x[own] for x in held.x]
+                    low, high = np.array([v.min() for v in values]), np.array([v.max() for v in values])
+                    a, b = found.get((t, i), (low, high))
+                    found[t, i] = np.minimum(a, low), np.maximum(b, high)
         keys = list(found)
         yield pa.RecordBatch.from_pydict({
             "tree": pa.array([t for t, _ in keys], pa.int32()), "node": pa.array([i for _, i in keys], pa.int32()),
@@ -134,10 +132,10 @@ def split_counts(state, width, trees, drawn, seed, bootstrap):
                 rows, times, node = held.of_tree(splits[t], t, seed, bootstrap)
                 for i, options in nodes.items():
                     inside = node == i
-                    own, n = rows[inside], times[inside]
+                    own, n = (rows[inside], times[inside]) if splits[t] else (rows, times)
                     bad = n * held.y[own]
-                    for p, (f, at) in [(-1, (0, np.inf)), *enumerate(options)]:
-                        left = held.x[own, f] <= at
+                    for p, (f, at) in [(-1, (None, None)), *enumerate(options)]:
+                        left = held.x[f][own] <= at if f is not None else slice(None)
                         total = sums.setdefault((t, i, p), [0, 0])
                         total[0] += int(n[left].sum())
                         total[1] += int(bad[left].sum())
