@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import new_place, removed
 from .common import pieces, small_batches
 from .repeats import candidates, marked_parts, per_text, text_key, window_marks
 from .rolling import joined, mixed, range_sums
@@ -98,10 +98,23 @@ def chains(parts: DataFrame, length=LENGTH) -> DataFrame:
     return small_batches(parts.select("id", "part")).mapInArrow(read, "chain bigint, syms array<bigint>")
 
 
-def running(keys: DataFrame, columns, counts) -> DataFrame:
+def stored(df: DataFrame, places) -> DataFrame:
+    """``df`` as Parquet in the shared folder; its path is added to ``places``."""
+    places.append(new_place(df.sparkSession, "suffixes"))
+    df.write.parquet(places[-1])
+    return df.sparkSession.read.parquet(places[-1])
+
+
+def given_up(spark, places):
+    """Delete what nothing reads any more."""
+    while places:
+        removed(spark, places.pop())
+
+
+def running(keys: DataFrame, columns, counts, places) -> DataFrame:
     """Different ``columns`` of ``keys`` with, for each of ``counts``, the sum over all smaller ones as ``less_<count>``.
 
-    Equal keys are summed first. Ranges of keys are sorted apart, and add the totals of the ranges before: one row a range.
+    Equal keys are summed first. Ranges of keys are sorted apart, and add the totals of the ranges before: one row a range. What is kept for that is added to ``places``.
     """
     summed = keys.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in counts])
 
@@ -119,7 +132,7 @@ def running(keys: DataFrame, columns, counts) -> DataFrame:
     ranged = summed.repartitionByRange(*columns).sortWithinPartitions(*columns)
     schema = summed.withColumns({**{f"less_{c}": F.lit(0).cast("bigint") for c in counts}, "part": F.lit(0)}).schema
     # Ranges are drawn by sampling: kept, so that sums and totals see the same ones.
-    local = checkpointed(ranged.mapInArrow(add, schema))
+    local = stored(ranged.mapInArrow(add, schema), places)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = local.groupBy("part").agg(*[F.sum(c).alias(c) for c in counts]).select(
         "part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in counts])
@@ -136,24 +149,25 @@ def _places(condition):
     return F.explode(F.filter(F.sequence(F.lit(0), F.size("syms") - 1), condition)).alias("j")
 
 
-def ranks(strings: DataFrame, covered=SYMBOL, length=LENGTH) -> DataFrame:
+def ranks(strings: DataFrame, kept, covered=SYMBOL, length=LENGTH) -> DataFrame:
     """``strings`` (chain, syms) with ``ranks``: for every place the number of suffixes, of all chains, that are smaller.
 
     Suffixes are told apart by ``length`` bytes at least; a symbol stands for ``covered``. Suffixes that are equal so far may have
-    equal ranks.
+    equal ranks. The path of the result is added to ``kept``; all else that was kept on the way is deleted.
     """
     if covered >= length:
         # Names are ranks already.
         return strings.withColumn("ranks", F.col("syms"))
-    strings = checkpointed(strings)
+    places = []
+    strings = stored(strings, places)
     s = F.col("syms")
     triples = strings.select("chain", "syms", _places(lambda j: j % 3 != 0)).select(
         "chain", "j", F.get(s, F.col("j")).alias("a"), _at(s, F.col("j") + 1).alias("b"), _at(s, F.col("j") + 2).alias("c"), F.lit(1).cast("bigint").alias("n"))
-    names = running(triples, ["a", "b", "c"], ["n"]).select("a", "b", "c", F.col("less_n").alias("name"))
+    names = running(triples, ["a", "b", "c"], ["n"], places).select("a", "b", "c", F.col("less_n").alias("name"))
     named = triples.join(names, ["a", "b", "c"])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", "name"))), lambda x: x["name"])
     reduced = named.groupBy((F.col("chain") * 2 + F.col("j") % 3 - 1).alias("chain")).agg(ordered.alias("syms"))
-    below = ranks(reduced, covered * 3, length)
+    below = ranks(reduced, places, covered * 3, length)
     kind = F.col("chain") % 2
     sampled = below.groupBy(F.floor(F.col("chain") / 2).alias("chain")).agg(
         F.max(F.when(kind == 0, F.col("ranks"))).alias("one"), F.max(F.when(kind == 1, F.col("ranks"))).alias("two"))
@@ -161,14 +175,14 @@ def ranks(strings: DataFrame, covered=SYMBOL, length=LENGTH) -> DataFrame:
     together = strings.join(sampled, "chain", "left").select("chain", "syms", F.coalesce("one", none).alias("one"), F.coalesce("two", none).alias("two"))
     j, i = F.col("j"), F.floor(F.col("j") / 3).cast("int")
     cls = F.col("j") % 3
-    rows = checkpointed(together.select("chain", "syms", "one", "two", _places(lambda j: F.lit(True))).select(
+    rows = stored(together.select("chain", "syms", "one", "two", _places(lambda j: F.lit(True))).select(
         "chain", "j", cls.alias("kind"), F.get(s, j).alias("a"), _at(s, j + 1).alias("b"),
         F.when(cls == 1, F.get("one", i)).when(cls == 2, F.get("two", i)).alias("own"),
         F.when(cls == 0, _at(F.col("one"), i)).when(cls == 1, _at(F.col("two"), i)).alias("next"),
-        F.when(cls == 0, _at(F.col("two"), i)).when(cls == 2, _at(F.col("one"), i + 1)).alias("after")))
+        F.when(cls == 0, _at(F.col("two"), i)).when(cls == 2, _at(F.col("one"), i + 1)).alias("after")), places)
     count = lambda k: F.when(F.col("kind") == k, 1).otherwise(0).cast("bigint")
-    with_one = running(rows.where("kind <> 2").select("a", "next", count(0).alias("zero"), count(1).alias("first")), ["a", "next"], ["zero", "first"])
-    with_two = running(rows.where("kind <> 1").select("a", "b", "after", count(0).alias("zero"), count(2).alias("second")), ["a", "b", "after"], ["zero", "second"])
+    with_one = running(rows.where("kind <> 2").select("a", "next", count(0).alias("zero"), count(1).alias("first")), ["a", "next"], ["zero", "first"], places)
+    with_two = running(rows.where("kind <> 1").select("a", "b", "after", count(0).alias("zero"), count(2).alias("second")), ["a", "b", "after"], ["zero", "second"], places)
     first = with_one.select("a", "next", F.col("less_zero").alias("zero_1"), F.col("less_first").alias("first"))
     second = with_two.select("a", "b", "after", F.col("less_zero").alias("zero_2"), F.col("less_second").alias("second"))
     zero = (rows.where("kind = 0").join(first, ["a", "next"]).join(second, ["a", "b", "after"])
@@ -176,20 +190,24 @@ def ranks(strings: DataFrame, covered=SYMBOL, length=LENGTH) -> DataFrame:
     one = rows.where("kind = 1").join(first, ["a", "next"]).select("chain", "j", (F.col("own") + F.col("zero_1")).alias("rank"))
     two = rows.where("kind = 2").join(second, ["a", "b", "after"]).select("chain", "j", (F.col("own") + F.col("zero_2")).alias("rank"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", "rank"))), lambda x: x["rank"])
-    return zero.unionByName(one).unionByName(two).groupBy("chain").agg(ordered.alias("ranks"))
+    found = stored(zero.unionByName(one).unionByName(two).groupBy("chain").agg(ordered.alias("ranks")), kept)
+    given_up(found.sparkSession, places)
+    return found
 
 
 def repeated(texts: DataFrame, length=LENGTH, grams=GRAMS) -> DataFrame:
     """Places of strings of ``length`` bytes that start anywhere else too, in different texts: key, starts (array of first bytes)."""
     parts = parts_of(texts, length, grams)
     # Parts were kept: their numbers don't change.
-    numbered = checkpointed(parts.withColumn("id", F.monotonically_increasing_id()))
-    ranked = ranks(chains(numbered, length), SYMBOL, length)
+    kept, found = [], []
+    numbered = stored(parts.withColumn("id", F.monotonically_increasing_id()), kept)
+    ranked = ranks(chains(numbered, length), kept, SYMBOL, length)
     whole = (ranked.withColumn("id", F.floor(F.col("chain") / SYMBOL)).join(numbered.select("id", F.length("part").alias("n")), "id")
              .select("id", "n", F.expr(f"chain % {SYMBOL}").alias("first"), F.posexplode("ranks").alias("j", "rank"))
              .select("id", (F.col("first") + F.col("j") * SYMBOL).alias("place"), "rank", "n").where(F.col("place") + length <= F.col("n")))
-    suffixes = checkpointed(whole.join(numbered.select("id", "key", "start", "part"), "id").select(
-        "key", (F.col("start") + F.col("place")).alias("start"), "rank", F.substring(F.col("part"), F.col("place").cast("int") + 1, F.lit(length)).alias("prefix")))
+    suffixes = stored(whole.join(numbered.select("id", "key", "start", "part"), "id").select(
+        "key", (F.col("start") + F.col("place")).alias("start"), "rank", F.substring(F.col("part"), F.col("place").cast("int") + 1, F.lit(length)).alias("prefix")), found)
+    given_up(suffixes.sparkSession, kept)
     # Equal suffixes are one row; then neighbours in the order of ranks are compared.
     places = suffixes.groupBy("rank", "prefix").agg(F.count(F.lit(1)).alias("n"))
 
@@ -216,14 +234,16 @@ def repeated(texts: DataFrame, length=LENGTH, grams=GRAMS) -> DataFrame:
             yield out([*rows, [*held[:3], 1]])
 
     ranged = places.repartitionByRange("rank", "prefix").sortWithinPartitions("rank", "prefix")
-    compared = checkpointed(ranged.mapInArrow(compare, "rank bigint, prefix binary, again boolean, edge bigint"))
+    compared = stored(ranged.mapInArrow(compare, "rank bigint, prefix binary, again boolean, edge bigint").where("again OR edge IS NOT NULL"), found)
     # Ends of ranges meet those of the next range: two rows a partition.
     order = Window.orderBy("edge")
     met = compared.where("edge IS NOT NULL").select(
         "rank", "prefix", (F.coalesce(F.lag("prefix").over(order) == F.col("prefix"), F.lit(False)) & (F.lag("rank").over(order) != F.col("rank"))
                            | F.coalesce(F.lead("prefix").over(order) == F.col("prefix"), F.lit(False)) & (F.lead("rank").over(order) != F.col("rank"))).alias("again"))
     again = compared.where("again").select("rank", "prefix").unionByName(met.where("again").select("rank", "prefix")).distinct()
-    return suffixes.join(again, ["rank", "prefix"]).groupBy("key").agg(F.collect_set("start").alias("starts"))
+    result = stored(suffixes.join(again, ["rank", "prefix"]).groupBy("key").agg(F.collect_set("start").alias("starts")), kept)
+    given_up(result.sparkSession, found)
+    return result
 
 
 def _cut(length):
