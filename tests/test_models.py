@@ -152,3 +152,22 @@ def test_reading_and_writing(spark, tmp_path):
             "created_at", F.timestamp_seconds(F.lit(1000 * n))), log, f"b{n}")
     newest = monitor.recent_logs(spark.read.parquet(log), 2).collect()
     assert [r["batch_name"] for r in newest] == ["b2", "b1"] and newest[0]["band"] == "attention"
+
+
+def test_a_forest_deals_out_rows_by_their_bagged_size(spark):
+    rows = spark.range(0, 4000, 1, 3).select(F.col("id").cast("double").alias("_x0"), (F.col("id") % 2).alias("label"))
+    assert train.dealt_for_forest(rows, 100, 1) is rows
+    dealt = train.dealt_for_forest(rows, 100, 1, bagged_bytes=100_000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) * 908 < 150_000
+
+
+def test_a_search_gathers_few_rows_in_few_tasks(spark, monkeypatch):
+    """Passes over the rows take no more tasks than there are cores, however many partitions the table has."""
+    df = spark.range(0, 600, 1, 60).select(
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("oot")), (F.col("id") % 5 % 3 + 1).cast("int")).alias("target"))
+    seen, fit = [], train.fit_model
+    monkeypatch.setattr(train, "fit_model", lambda *a, **k: seen.append(a[8].rdd.getNumPartitions()) or fit(*a, **k))
+    _, trials = train.search(df, ["x"], n_trials=2, seed=3, parallel=1)
+    assert trials.count() == 2 and max(seen) <= spark.sparkContext.defaultParallelism
