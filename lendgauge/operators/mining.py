@@ -89,7 +89,10 @@ def rule_performance(df: DataFrame, rules, label="label", group="target_group")
         *[a.alias(f"{name}_{part}") for part, inside in (
             ("train", F.col("_g") == "train"), ("test", F.col("_g") == "test"), ("all", F.lit(True)))
           for name, a in (("total", F.coalesce(F.sum(F.when(inside, F.col("_n"))), F.lit(0))), ("bad", F.coalesce(F.sum(F.when(inside, F.col("_y"))), F.lit(0.0))))])
-    whole = counted.where("rule_id = -1").first()
+    # One row per rule, read once: rows meet hundreds of rules in a pass.
+    found = counted.collect()
+    counted = spark.createDataFrame(found, counted.schema)
+    whole = next((r for r in found if r["rule_id"] == -1), None)
     listed = spark.createDataFrame([(n, r) for n, r in enumerate(rules)], "rule_id int, rule string")
     joined = listed.join(counted, "rule_id", "left").na.fill(0)
     columns = ["rule_id", "rule"]

@@ -175,3 +175,17 @@ def test_extracted_rules_partition_the_rows(app):
     total = sum(r["total_all"] for r in mining.rule_performance(
         app.withColumn("target_group", F.lit("train")), rules).collect())
     assert len(rules) > 2 and total == app.count()
+
+
+def test_rules_are_measured_in_one_pass(spark):
+    """The table of rules doesn't go back to the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+    df = spark.createDataFrame([(float(i), i % 2, "train" if i % 3 else "test") for i in range(60)], "x double, label int, target_group string")
+    rows = mining.rule_performance(df.mapInArrow(passed, df.schema), ["x > 30.0", "x <= 9.0"]).orderBy("rule_id").collect()
+    assert [(r["total_all"], r["bad_all"]) for r in rows] == [(29, 15.0), (10, 5.0)]
+    assert seen.value == 60
