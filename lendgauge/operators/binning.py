@@ -176,13 +176,30 @@ def chi_merge_edges(df: DataFrame, columns, label, bins=10):
 
 # ---------------------------------------------------------------- counts
 
-def grouped_bin_number(value, by, edges_by_group, closed="right"):
-    """Bin of ``value`` among the edges of the row's own group; one scan serves all groups."""
-    number = F.lit(None).cast("int")
-    for group, edges in edges_by_group.items():
-        if len(edges) >= 2:
-            number = F.when(F.col(by).eqNullSafe(F.lit(group)), bin_number(value, edges, closed)).otherwise(number)
-    return number
+def grouped_bin_counts(df: DataFrame, edges_by_group, label, by) -> DataFrame:
+    """(feature, by, bin, good, bad, labelled, total) where every group has edges of its own: ``{(group,): {feature: edges}}``.
+
+    Bins are closed on the right, the first on both sides. Missing values, values outside the edges and groups with fewer than two edges
+    are left out. Rows are made long before they are binned and find their edges in a broadcast table, so that the generated code
+    doesn't grow with groups and features (beyond a size it isn't compiled); counts are combined before the shuffle.
+    """
+    rows = [(feature, *group, float(e[0]), float(e[-1]), [float(x) for x in e[1:-1]])
+            for group, per in edges_by_group.items() for feature, e in per.items() if len(e) >= 2]
+    schema = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_g", df.schema[by].dataType), T.StructField("_low", T.DoubleType()),
+                           T.StructField("_high", T.DoubleType()), T.StructField("_inner", T.ArrayType(T.DoubleType()))])
+    table = df.sparkSession.createDataFrame(rows, schema)
+    long = unpivot_numeric(df.withColumns({"_by": F.col(by), "_y": F.col(label)}), ["_by", "_y"], sorted({r[0] for r in rows}))
+    present = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    known = present.join(F.broadcast(table), (F.col("feature") == F.col("_f")) & F.col("_by").eqNullSafe(F.col("_g")))
+    binned = known.where((F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high"))).withColumn("_at", F.lit(0))
+    step = 1 << max(len(r[-1]) for r in rows).bit_length()
+    while step := step // 2:
+        # Binary search for the number of inner edges left of the value.
+        moves = F.get("_inner", F.col("_at") + (step - 1)) < F.col("value")
+        binned = binned.withColumn("_at", F.col("_at") + F.when(moves, step).otherwise(0))
+    return binned.groupBy("feature", F.col("_by").alias(by), (F.col("_at") + 1).alias("bin")).agg(
+        F.count_if(F.col("_y") == 0).alias("good"), F.count_if(F.col("_y") == 1).alias("bad"),
+        F.count("_y").alias("labelled"), F.count("*").alias("total"))
 
 
 def bin_counts(df: DataFrame, edges, label, by=(), closed="right", missing="own", number=None) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_number, with_infinite_ends
 from ..functions.guards import SIMPLE_IV_EPSILON, WOE_EPSILON, finite_or_zero, is_numeric, psi_term, ratio, smooth
-from .binning import (bin_counts, edge_frame, equal_frequency_cuts, equal_frequency_edges, grouped_bin_number,
+from .binning import (bin_counts, edge_frame, equal_frequency_cuts, equal_frequency_edges, grouped_bin_counts,
                       tree_edges)
 from .profile import distinct_profile, missing_profile
 from .ranks import SMALL_GROUP, quantiles
@@ -116,12 +116,10 @@ def simple_iv(df: DataFrame, columns, label="label", by=None, bins=10, small_gro
     if not usable:
         return listing.withColumn("iv", F.lit(0.0))
 
-    def own_bin(c):
-        if not by:
-            return bin_number(F.col(f"`{c}`"), usable[c], "right_lowest")
-        return grouped_bin_number(F.col(f"`{c}`"), by, {g[0]: per[c] for g, per in edges.items()}, "right_lowest")
-
-    counted = bin_counts(df, usable, label, keys, number=own_bin)
+    if by:
+        counted = grouped_bin_counts(df, {g: {c: per[c] for c in usable} for g, per in edges.items()}, label, by)
+    else:
+        counted = bin_counts(df, usable, label, number=lambda c: bin_number(F.col(f"`{c}`"), usable[c], "right_lowest"))
     group = Window.partitionBy("feature", *keys)
     t = counted.withColumn("_b", F.col("bad").cast("double")).withColumn(
         "_g", (F.col("labelled") - F.col("bad")).cast("double"))

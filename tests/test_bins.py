@@ -161,6 +161,32 @@ def test_simple_iv_of_text_and_single_class(spark):
     assert {r["feature"]: r["iv"] for r in woe.simple_iv(df, ["x", "s"]).collect()} == {"x": 0.0, "s": 0.0}
 
 
+def test_bins_of_groups_with_own_edges_in_code_of_one_size(spark):
+    """Many groups make the plan no longer; missing values, values outside and groups without edges are left out."""
+    generator = np.random.default_rng(8)
+    rows = [(g, (None, float("nan"), float(v))[min(i, 2)], float(v * 3), int(generator.integers(0, 2)))
+            for g in (None, *"abcdefgh") for i, v in enumerate(generator.normal(0, 1, 60).round(1))]
+    df = spark.createDataFrame(rows, "g string, x double, y double, label int")
+    edges = {(g,): {"x": [-1.0, -0.5, 0.0, 0.7 + n / 10, 1.5], "y": [-2.0, 2.0] if n else [1.0]} for n, g in enumerate((None, *"abcdefg"))}
+    counted = {(r["feature"], r["g"], r["bin"]): (r["good"], r["bad"], r["labelled"], r["total"])
+               for r in binning.grouped_bin_counts(df, edges, "label", "g").collect()}
+    expected = {}
+    for g, x, y, label in rows:
+        for name, v in (("x", x), ("y", y)):
+            e = edges.get((g,), {}).get(name, [])
+            if len(e) > 1 and v is not None and e[0] <= v <= e[-1]:
+                place = (name, g, max(1, sum(c < v for c in e)))
+                good, bad, _, total = expected.get(place, (0, 0, 0, 0))
+                expected[place] = (good + (label == 0), bad + label, total + 1, total + 1)
+    assert counted == expected
+
+    def size(groups):
+        few = {g: edges[g] for g in list(edges)[:groups]}
+        found = woe.simple_iv(df, ["x", "y"], "label", "g", edges=few)
+        return len(found._jdf.queryExecution().optimizedPlan().toString())
+    assert size(8) < 1.2 * size(2)
+
+
 def test_compare_report_leaves_out_or_fills_absent_bins(spark):
     rows = [(1.0, i % 2, "train") for i in range(10)] + [(3.0, i % 2, "train") for i in range(10)]
     rows += [(1.0, i % 2, "oot") for i in range(10)]
