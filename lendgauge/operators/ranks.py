@@ -1,6 +1,6 @@
 """Exact order statistics and running totals without sorting a large group in one task.
 
-``quantiles`` counts the distinct values of large groups and finds all wanted ranks in their running totals.
+``quantiles`` counts the distinct values of large groups and orders only those near the wanted ranks.
 
 ``order_statistics`` narrows every wanted rank to a small open interval: an
 approximate sketch proposes the interval, exact counts below and inside it confirm it, and only
@@ -70,34 +70,60 @@ def quantiles(df: DataFrame, columns, probabilities, by=(), small_group=SMALL_GR
 def _ranked_values(long, keys, wanted, small_group):
     """``{key: {rank: value}}`` of ``wanted = {key: (rows, [ranks])}``, from running counts over the distinct values.
 
-    A key's ranks lie in equal cells, so that a value is compared with the ranks of the cells it covers and not with all of them:
-    together the values of a key cover no more cells than there are values and cells.
+    The values of a key are dealt to buckets at sketch quantiles. Rows per bucket tell which buckets hold a wanted rank, and only the
+    values of those are shuffled and ordered. The cuts decide how much that is, never the result.
     """
     spark, rows = long.sparkSession, long.where(F.col("value").isNotNull())
-    fields = [T.StructField(f"_w{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
-    cells = max(len(ranks) for _, ranks in wanted.values())
-    ranks = spark.createDataFrame(
-        [(*key, n, r * cells // n, r) for key, (n, own) in wanted.items() for r in own],
-        T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("_rows", "_cell", "_rank")]]))
-    sizes = spark.createDataFrame([(*key, n) for key, (n, _) in wanted.items()], T.StructType([*fields, T.StructField("_rows", T.LongType())]))
+    kinds = [T.StructField(f"_w{i}", rows.schema[k].dataType) for i, k in enumerate(keys)]
+    most, asked = max(n for n, _ in wanted.values()), max(len(ranks) for _, ranks in wanted.values())
+    buckets = min(MAX_BUCKETS, 2 ** math.ceil(math.log2(max(8 * asked, 4 * most / small_group))))
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("_n")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ended = running_totals(counted, keys, "value", ["_n"], small_group)
-        of_key = lambda table: [ended[k].eqNullSafe(table[f"_w{i}"]) for i, k in enumerate(keys)]
-        cell = lambda place: F.expr(f"({place}) * {cells} div _rows")
-        spread = ended.join(F.broadcast(sizes), of_key(sizes)).select(
-            *keys, "value", F.col("cum__n").alias("_end"), (F.col("cum__n") - F.col("_n")).alias("_start"),
-            F.explode(F.sequence(cell("cum__n - _n"), cell("cum__n - 1"))).alias("_at"))
-        same = [spread[k].eqNullSafe(ranks[f"_w{i}"]) for i, k in enumerate(keys)]
-        hit = spread.join(F.broadcast(ranks), [*same, F.col("_at") == F.col("_cell")]).where("_rank >= _start AND _rank < _end")
+        # Keys x buckets numbers; NaN would part the search.
+        cuts = {tuple(r)[:-1]: sorted({c for c in r["_cuts"] if not math.isnan(c)})
+                for r in counted.groupBy(*keys).agg(F.percentile_approx("value", shares, F.lit(10 * buckets)).alias("_cuts")).collect()}
+        totals = {}
+        for r in _bucketed(counted, keys, kinds, buckets, cuts).groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n")).collect():
+            totals.setdefault(tuple(r)[:-2], []).append((r["_bucket"], r["_n"]))
+        inner = []
+        for key, (_, ranks) in wanted.items():
+            ranks, at, before = sorted(ranks), 0, 0
+            for bucket, n in sorted(totals[key]):
+                while at < len(ranks) and ranks[at] < before + n:
+                    inner.append((*key, bucket, ranks[at] - before, ranks[at]))
+                    at += 1
+                before += n
+        places = spark.createDataFrame(inner, T.StructType(
+            [*kinds, *[T.StructField(c, t) for c, t in (("_b", T.IntegerType()), ("_local", T.LongType()), ("_rank", T.LongType()))]]))
+        of_bucket = lambda df: [*[df[k].eqNullSafe(places[f"_w{i}"]) for i, k in enumerate(keys)], df["_bucket"].eqNullSafe(places["_b"])]
+        dealt = _bucketed(counted, keys, kinds, buckets, cuts)
+        inside = dealt.join(F.broadcast(places), of_bucket(dealt), "left_semi")
+        upto = Window.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ended = inside.withColumn("_end", F.sum("_n").over(upto))
+        met = ended.join(F.broadcast(places), of_bucket(ended)).where("_local >= _end - _n AND _local < _end")
         found = {key: {} for key in wanted}
-        for r in hit.select(*keys, "_rank", "value").collect():
+        for r in met.select(*keys, "_rank", "value").collect():
             found[tuple(r)[:-2]][r["_rank"]] = r["value"]
         return found
     finally:
         counted.unpersist()
 
 
+def _bucketed(counted, keys, kinds, buckets, cuts):
+    """``counted`` with the number of its key's ``cuts`` (fewer than ``buckets``) below the value as ``_bucket``."""
+    table = counted.sparkSession.createDataFrame(
+        [(*key, own) for key, own in cuts.items()], T.StructType([*kinds, T.StructField("_cuts", T.ArrayType(T.DoubleType()))]))
+    df = counted.join(F.broadcast(table), [counted[k].eqNullSafe(table[f"_w{i}"]) for i, k in enumerate(keys)]).withColumn("_bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        # Binary search: skip ``step`` cuts when the last of them lies left of the value.
+        moves = F.get("_cuts", F.col("_bucket") + (step - 1)) < F.col("value")
+        df = df.withColumn("_bucket", F.col("_bucket") + F.when(moves, step).otherwise(0))
+        step //= 2
+    return df.select(*keys, "value", "_n", "_bucket")
+
+
 def _quantiles_in_memory(df, columns, probabilities, by):
     grid = F.array(*[F.lit(float(p)) for p in probabilities])
     rows = df.groupBy(*by).agg(

@@ -83,3 +83,19 @@ def test_many_quantiles_come_from_running_counts(spark, monkeypatch, small_group
         for c in ("x", "y"):
             assert np.allclose(found[(g,)][c], np.quantile(values[c][own], shares), atol=1e-12)
         assert found[(g,)]["z"] is None
+
+
+@pytest.mark.parametrize("small_group", [1_000_000, 40])
+def test_only_values_near_wanted_ranks_are_ordered(spark, monkeypatch, small_group):
+    """Running totals of all distinct values aren't needed for a few ranks; NaN comes last, both zeros are one value."""
+    generator = np.random.default_rng(11)
+    x = generator.normal(0, 1, 3000).round(2)
+    x[:900], x[900:903] = 0.0, float("nan")
+    df = spark.createDataFrame([("a" if i % 3 else None, float(-v if i % 2 and v == 0 else v)) for i, v in enumerate(x)], "g string, x double")
+    monkeypatch.setattr(ranks, "TASK_STEPS", 1000)
+    monkeypatch.setattr(ranks, "running_totals", refused)
+    found = quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.99, 1.0], ["g"], small_group)
+    for g in ("a", None):
+        own = np.sort(np.where(np.isnan(x), np.inf, x)[[(i % 3 > 0) == (g == "a") for i in range(3000)]])
+        assert np.allclose(found[(g,)]["x"][:4], np.quantile(own, [0.0, 0.25, 0.5, 0.99]), atol=1e-12)
+        assert np.isnan(found[(g,)]["x"][4])
