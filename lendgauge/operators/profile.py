@@ -171,9 +171,11 @@ def dataset_summary(df: DataFrame, label="label", freq_limit=0.95, missing_limit
 
     def measures(name):
         c, number = F.col(f"`{name}`"), name in numeric
-        nothing = F.max(F.lit(None))
+        nothing = F.lit(None)
+        # Constants stay outside the aggregates: a text among those would keep them all from generated code.
+        fixed = [F.when(F.count("*") > 0, F.lit(place)) for place in places[name]]
         return {
-            "position": (F.max(F.lit(places[name][0])), "int"), "data_type": (F.max(F.lit(places[name][1])), "string"),
+            "position": (fixed[0], "int"), "data_type": (fixed[1], "string"),
             "n_missing": (F.count_if(_missing(df, name, impute_value)), "bigint"), "n_rows": (F.count("*"), "bigint"),
             "count": (F.count(c) if number else nothing, "bigint"), "mean": (F.avg(c) if number else nothing, "double"),
             "std": (F.stddev_samp(c) if number else nothing, "double"), "min": (F.min(c) if number else nothing, "double"),

@@ -158,6 +158,19 @@ def test_screen_order_and_text_majority(spark):
     assert screen.screen_basic(filled, ["empty"], impute_value=-999.0).first()["reason"] == "missing"
 
 
+def test_dominating_text_is_found_without_counting_all_values(spark, monkeypatch):
+    """The hash of the median text is the same number before and after the sketch."""
+    def refused(*args, **kwargs):
+        raise AssertionError("all values are counted")
+
+    texts = [f"text {i}" for i in range(40)]
+    df = spark.createDataFrame([(*(t if i % 50 else "rare" for t in texts), None) for i in range(400)],
+                               ", ".join(f"c{i} string" for i in range(40)) + ", none string")
+    monkeypatch.setattr(screen, "top_share", refused)
+    found = {r["column_name"]: r["reason"] for r in screen.screen_basic(df, df.columns).collect()}
+    assert found == {**{f"c{i}": "freq" for i in range(40)}, "none": "missing"}
+
+
 def test_correlation_agrees_with_pandas(spark):
     generator = np.random.default_rng(4)
     base = generator.normal(1e6, 1, (400, 7))
