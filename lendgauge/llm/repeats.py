@@ -38,8 +38,13 @@ def window_marks(gram, owner, size):
 def per_text(owner, marks, gram_owner, gram):
     """Different marks of each text, and at how many places of the text the gram of the mark stands."""
     salted = lambda o, g: mixed(g ^ mixed(o.astype(np.uint64), 21), 22)
-    places = np.sort(salted(gram_owner, gram))
     wanted, first = np.unique(salted(owner, marks), return_index=True)
+    # Few grams are marks: only those that agree with one in 20 bits are told apart by sorting.
+    short = lambda g: (g & np.uint64((1 << 20) - 1)).astype(np.int64)
+    some = np.zeros(1 << 20, bool)
+    some[short(marks)] = True
+    likely = some[short(gram)]
+    places = np.sort(salted(gram_owner[likely], gram[likely]))
     times = np.searchsorted(places, wanted, "right") - np.searchsorted(places, wanted, "left")
     return owner[first], marks[first], times
 
@@ -72,7 +77,7 @@ def candidates(docs: DataFrame, marks_of, text="text", hot=HOT, id=None) -> Data
 
 
 def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
-    """Parts of ``texts`` (key, start, text, marks) that windows with their marks cover: key, start, part (binary), kept in the shared folder.
+    """Parts of ``texts`` (key, start, text, marks) that windows with their marks cover: id, key, start, part (binary), kept in the shared folder.
 
     ``windows_of`` maps an Arrow column and the marks of each text to (text number, first byte, past byte) arrays.
     """
@@ -87,4 +92,5 @@ def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
                 "key": batch.column("key").take(own), "start": pa.array(starts[owner] + first if len(owner) else [], pa.int64()),
                 "part": pa.array([data[o][a:b] for o, a, b in zip(owner, first, past)], pa.binary())})
 
-    return through_parquet(small_batches(texts.select("key", "start", "text", "marks")).mapInArrow(cut, "key binary, start bigint, part binary"), "parts")
+    parts = small_batches(texts.select("key", "start", "text", "marks")).mapInArrow(cut, "key binary, start bigint, part binary")
+    return through_parquet(parts.withColumn("id", F.monotonically_increasing_id()), "parts")

@@ -156,6 +156,40 @@ def test_repeated_bytes(spark):
     assert suffix_array.verdicts(table.where("false")).count() == 0
 
 
+def test_covers_hold_every_difference_once():
+    for period, cover in suffix_array.COVERS.items():
+        met = Counter((a - b) % period for a in cover for b in cover if a != b)
+        assert cover[0] == 0 and met == Counter(range(1, period))
+
+
+@pytest.mark.parametrize("hot", [1, 5000])
+def test_repeated_bytes_of_large_classes(spark, hot):
+    texts = passages(6, lambda r: r.choice("abé"), lambda r, t: "".join(t)) + ["q" * 90, "\0" * 50 + "a", "b" + "\0" * 60]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    once = table.where("text IS NOT NULL").dropDuplicates(["text"])
+    found = suffix_array.repeated(suffix_array.candidates(once, suffix_array._marks_of(20, 6)), 20, (6,), hot).collect()
+    runs = {bytes(r.key): r.runs for r in found}
+    rows = once.select("text", text_key(F.col("text")).alias("k")).collect()
+    for r, (data, gone) in zip(rows, plain_repeats([r.text for r in rows], str.encode, 20)):
+        covered = [False] * len(data)
+        for run in runs.get(bytes(r.k), []):
+            assert 0 <= run.start < run.past <= len(data) - 19
+            covered[run.start:run.past + 19] = [True] * (run.past + 19 - run.start)
+        assert covered == list(map(bool, gone))
+
+
+def test_near_copies_send_only_what_is_near_their_edits(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(20000))
+    copies = [text, text[:9000] + "#" + text[9001:], "shifted" + text[:15000] + "#" + text[15001:]]
+    parts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(copies)], "id bigint, part binary")
+    found = suffix_array.classes(suffix_array.samples(parts))
+    # Places of the cover within 200 bytes of an edit or an end, not the 60,000 strings.
+    assert 0 < found.where("sent").count() < 500
+    sent = suffix_array.surroundings(parts, found)
+    assert sent.agg(F.max(F.length("bytes"))).first()[0] <= 332
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = docs.limit(1).select((F.lit(900000) + 1).cast("bigint").alias("doc_id"), F.lit("123 456 !!").alias("text"), "lang", "source", "n_chars")
