@@ -15,6 +15,8 @@ from .rolling import mixed, sliding_min
 
 #: A mark at more places than this is hot: its windows are dealt out one by one instead of together.
 HOT = 5_000
+#: Bytes of text marked at a time: arrays of a number for each byte stay in the processor's cache.
+MARKED_BYTES = 1 << 18
 
 
 def text_key(text):
@@ -61,7 +63,7 @@ def candidates(docs: DataFrame, marks_of, text="text", hot=HOT, id=None) -> Data
     keyed = keyed.withColumn("ref", F.xxhash64(name))
 
     def mark(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", MARKED_BYTES):
             owner, marks, times = marks_of(batch.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "ref": batch.column("ref").take(pa.array(owner)), "mark": pa.array(marks.view(np.int64)),
@@ -82,7 +84,7 @@ def marked_parts(texts: DataFrame, windows_of) -> DataFrame:
     ``windows_of`` maps an Arrow column and the marks of each text to (text number, first byte, past byte) arrays.
     """
     def cut(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", MARKED_BYTES):
             wanted = [[m["mark"] for m in marks] for marks in batch.column("marks").to_pylist()]
             owner, first, past = windows_of(batch.column("text"), wanted)
             data = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]

@@ -13,9 +13,12 @@ SPACE[[32, *range(9, 14)]] = True
 def mixed(x, seed=0):
     """Finaliser: spreads every bit of a 64-bit number over all others."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def powers(base, n):

@@ -13,12 +13,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_place, removed
 from .common import PIECE_BYTES, give_back, pieces, small_batches
-from .repeats import HOT, candidates, marked_parts, per_text, text_key, window_marks
+from .repeats import HOT, MARKED_BYTES, candidates, marked_parts, per_text, text_key, window_marks
 from .rolling import joined, mixed, range_sums
 
 LENGTH = 200
@@ -128,7 +129,7 @@ def samples(parts: DataFrame, length=LENGTH) -> DataFrame:
     sampled = np.isin(np.arange(period), COVERS[period])
 
     def sample(batches):
-        for batch in pieces(batches, "part"):
+        for batch in pieces(batches, "part", MARKED_BYTES):
             data, starts = joined(batch.column("part"))
             n = len(data)
             owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -312,11 +313,14 @@ def _cut(length):
     def cut(batches):
         for batch in pieces(batches, "text"):
             removed, spans, kept = [], [], []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+            runs = batch.column("runs").flatten()
+            start, past = runs.field("start").to_numpy(), runs.field("past").to_numpy()
+            ends = np.cumsum(pc.list_value_length(batch.column("runs")).to_numpy())
+            for text, first, end in zip(batch.column("text").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 change = np.zeros(len(data) + 1, np.int64)
-                np.add.at(change, [r["start"] for r in runs], 1)
-                np.add.at(change, [r["past"] + length - 1 for r in runs], -1)
+                np.add.at(change, start[first:end], 1)
+                np.add.at(change, past[first:end] + length - 1, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 removed.append(int(gone.sum()))
                 spans.append(int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum()))
