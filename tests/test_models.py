@@ -25,6 +25,28 @@ def test_one_class_group(spark):
     assert {r["g"]: (r["ks"], r["auc"]) for r in evaluate.ks_auc(df, ["g"]).collect()} == {"a": (0.0, 0.5), "b": (1.0, 1.0)}
 
 
+@pytest.mark.parametrize("few", [32, 0])
+@pytest.mark.parametrize("small_group", [1_000_000, 7])
+def test_ks_and_auc_equal_plain_ones(spark, monkeypatch, small_group, few):
+    """Ties, both zeros, NaN, missing scores, labels, weights and groups; pieces of any size."""
+    monkeypatch.setattr(evaluate, "FEW_GROUPS", few)
+    monkeypatch.setattr(evaluate, "LEAST_PIECE", min(small_group, evaluate.LEAST_PIECE))
+    generator = random.Random(4)
+    rows = [(generator.choice(["a", None, "b"]), generator.choice([0.0, -0.0, float("nan"), None, round(generator.random(), 1), generator.random()]),
+             generator.choice([0, 0, 1, None]), generator.choice([1.0, 2.5, None])) for _ in range(400)]
+    rows += [("one", 0.1, 1, 1.0), ("none", None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "g string, s double, label int, w double").repartition(3)
+    got = {r.g: (r.ks, r.auc) for r in evaluate.ks_auc(df, ["g"], "s", "label", "w", small_group).collect()}
+    assert set(got) == {"a", "b", None, "one"} and got["one"] == (0.0, 0.5)
+    for g in ("a", "b", None):
+        own = [(float("inf") if s != s else s, y, w or 0.0) for k, s, y, w in rows if k == g and s is not None and y is not None]
+        good, bad = (sum(w for _, y, w in own if y == v) for v in (0, 1))
+        pairs = sum(v * w * (0.5 if s == t else s < t) for s, y, w in own for t, z, v in own if y == 0 and z == 1)
+        ks = max(abs(sum(w for s, y, w in own if y == 0 and s <= t) / good - sum(w for s, y, w in own if y == 1 and s <= t) / bad) for t, _, _ in own)
+        assert got[g] == (pytest.approx(ks), pytest.approx(pairs / good / bad))
+    assert evaluate.ks_auc(df.where("false"), ["g"], "s").collect() == []
+
+
 def test_score_falls_with_probability(spark):
     df = spark.createDataFrame([(i / 100,) for i in range(101)], "proba double")
     scores = [r["score"] for r in scoring.with_score(df).orderBy("proba").collect()]
@@ -171,3 +193,35 @@ def test_a_search_gathers_few_rows_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(train, "fit_model", lambda *a, **k: seen.append(a[8].rdd.getNumPartitions()) or fit(*a, **k))
     _, trials = train.search(df, ["x"], n_trials=2, seed=3, parallel=1)
     assert trials.count() == 2 and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_a_search_prepares_rows_once_and_fits_few_trials_of_many_rows_together(app, spark, monkeypatch):
+    """Trials read rows that were prepared once; of rows that together would be too many to keep, one fit follows the other."""
+    space = {"C": ("log", 0.5, 1.0), "maxIter": ("int", 5, 5)}
+    calls, running, most, prepared, fit = [], [], [], ScorecardModel.prepared, train.fit_model
+
+    def watched(*args, **kwargs):
+        running.append(1)
+        most.append(len(running))
+        try:
+            return fit(*args, **kwargs)
+        finally:
+            running.pop()
+
+    monkeypatch.setattr(ScorecardModel, "prepared", lambda self, df: calls.append(1) or prepared(self, df))
+    monkeypatch.setattr(train, "fit_model", watched)
+    found = []
+    for limit in (train.SEARCH_BYTES, 1):
+        monkeypatch.setattr(train, "SEARCH_BYTES", limit)
+        _, trials = train.search(app, ["amount", "balance", "segment"], n_trials=3, seed=3, space=space, parallel=3)
+        found.append({r.trial: (r.params, {k: round(v, 6) for k, v in r.metrics.items()}) for r in trials.collect()})
+    assert len(calls) == 2 and max(most[3:]) == 1
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_a_regression_scores_the_same_as_one_expression(app):
+    columns = ["amount", "balance", "segment"]
+    model = train.fit_model(app, columns, params={"C": 0.5, "maxIter": 20})
+    ready = model.prepared(app)
+    both = [{r.app_id: r.proba for r in model.probabilities(ready, prepared=True, plain=plain).select("app_id", "proba").collect()} for plain in (False, True)]
+    assert both[0].keys() == both[1].keys() and all(abs(both[0][k] - both[1][k]) < 1e-14 for k in both[0])
